@@ -1,0 +1,198 @@
+"""Has this key been seen before: hash-partitioned blocked Bloom filters, query then insert."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sedimenta.functions.values import is_blank, key_fingerprint
+from sedimenta.operators.firstkeep import collapse_sorted_runs
+from sedimenta.session import shuffle_partitions, staged
+
+#: Keys a bucket is planned for; its filter and its keys are all a task holds at a time.
+BUCKET_KEYS = 131_072
+_WORDS = 8
+#: Unrelated odd multipliers, one a word of a block: eight bit positions from one hash.
+_ODD = np.array([int.from_bytes(hashlib.sha256(bytes([i])).digest()[:4], "big") | 1 for i in range(_WORDS)], dtype=np.uint64)
+
+
+class BlockedBloom:
+    """A blocked Bloom filter: a key touches one 256-bit block, one bit in each of its 8 words.
+
+    Sized for ``fpp`` false positives at ``keys`` keys; the extra blocks that uneven block loads
+    need are included in the formula for one bit a word."""
+
+    def __init__(self, keys: int, fpp: float):
+        bits = -8.0 * max(keys, 1) / math.log(1.0 - fpp ** (1.0 / 8.0)) * 1.15
+        self.blocks = max(1, math.ceil(bits / 256))
+        self.words = np.zeros(self.blocks * _WORDS, dtype=np.uint32)
+
+    def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        block = ((h >> np.uint64(32)) * np.uint64(self.blocks)) >> np.uint64(32)
+        low = h & np.uint64(0xFFFFFFFF)
+        bit = ((low[:, None] * _ODD[None, :]) & np.uint64(0xFFFFFFFF)) >> np.uint64(27)
+        at = block[:, None] * np.uint64(_WORDS) + np.arange(_WORDS, dtype=np.uint64)[None, :]
+        return at.astype(np.int64), np.left_shift(np.uint32(1), bit.astype(np.uint32))
+
+    def insert(self, h: np.ndarray) -> None:
+        at, mask = self._places(h)
+        np.bitwise_or.at(self.words, at.ravel(), mask.ravel())
+
+    def query(self, h: np.ndarray) -> np.ndarray:
+        at, mask = self._places(h)
+        return ((self.words[at] & mask) == mask).all(axis=1)
+
+
+def _digests(column: pa.Array) -> np.ndarray:
+    """The 32-byte fingerprints as rows of four 64-bit words."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=">u8").reshape(-1, 4).astype(np.uint64)
+
+
+def _known(seen: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Exact: which rows of ``asked`` are rows of ``seen``, compared over all 256 bits."""
+    if not len(asked):
+        return np.zeros(0, dtype=bool)
+    both = np.concatenate([seen, asked])
+    code = pd.MultiIndex.from_arrays(list(both.T)).factorize()[0]
+    return np.isin(code[len(seen) :], code[: len(seen)])
+
+
+def _judge(seen: np.ndarray, fps: np.ndarray, order: np.ndarray, capacity: int, fpp: float, probes: int, seed: int) -> tuple[np.ndarray, np.ndarray, dict]:
+    """One bucket: (Bloom verdict, exact verdict) of each incoming key, in any row order, and the
+    measured errors."""
+    bloom = BlockedBloom(max(capacity, len(seen) + len(fps)), fpp)
+    bloom.insert(seen[:, 1])
+    by = np.argsort(order, kind="stable")
+    maybe = np.zeros(len(fps), dtype=bool)
+    first = np.ones(len(fps), dtype=bool)
+    for start in range(0, len(by), 4096):
+        block = by[start : start + 4096]
+        h = fps[block, 1]
+        maybe[block] = bloom.query(h)
+        _, lead = np.unique(h, return_index=True)  # a repeat within the block would have met the insert
+        again = np.ones(len(block), dtype=bool)
+        again[lead] = False
+        maybe[block] |= again
+        bloom.insert(h)
+    # the exact check looks only at what the filter let through
+    sure = maybe.copy()
+    if maybe.any():
+        keys = pd.MultiIndex.from_arrays(list(fps[by].T)).factorize()[0]
+        first[by] = ~pd.Series(keys).duplicated().to_numpy()
+        asked = np.flatnonzero(maybe & first)
+        sure[asked] = _known(seen, fps[asked])
+    absent = np.random.default_rng(seed).integers(0, 2**64 - 1, size=(probes, 4), dtype=np.uint64) if probes else np.zeros((0, 4), np.uint64)
+    wrong = int(bloom.query(absent[:, 1]).sum()) if probes else 0
+    report = {"keys": len(seen) + len(fps), "filter_bits": bloom.words.size * 32, "asked": len(fps), "maybe": int(maybe.sum()), "false_maybe": int((maybe & ~sure).sum()), "absent_asked": probes, "absent_maybe": wrong}
+    return maybe, sure, report
+
+
+def _bucketed(seen: DataFrame, incoming: DataFrame, buckets: int) -> DataFrame:
+    bucket = lambda: F.pmod(F.xxhash64("fp"), F.lit(buckets)).cast("int").alias("bucket")
+    a = seen.select(F.col("fp"), F.lit(0).alias("tag"), F.lit(None).cast("long").alias("arrival"), bucket())
+    b = incoming.select(F.col("fp"), F.lit(1).alias("tag"), F.col("arrival"), bucket())
+    return a.unionByName(b).repartition(min(buckets, max(shuffle_partitions(seen.sparkSession), buckets // 64)), "bucket").sortWithinPartitions("bucket", "tag")
+
+
+def _per_bucket(batches: Iterator[pa.RecordBatch], judge) -> Iterator[pa.RecordBatch]:
+    """Streams the sorted rows, one bucket in memory at a time."""
+    now, parts = None, {0: [], 1: []}
+
+    def done():
+        seen = np.concatenate(parts[0]) if parts[0] else np.zeros((0, 4), np.uint64)
+        fps = np.concatenate([x[0] for x in parts[1]]) if parts[1] else np.zeros((0, 4), np.uint64)
+        order = np.concatenate([x[1] for x in parts[1]]) if parts[1] else np.zeros(0, np.int64)
+        return judge(now, seen, fps, order)
+
+    for batch in batches:
+        fp, tag, arrival, bucket = (batch.column(i) for i in range(4))
+        buckets = bucket.to_numpy()
+        tags = tag.to_numpy()
+        words = _digests(fp) if batch.num_rows else np.zeros((0, 4), np.uint64)
+        arrivals = arrival.fill_null(0).to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(buckets) != 0) | (np.diff(tags) != 0)) + 1), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            if a == b:
+                continue
+            if buckets[a] != now:
+                if now is not None:
+                    yield from done()
+                now, parts = int(buckets[a]), {0: [], 1: []}
+            if tags[a]:
+                parts[1].append((words[a:b], arrivals[a:b]))
+            else:
+                parts[0].append(words[a:b])
+    if now is not None:
+        yield from done()
+
+
+def _prepared(incoming: DataFrame, keys: list[str], order: str, id_key: str | None) -> DataFrame:
+    valid = ~is_blank(F.col(f"`{id_key}`")) if id_key else F.lit(True)
+    fp = key_fingerprint(*[F.col(f"`{k}`") for k in keys])
+    return collapse_sorted_runs(incoming.select(F.col(f"`{order}`").cast("long").alias("arrival"), F.when(valid, fp).alias("fp")).filter("fp is not null"), "fp", "arrival", "repeat")
+
+
+def seen_before(incoming: DataFrame, seen: DataFrame, keys: list[str], order: str, id_key: str | None = None, fingerprint: str = "fingerprint", fpp: float = 1e-3, verdict: str = "found") -> DataFrame:
+    """``order`` values of the incoming rows whose key is in ``seen`` or on an earlier row.
+
+    Rows with a null key column, or a null or blank ``id_key``, are never returned; of rows with
+    equal key the one with the smallest ``order`` is the first. Null and repeated fingerprints in ``seen`` count once;
+    ``seen`` or ``incoming`` may be empty. With ``verdict="maybe"`` the filters' own answer is
+    returned, false positives included. Fingerprints shuffle once each; repeats inside one
+    partition are settled before."""
+    rows = _prepared(incoming, keys, order, id_key)
+    known = seen.select(F.col(f"`{fingerprint}`").alias("fp")).filter("fp is not null and length(fp) = 32")
+    total = known.count() + incoming.count()
+    buckets = max(shuffle_partitions(seen.sparkSession), math.ceil(total / BUCKET_KEYS))
+    capacity = math.ceil(total / buckets * 1.05)
+    split = F.when(F.col("repeat"), F.lit(None)).otherwise(F.col("fp"))
+    # repeats settled in their own partition pass by the filters through the same stage, spread evenly
+    first = rows.withColumn("fp", split)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judge(bucket, seen_fps, fps, arrivals):
+            maybe, sure, _ = _judge(seen_fps, fps, arrivals, capacity, fpp, 0, bucket)
+            yield pa.RecordBatch.from_arrays([pa.array(arrivals[sure if verdict == "found" else maybe], pa.int64())], names=["arrival"])
+
+        yield from _per_bucket(batches, judge)
+
+    # the sorted walk runs once; its result feeds both branches below
+    first = staged(first, "incoming-keys")
+    judged = _bucketed(known, first.filter("fp is not null"), buckets).mapInArrow(run, "arrival long")
+    settled = first.filter("fp is null").select("arrival")
+    return judged.unionByName(settled).select(F.col("arrival").alias(order))
+
+
+def seen_before_errors(incoming: DataFrame, seen: DataFrame, keys: list[str], order: str, id_key: str | None = None, fingerprint: str = "fingerprint", fpp: float = 1e-3, probes: int = 20_000) -> DataFrame:
+    """One row: how often the filters are wrong, by ``probes`` known absent keys asked of each
+    bucket's filter and by the exact check of the incoming keys. An empty input gives zero counts
+    and null rates."""
+    rows = _prepared(incoming, keys, order, id_key).filter("not repeat")
+    known = seen.select(F.col(f"`{fingerprint}`").alias("fp")).filter("fp is not null and length(fp) = 32")
+    total = known.count() + incoming.count()
+    buckets = max(shuffle_partitions(seen.sparkSession), math.ceil(total / BUCKET_KEYS))
+    capacity = math.ceil(total / buckets * 1.05)
+    names = ["keys", "filter_bits", "asked", "maybe", "false_maybe", "absent_asked", "absent_maybe"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def judge(bucket, seen_fps, fps, arrivals):
+            report = _judge(seen_fps, fps, arrivals, capacity, fpp, probes, bucket)[2]
+            yield pa.RecordBatch.from_arrays([pa.array([report[n]], pa.int64()) for n in names], names=names)
+
+        yield from _per_bucket(batches, judge)
+
+    per = _bucketed(known, rows, buckets).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    out = per.agg(F.count("*").alias("buckets"), *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names])
+    return out.withColumns({
+        "target_rate": F.lit(fpp),
+        "absent_rate": F.try_divide(F.col("absent_maybe").cast("double"), "absent_asked"),
+        "incoming_rate": F.try_divide(F.col("false_maybe").cast("double"), F.col("asked") - F.col("maybe") + F.col("false_maybe")),
+        "bits_per_key": F.try_divide(F.col("filter_bits").cast("double"), "keys"),
+    })
