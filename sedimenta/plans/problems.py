@@ -75,4 +75,19 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_table, p1_undocumented, p2_found, p2_errors, p3_found, p3_records, p3_order_items, p4_found, p4_orders, p5_found, p5_profile, p5_drift)}
 
 
+_BLANK = r"regexp_full_match(id, '[\s\x{1c}-\x{1f}\x{85}\p{Z}\v]*')"
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of the problems that have it; the others are held against brute force in the tests."""
+    fingerprint = """sha256('["' || source || '","' || replace(replace(replace(id, '\\', '\\\\'), '"', '\\"'), chr(9), '\\t') || '"]')"""
+    numbered = f"row_number() OVER (PARTITION BY _source, id ORDER BY ordinal) AS n FROM bronze_orders WHERE id IS NOT NULL AND NOT {_BLANK} AND coalesce(json_type(_raw::JSON, '$.id'), '') <> 'ARRAY'"
+    return {
+        "p2_found": f"""WITH k AS (SELECT arrival_no, {fingerprint} AS f FROM incoming_orders WHERE id IS NOT NULL AND source IS NOT NULL AND NOT {_BLANK})
+SELECT arrival_no FROM (SELECT arrival_no, f, row_number() OVER (PARTITION BY f ORDER BY arrival_no) AS n FROM k) WHERE n > 1 OR f IN (SELECT lower(hex(fingerprint)) FROM seen)""",
+        "p4_found": f"SELECT ordinal FROM (SELECT ordinal, {numbered}) WHERE n > 1",
+        "p4_orders": f"SELECT * REPLACE (_ingested_at AT TIME ZONE 'UTC' AS _ingested_at) FROM bronze_orders WHERE ordinal NOT IN (SELECT ordinal FROM (SELECT ordinal, {numbered}) WHERE n > 1)",
+    }
+
+
 __all__ = ["queries"]
