@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 # ---- what is running text ------------------------------------------------------------------------
 
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x2060, 0xFEFF, 0xAD])
+_UNSEEN = re.compile("[\u200b\u200c\u2060\ufeff\xad]")
 _SPACES = re.compile(r"[^\S\n]+")
 _FENCE = re.compile(r"^[ \t]{0,3}(`{3,}|~{3,})")
 _INLINE_CODE = re.compile(r"``[^`\n]+``|`[^`\n]+`")
@@ -30,27 +31,70 @@ _MARKS = re.compile(r"^[\s>#*\-•+|]*(?:\d{1,3}[.)]\s+)?[\s*_]*|[\s*]+$")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
 
 
-def running_lines(text: str) -> list[str]:
-    """The lines of running text: without fenced code, log, configuration, code and quoted (``>``)
-    lines, inline code and quoted passages; entities and tags resolved, spaces evened out."""
+#: What a line must hold to be looked at closely. Marks may open a slot or stand for no value.
+SLOT_MARKS = "{{ { ${ #{ {% <% *| @@ ## %% %( $ __ xxxx << [[ &lt; < tbd tba none null nil nan undefined n/a ??? [object [insert [enter [your [add [fill [put [type [name [write [choose [select [insira [inserir [seu [sua [digite [escreva [inserte [ingrese [escriba [su [tu".split(" ")
+FILLER_WORDS = (
+    "lorem ipsum dolor eiusmod consectetur adipiscing tempor nostrud veniam aliqua incididunt labore asdf qwert zxcv sdfg dfgd hjkl jkl blah dummy sample placeholder filler exemplo ejemplo relleno preenchimento teste prueba test text "
+    "soon breve próximamente construction construção construcción blank branco blanco written completed filled determined announced goes insert insira inserte escriba escreva substitua replace reemplace sustituya type click summary "
+    "description descrição descripción available disponible disponível todo fixme edit edite here aqui aquí parágrafo párrafo paragraph conteúdo contenido content"
+).split()
+
+
+def _automaton():
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for words, bit in ((SLOT_MARKS, 1), (FILLER_WORDS, 2)):
+        for w in words:
+            out.add_word(w, (out.get(w, 0) if w in out else 0) | bit)
+    out.make_automaton()
+    return out
+
+
+_MARKED = _automaton()
+_COLON_SLOT = re.compile(r"(?<![\w:]):[A-Za-z]")
+
+
+def running_lines(text: str) -> list[tuple[str, int]]:
+    """(line, bits) of the running text that needs a closer look: 1 for a mark of a slot, 2 for a word
+    of filler or a line of few words said often; short lines have both. Fenced code, log,
+    configuration, code and quoted (``>``) lines are left out, and inline code and quoted passages
+    within lines; spaces are evened out, invisible characters dropped."""
     out, fence = [], None
-    for line in _SPACES.sub(" ", text.translate(_INVISIBLE).replace(" ", "\n").replace("\r", "\n")).split("\n"):
-        mark = _FENCE.match(line)
-        if mark:
-            # a fence may be followed by text on the closing line
-            if fence is None:
-                fence = mark.group(1)[0]
-                continue
-            if mark.group(1)[0] == fence:
-                fence = None
-                line = line[mark.end() :]
+    for line in text.replace("\u2028", "\n").replace("\r", "\n").split("\n"):
+        if "```" in line or "~~~" in line:
+            mark = _FENCE.match(_SPACES.sub(" ", line))
+            if mark:
+                # a fence may be followed by text on the closing line
+                if fence is None:
+                    fence = mark.group(1)[0]
+                    continue
+                if mark.group(1)[0] == fence:
+                    fence = None
+                    line = _SPACES.sub(" ", line)[mark.end() :]
         elif fence is not None:
             continue
-        if not line.strip() or line.lstrip().startswith(">") or _LOG_LINE.match(line):
+        if not line or line.isspace() or (line[:4].isdigit() and line[4:5] == "-" and _LOG_LINE.match(line)):
             continue
-        if _CONFIG_LINE.match(line) or _CODE_LINE.match(line):
+        bits = 3 if len(line) <= 60 else 0
+        if not bits:
+            for _, bit in _MARKED.iter(line.lower()):
+                bits |= bit
+                if bits == 3:
+                    break
+            words = line.split()
+            if len(words) >= 6 and len(set(words)) * 3 <= len(words):
+                bits |= 2
+            if not bits & 1 and ":" in line and _COLON_SLOT.search(line):
+                bits |= 1
+            if not bits:
+                continue
+        line = _SPACES.sub(" ", _visible(line))
+        if line.lstrip().startswith(">") or _LOG_LINE.match(line) or _CONFIG_LINE.match(line) or _CODE_LINE.match(line):
             continue
-        out.append(_QUOTED.sub(" ", _INLINE_CODE.sub(" ", line)))
+        if "`" in line:
+            line = _INLINE_CODE.sub(" ", line)
+        out.append((_QUOTED.sub(" ", line), bits))
     return out
 
 
@@ -101,10 +145,12 @@ _SPEAKS = re.compile(
 )
 
 
-def has_slot(lines: list[str]) -> bool:
+def has_slot(lines: list[tuple[str, int]]) -> bool:
     """An unfilled slot, or one filled with a sign of no value, in a sentence that does not speak
     of slots."""
-    for line in lines:
+    for line, bits in lines:
+        if not bits & 1:
+            continue
         line = html.unescape(line)
         if _SLOT.search(line) is None and _NO_VALUE.search(line) is None and _RULE_SIGN.search(line) is None:
             continue
@@ -130,6 +176,8 @@ _LATIN_SURE = LATIN - frozenset("do in ad ex id non sit est ut et ea eu sed qui
 _KEYS = re.compile(r"^(?:[asdfghjkl]{3,}|[qwertyuiop]{5,}|[zxcvbnm]{5,}|[dfgsa]{4,}|asdf\w*|qwert\w*)$")
 _REPEAT = re.compile(r"\b(\w[\w' ]{1,30}\w)\b[\s.,;!…]+(?:\1\b[\s.,;!…]*){2,}")
 _FILL_WORD = r"(?:placeholder|dummy|sample|filler|example|lorem|test|blah|text|texto|exemplo|ejemplo|relleno|preenchimento|teste|prueba|bla)"
+_FILL_SET = frozenset(_FILL_WORD[3:-1].split("|"))
+_WORDS = re.compile(r"[^\W\d_]+")
 _THING = r"(?:text|content|contents|copy|paragraph|description|summary|title|heading|caption|section|page|body|note|something|anything|words|name)"
 _COISA = r"(?:texto|conteúdo|contenido|parágrafo|párrafo|descrição|descripción|resumo|resumen|título|seção|sección|página|algo|nota)"
 _FILLER_LINES = re.compile(
@@ -169,13 +217,12 @@ FILLER_PHRASES = (
 )
 
 
-def _letters(text: str) -> str:
-    return "".join(c for c in text.lower() if c.isalnum())
+_NOT_LETTERS = re.compile(r"[\W_]+")
 
 
-def _grams(text: str) -> frozenset[str]:
-    key = _letters(text)
-    return frozenset(key[i : i + 3] for i in range(len(key) - 2))
+def _grams(text: str) -> set[str]:
+    key = _NOT_LETTERS.sub("", text.lower())
+    return set(map("".join, zip(key, key[1:], key[2:])))
 
 
 class Phrases:
@@ -193,9 +240,12 @@ class Phrases:
         if not 6 <= len(sentence) <= 120:
             return False
         grams = _grams(sentence)
+        known = grams & self.index.keys()
+        if len(known) * 2 < len(grams):  # fewer shared trigrams than any match needs
+            return False
         shared: dict[int, int] = {}
-        for g in grams:
-            for i in self.index.get(g, ()):
+        for g in known:
+            for i in self.index[g]:
                 shared[i] = shared.get(i, 0) + 1
         return any(n >= self.least * (len(grams) + len(self.grams[i]) - n) for i, n in shared.items())
 
@@ -203,10 +253,16 @@ class Phrases:
 _FILLERS = Phrases(FILLER_PHRASES)
 
 
+_LOOSE = re.compile(r"\s+([.,;:!?…])")
+
+
 def plain(line: str) -> str:
     """A line without tags, list and emphasis marks, its punctuation set close."""
-    line = _MARKS.sub("", _TAG.sub(" ", html.unescape(line)))
-    return re.sub(r"\s+([.,;:!?…])", r"\1", _SPACES.sub(" ", line)).strip()
+    if "&" in line:
+        line = html.unescape(line)
+    if "<" in line:
+        line = _TAG.sub(" ", line)
+    return _LOOSE.sub(r"\1", _SPACES.sub(" ", _MARKS.sub("", line))).strip()
 
 
 def _is_dummy(words: list[str]) -> bool:
@@ -228,22 +284,29 @@ def _is_dummy(words: list[str]) -> bool:
     return False
 
 
-def has_filler(lines: list[str]) -> bool:
+def has_filler(lines: list[tuple[str, int]]) -> bool:
     """A line or sentence that is nothing but filler."""
-    for line in lines:
+    for line, bits in lines:
+        if not bits & 2:
+            continue
         text = plain(line)
         if not text:
             continue
         low = text.lower()
-        if _is_dummy(re.findall(r"[^\W\d_]+", low)):
-            return True
-        hit = _REPEAT.search(low)
-        if hit and hit.end() - hit.start() >= 9 and re.search(r"[^\W\d_]{3}", hit.group(1)):
+        words = _WORDS.findall(low)
+        different = set(words)
+        filling = not different.isdisjoint(_FILL_SET)
+        if (len(different & LATIN) >= 4 or any(map(_KEYS.match, different))) and _is_dummy(words):
             return True
-        sentences = [text] if len(text) <= 90 else []
-        sentences += _SENTENCE.split(text)
+        if len(words) >= 3 and (len(different) * 2 <= len(words) or (filling and len(different) + 2 <= len(words))):
+            hit = _REPEAT.search(low)
+            if hit and hit.end() - hit.start() >= 9 and re.search(r"[^\W\d_]{3}", hit.group(1)):
+                return True
+        sentences = _SENTENCE.split(text)
+        if len(sentences) > 1 and len(text) <= 90:
+            sentences.append(text)
         for sentence in sentences:
-            if len(sentence) <= 110 and (_FILLER_LINES.fullmatch(sentence.strip(" .!…*:;-")) or sentence in _FILLERS):
+            if len(sentence) <= 110 and (_FILLER_LINES.fullmatch(sentence.strip(" .!…*:;-")) or ((len(text) <= 110 or filling) and sentence in _FILLERS)):
                 return True
     return False
 
@@ -336,39 +399,87 @@ def is_navigation(line: str) -> bool:
     return 2 <= len(words) <= 6 and bool(re.fullmatch(r"(?:menu|search|home|docs|sign|in|up|log|api|help|login|blog|about|contact|privacy|terms|yes|no|/|\||·|buscar|inicio|início|entrar)+", "".join(words), re.IGNORECASE))
 
 
+#: Word parts one of which each notice has; a sentence with none is no notice.
+NOTICE_PARTS = (
+    "error erro err_ fail denied denegado negado permission permiss permiso unavailable indispon disponib again novamente tente intént inténte limit request solicit sess sign login log expir maint manuten mantenim updated back script cookie "
+    "browser navegador robot human moment step wait loading carregando cargando reach reset refused timed timeout time- found encontrad exist broken wrong looking gateway server servidor servic serviç site sitio forbidden authori conflict gone "
+    "page página traceback exception file err_ código codigo code status http recarr recarg enable habilit ativ activ happen oops off iterable stack uncaught exhausted permit check verif refresh reload upgrade change contact volte vuelva "
+    "inactivity slow down connect available needs human displayed required requires bandwidth implemented acceptable allowed payment"
+).split()
+
+
+def _notice_parts():
+    import ahocorasick
+
+    out = ahocorasick.Automaton()
+    for w in NOTICE_PARTS:
+        out.add_word(w, 1)
+    out.make_automaton()
+    return out
+
+
+_PARTS = _notice_parts()
+
+
+def _is_notice(sentence: str) -> bool:
+    if next(_PARTS.iter(sentence.lower()), None) is None:
+        return sentence in _NOTICES
+    return _NOTICE.search(sentence) is not None or sentence in _NOTICES
+
+
+def _visible(text: str) -> str:
+    return text.translate(_INVISIBLE) if _UNSEEN.search(text) else text
+
+
+def _is_error_object(body: str) -> bool:
+    """An API's error object."""
+    if re.search(r"\"(?:data|items|orders|results)\"\s*:", body, re.IGNORECASE) or not re.search(r"\"(?:error|status|message|code|errors|detail)\"\s*:", body, re.IGNORECASE):
+        return False
+    return bool(_NOTICE.search(body) or re.search(r"\"(?:error|status|code)\"\s*:\s*\{?\W*(?:\"?code\"?\W*)?\"?[45]\d\d", body, re.IGNORECASE))
+
+
 def is_error_page(text: str) -> bool:
     """Apart from navigation, nothing but an error message or notice. The text is judged whole:
     its sentences must be notices or neutral remainders; none may report on errors."""
-    if len(text) > 4000:  # a notice page is short; navigation aside nothing else may stand on it
+    if len(text) > 4000 or "```" in text:  # a notice page is short; navigation aside nothing else may stand on it
         return False
-    text = text.translate(_INVISIBLE).replace(" ", "\n").replace("\r", "\n")
-    units = []
-    for line in re.sub(r"<br\s*/?>", "\n", text, flags=re.IGNORECASE).split("\n"):
-        if is_navigation(line.replace("\xa0", " ")):
+    text = _visible(text).replace("\u2028", "\n").replace("\r", "\n")
+    if "<" in text:
+        text = re.sub(r"<br\s*/?>", "\n", text, flags=re.IGNORECASE)
+    hits = misses = size = 0
+    data: list[str] | None = None
+    for line in text.split("\n"):
+        if not line or line.isspace() or (len(line) <= 120 and is_navigation(line.replace("\xa0", " "))):
+            continue
+        unit = plain(line)
+        if not unit:
+            continue
+        if not size:
+            if re.match(r"\W{0,3}\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}", unit):  # a run log
+                return False
+            data = [] if unit[0] in "{[" else None
+        size += len(unit) + 1
+        if size > 900:
+            return False
+        if data is not None:
+            data.append(unit)
             continue
-        line = plain(line)
-        if line:
-            units.append(line)
-    body = " ".join(units)
-    if not units or len(body) > 900 or _FENCE.search(text) or "```" in text:
-        return False
-    if re.match(r"^\W*[{\[]", body):
-        # an API's error object
-        return bool(re.search(r"\"(?:error|status|message|code|errors|detail)\"\s*:", body, re.IGNORECASE) and (_NOTICE.search(body) or re.search(r"\"(?:error|status|code)\"\s*:\s*\{?\W*(?:\"?code\"?\W*)?\"?[45]\d\d", body, re.IGNORECASE))) and not re.search(r"\"(?:data|items|orders|results)\"\s*:", body, re.IGNORECASE)
-    if re.match(r"^\W{0,3}\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}", body):  # a run log
-        return False
-    hits = misses = 0
-    for unit in units:
         for sentence in _SENTENCE.split(unit):
             sentence = sentence.replace("’", "'").strip(" *-")
             if not sentence:
                 continue
-            if _REPORTS.search(sentence):
-                return False
-            if _NOTICE.search(sentence) or sentence in _NOTICES:
+            if _is_notice(sentence):
+                if _REPORTS.search(sentence):
+                    return False
                 hits += 1
             elif not _NEUTRAL.match(sentence.strip(" .!")):
+                if _REPORTS.search(sentence):
+                    return False
                 misses += 1
+                if misses > 2 and misses > hits:
+                    return False
+    if data is not None:
+        return _is_error_object(" ".join(data))
     # a slip of the pen may hide one sentence in three from the patterns
     return hits > 0 and misses * 2 <= hits
 
