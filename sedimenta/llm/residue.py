@@ -9,6 +9,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sedimenta.session import free_name
 
 # ---- what is running text ------------------------------------------------------------------------
 
@@ -502,23 +505,19 @@ def residue_kinds(text: str | None) -> list[str]:
 def detect_residue(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kinds) of each row's whole text; ``kinds`` is an empty list for clean, null, empty and
     blank texts. Repeated keys give a row each. Map-only: nothing is shuffled."""
-    kind = df.schema[key].dataType.simpleString()
+    kind, kinds = df.schema[key].dataType.simpleString(), free_name([key], "kinds")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [residue_kinds(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["k", "kinds"])
 
-    return df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, f"k {kind}, kinds array<string>").toDF(key, "kinds")
+    return df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, f"k {kind}, kinds array<string>").toDF(key, kinds)
 
 
 def without_residue(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text has no residue, with all their columns; null, empty and blank texts
     stay. One pass: the verdict travels with the row, nothing is joined."""
-    from pyspark.sql import types as T
-
-    from sedimenta.session import free_name
-
     verdict = free_name(df.columns, "__residue")
     schema = T.StructType([*df.schema.fields, T.StructField(verdict, T.BooleanType())])
     at = df.columns.index(text)

@@ -7,9 +7,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sedimenta.session import free_name
 
 #: Fixed value: the pattern that splits text into words before the merges.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -132,8 +136,6 @@ class _Encoder:
 
 def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about CHUNK_CHARS each; a longer text is a slice of its own."""
-    import pyarrow.compute as pc
-
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, total = 0, 0
     for i, size in enumerate(sizes):
@@ -148,9 +150,10 @@ def _chunks(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 def encode(df: DataFrame, bpe: ByteBPE, key: str = "doc_id", text: str = "text", out: str = "ids") -> DataFrame:
     """(key, ``out``: list of ids) of each row's whole text, without special tokens; strings that look like
     special tokens are ordinary text. A null or empty text gives an empty list; repeated keys give
-    a row each; an empty table gives no rows. No shuffle; the merge tables (about 1 MB, fixed by
+    a row each; an empty table gives no rows; ``out`` gets a leading underscore if it is the key's
+    name. No shuffle; the merge tables (about 1 MB, fixed by
     the vocabulary) travel with the task."""
-    kind = df.schema[key].dataType.simpleString()
+    kind, out = df.schema[key].dataType.simpleString(), free_name([key], out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _Encoder(bpe)
@@ -165,9 +168,8 @@ def encode(df: DataFrame, bpe: ByteBPE, key: str = "doc_id", text: str = "text",
 
 def count_tokens(df: DataFrame, bpe: ByteBPE, text: str = "text", out: str = "tokens") -> DataFrame:
     """The rows without ``text`` and with their number of ids in ``out`` (bigint; 0 for a null or
-    empty text). ``out`` may not be a column of ``df``."""
-    from pyspark.sql import types as T
-
+    empty text); ``out`` gets a leading underscore while it is a column of ``df``."""
+    out = free_name(df.columns, out)
     others = [c for c in df.columns if c != text]
     schema = T.StructType([*[df.schema[c] for c in others], T.StructField(out, T.LongType())])
 
