@@ -47,7 +47,7 @@ def double_text(name: str) -> Column:
     exponent = F.try_element_at(F.split(text, "E"), F.lit(2)).cast("int")
     scientific = F.concat(
         mantissa, F.lit("e"), F.when(exponent < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
+        F.when(F.abs(exponent) < 10, F.lit("0")).otherwise(F.lit("")), F.abs(exponent).cast("string"),
     )
     small = F.when(exponent == -4, F.concat(
         F.when(F.col(name) < 0, F.lit("-")).otherwise(F.lit("")), F.lit("0.0001").substr(1, 5),

@@ -147,6 +147,8 @@ def page_source(endpoint: Endpoint, window: IncrementalWindow | None, max_record
     """A one-partition data source of (ordinal, raw). Limits act in the reader, so no page beyond
     them is asked for."""
 
+    label = "paged_" + uuid.uuid4().hex
+
     class Reader(DataSourceReader):
         def partitions(self):
             return [InputPartition(0)]
@@ -165,7 +167,7 @@ def page_source(endpoint: Endpoint, window: IncrementalWindow | None, max_record
     class PagedSource(DataSource):
         @classmethod
         def name(cls):
-            return "paged_" + uuid.uuid5(uuid.NAMESPACE_URL, f"{id(endpoint)}").hex
+            return label
 
         def schema(self):
             return "ordinal long, raw string"
