@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions.values import canonical_json, column_name, json_type, loads_strict
-from sedimenta.session import free_name, size_checked, staged
+from sedimenta.session import free_name, size_checked, spread, staged
 
 _TYPES = ("string", "integer", "number", "boolean", "array")
 _FLUSH = 200_000
@@ -72,28 +72,28 @@ def file_fields(df: DataFrame, source: str, file: str, order: str, raw: str) ->
                 yield flush()
         yield flush()
 
-    parts = df.select(*[F.col(f"`{n}`").alias(a) for n, a in zip(names, "sfor")]).mapInArrow(count, schema)
+    parts = spread(df.select(*[F.col(f"`{n}`").alias(a) for n, a in zip(names, "sfor")])).mapInArrow(count, schema)
     counts = [F.sum(F.when(F.col("kind") == t, F.col("n"))).alias(f"n_{t}") for t in _TYPES]
     return parts.groupBy("source", "file", "field").agg(*counts, F.min("first_order").alias("first_order"))
 
 
-def _transitions(fields: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Numbered files and, per (source, file_no, field), what came, went or changed type."""
+def _transitions(fields: DataFrame) -> DataFrame:
+    """(source, file_no, field, file, file_before, now, before): what came, went or changed type in
+    each file after the first; ``now`` and ``before`` are types, null where the field is not."""
     ranked = [F.struct(F.coalesce(F.col(f"n_{t}"), F.lit(0)).alias("n"), F.lit(-i).alias("tie"), F.lit(t).alias("t")) for i, t in enumerate(_TYPES)]
     typed = fields.filter(F.col("field").isNotNull()).select("source", "file", "field", F.greatest(*ranked)["t"].alias("kind"))
     # one row a file: the window sorts files, never records
     order = Window.partitionBy("source").orderBy(F.col("first_order").asc_nulls_last(), "file")
-    later = F.lead(F.struct("file")).over(order).isNotNull()
-    files = fields.filter(F.col("field").isNull()).select("source", "file", F.row_number().over(order).alias("file_no"), later.alias("has_next"))
+    files = fields.filter(F.col("field").isNull()).select("source", "file", F.row_number().over(order).alias("file_no"), F.lead(F.struct("file")).over(order).alias("next"))
     held = typed.alias("t").join(files.alias("f"), F.col("t.source").eqNullSafe(F.col("f.source")) & F.col("t.file").eqNullSafe(F.col("f.file")))
-    held = held.select("t.source", "t.field", "t.kind", "f.file_no", "f.has_next")
+    held = held.select("t.source", "t.field", "t.kind", "t.file", "f.file_no", "f.next")
     # each field votes in its own file and in the next; one shuffle replaces a self join
-    votes = held.select("source", "field", "file_no", F.col("kind").alias("now"), F.lit(None).cast("string").alias("before")).unionByName(
-        held.filter("has_next").select("source", "field", (F.col("file_no") + 1).alias("file_no"), F.lit(None).cast("string").alias("now"), F.col("kind").alias("before"))
+    none = F.lit(None).cast("string")
+    votes = held.select("source", "file_no", "field", "file", none.alias("file_before"), F.col("kind").alias("now"), none.alias("before")).unionByName(
+        held.filter("next is not null").select("source", (F.col("file_no") + 1).alias("file_no"), "field", F.col("next.file").alias("file"), F.col("file").alias("file_before"), none.alias("now"), F.col("kind").alias("before"))
     )
-    change = votes.groupBy("source", "file_no", "field").agg(F.max("now").alias("now"), F.max("before").alias("before"))
-    change = change.filter((F.col("file_no") > 1) & ~F.col("now").eqNullSafe(F.col("before")))
-    return files, change
+    change = votes.groupBy("source", "file_no", "field").agg(*[F.max(c).alias(c) for c in ("file", "file_before", "now", "before")])
+    return change.filter((F.col("file_no") > 1) & ~F.col("now").eqNullSafe(F.col("before")))
 
 
 def file_changes(df: DataFrame, source: str = "_source", file: str = "_run_id", order: str = "ordinal", raw: str = "_raw") -> DataFrame:
@@ -108,13 +108,7 @@ def file_changes(df: DataFrame, source: str = "_source", file: str = "_run_id",
     field's distinct values occur in the removed one; each field pairs once, names first, then the
     larger share, then the field names' order."""
     fields = staged(file_fields(df, source, file, order, raw), "file-fields")
-    files, change = _transitions(fields)
-    change = staged(
-        change.alias("c").join(files.alias("n"), F.col("c.source").eqNullSafe(F.col("n.source")) & (F.col("c.file_no") == F.col("n.file_no")))
-        .join(files.alias("p"), F.col("c.source").eqNullSafe(F.col("p.source")) & (F.col("c.file_no") - 1 == F.col("p.file_no")))
-        .select("c.source", "c.file_no", "c.field", "c.now", "c.before", F.col("n.file").alias("file"), F.col("p.file").alias("file_before")),
-        "file-changes",
-    )
+    change = staged(_transitions(fields), "file-changes")
     retyped = change.filter("now is not null and before is not null").select("source", "file", F.lit("retyped").alias("change_kind"), F.col("field").alias("field_name"), F.lit("").alias("old_name"))
     moved = change.filter("now is null or before is null")
     # only files in which a field of some type came while one of that type went need their values
@@ -141,7 +135,7 @@ def _candidate_values(df: DataFrame, wanted: DataFrame, source: str, file: str,
     per_file = wanted.groupBy("source", "file").agg(F.sort_array(F.collect_set("field")).alias("fields"))
     per_file = staged(per_file, "rename-files")
     small, _ = size_checked(per_file, F.length(F.coalesce("source", F.lit(""))) + F.length(F.coalesce("file", F.lit(""))) + 60 + F.size("fields") * 60)
-    side = df.select(F.col(f"`{source}`").alias("s"), F.col(f"`{file}`").alias("f"), F.col(f"`{raw}`").alias("r"))
+    side = spread(df.select(F.col(f"`{source}`").alias("s"), F.col(f"`{file}`").alias("f"), F.col(f"`{raw}`").alias("r")))
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set = set()

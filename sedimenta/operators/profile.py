@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimenta.functions.values import canonical_json, json_type, loads_strict
+from sedimenta.session import spread, staged
 
 _EMAIL = re.compile(r"[^@\s]+@[^@\s.]+(?:\.[^@\s.]+)+")
 _STAMP = re.compile(r"(\d{4})-(\d{2})-(\d{2})(?:[T ](\d{2}):(\d{2}):(\d{2})(?:\.\d+)?(?:Z|[+-](\d{2}):(\d{2}))?)?", re.ASCII)
@@ -129,7 +130,7 @@ def path_value_counts(df: DataFrame, keys: list[str], raw: str, values: Callable
         if seen:
             yield flush()
 
-    rows = df.select(*keyed, F.col(f"`{raw}`").alias("__raw")).mapInArrow(count, schema)
+    rows = spread(df.select(*keyed, F.col(f"`{raw}`").alias("__raw"))).mapInArrow(count, schema)
     sums = [F.sum(c).alias(c) for c in ("n", "present", "empty", "blank", "bad")]
     return rows.groupBy(*keys, "path", "kind", "value", "number").agg(*sums)
 
@@ -200,8 +201,6 @@ def load_findings(records: DataFrame, profiles: DataFrame | None = None, summari
     null_shift, value_shift, bad_pattern, wrong_profile, wrong_summary. Null sources form one
     source; a load before that does not exist gives no shift; a report on a path or load without
     records is compared with zero counts; empty tables give no rows."""
-    from sedimenta.session import staged
-
     keys = ["source", "load_no"]
     checks = {"email": bad_email, "updated_at": bad_timestamp} if checks is None else checks
     wanted = frozenset((median_field, flag_field))
