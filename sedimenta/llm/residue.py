@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedimenta.session import free_name
+from sedimenta.session import free_name, spread
 
 # ---- what is running text ------------------------------------------------------------------------
 
@@ -177,6 +177,7 @@ LATIN = frozenset(
 )
 _LATIN_SURE = LATIN - frozenset("do in ad ex id non sit est ut et ea eu sed qui dolor magna".split())
 _KEYS = re.compile(r"^(?:[asdfghjkl]{3,}|[qwertyuiop]{5,}|[zxcvbnm]{5,}|[dfgsa]{4,}|asdf\w*|qwert\w*)$")
+_KEY_RUNS = ("asdf", "sdf", "dfg", "hjk", "jkl", "qwe", "wert", "zxc", "xcv")
 _REPEAT = re.compile(r"\b(\w[\w' ]{1,30}\w)\b[\s.,;!…]+(?:\1\b[\s.,;!…]*){2,}")
 _FILL_WORD = r"(?:placeholder|dummy|sample|filler|example|lorem|test|blah|text|texto|exemplo|ejemplo|relleno|preenchimento|teste|prueba|bla)"
 _FILL_SET = frozenset(_FILL_WORD[3:-1].split("|"))
@@ -299,7 +300,7 @@ def has_filler(lines: list[tuple[str, int]]) -> bool:
         words = _WORDS.findall(low)
         different = set(words)
         filling = not different.isdisjoint(_FILL_SET)
-        if (len(different & LATIN) >= 4 or any(map(_KEYS.match, different))) and _is_dummy(words):
+        if (len(different & LATIN) >= 4 or any(k in low for k in _KEY_RUNS)) and _is_dummy(words):
             return True
         if len(words) >= 3 and (len(different) * 2 <= len(words) or (filling and len(different) + 2 <= len(words))):
             hit = _REPEAT.search(low)
@@ -425,6 +426,8 @@ _PARTS = _notice_parts()
 
 
 def _is_notice(sentence: str) -> bool:
+    if len(sentence) > 400:  # no sentence of a notice is that long
+        return False
     if next(_PARTS.iter(sentence.lower()), None) is None:
         return sentence in _NOTICES
     return _NOTICE.search(sentence) is not None or sentence in _NOTICES
@@ -504,7 +507,7 @@ def residue_kinds(text: str | None) -> list[str]:
 
 def detect_residue(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, kinds) of each row's whole text; ``kinds`` is an empty list for clean, null, empty and
-    blank texts. Repeated keys give a row each. Map-only: nothing is shuffled."""
+    blank texts. Repeated keys give a row each. Map-only but for ``spread``."""
     kind, kinds = df.schema[key].dataType.simpleString(), free_name([key], "kinds")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -512,7 +515,7 @@ def detect_residue(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             found = [residue_kinds(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.string()))], names=["k", "kinds"])
 
-    return df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, f"k {kind}, kinds array<string>").toDF(key, kinds)
+    return spread(df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))).mapInArrow(run, f"k {kind}, kinds array<string>").toDF(key, kinds)
 
 
 def without_residue(df: DataFrame, text: str = "text") -> DataFrame:
@@ -527,4 +530,4 @@ def without_residue(df: DataFrame, text: str = "text") -> DataFrame:
             found = pa.array([bool(residue_kinds(t.as_py())) for t in batch.column(at)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*batch.schema.names, verdict])
 
-    return df.mapInArrow(run, schema).filter(~F.col(verdict)).drop(verdict)
+    return spread(df).mapInArrow(run, schema).filter(~F.col(verdict)).drop(verdict)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sedimenta.session import free_name
+from sedimenta.session import free_name, spread
 
 #: Fixed value: the pattern that splits text into words before the merges.
 WORD_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -151,7 +151,7 @@ def encode(df: DataFrame, bpe: ByteBPE, key: str = "doc_id", text: str = "text",
     """(key, ``out``: list of ids) of each row's whole text, without special tokens; strings that look like
     special tokens are ordinary text. A null or empty text gives an empty list; repeated keys give
     a row each; an empty table gives no rows; ``out`` gets a leading underscore if it is the key's
-    name. No shuffle; the merge tables (about 1 MB, fixed by
+    name. No shuffle beyond ``spread``; the merge tables (about 1 MB, fixed by
     the vocabulary) travel with the task."""
     kind, out = df.schema[key].dataType.simpleString(), free_name([key], out)
 
@@ -163,7 +163,7 @@ def encode(df: DataFrame, bpe: ByteBPE, key: str = "doc_id", text: str = "text",
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["k", "ids"])
 
-    return df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, f"k {kind}, ids array<int>").toDF(key, out)
+    return spread(df.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").cast("string").alias("t"))).mapInArrow(run, f"k {kind}, ids array<int>").toDF(key, out)
 
 
 def count_tokens(df: DataFrame, bpe: ByteBPE, text: str = "text", out: str = "tokens") -> DataFrame:
@@ -180,4 +180,4 @@ def count_tokens(df: DataFrame, bpe: ByteBPE, text: str = "text", out: str = "to
                 _, offsets = encoder(part.column(len(others)).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(np.diff(offsets), pa.int64())], names=[*others, out])
 
-    return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
+    return spread(df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("string"))).mapInArrow(run, schema)
