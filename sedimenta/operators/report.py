@@ -64,7 +64,8 @@ def adaptive_cardinality(df: DataFrame, columns: list[str], limit: int = EXACT_L
     near = [c for i, c in enumerate(columns) if row[f"a{i}"] <= limit * (1 + 4 * SKETCH_ERROR)]
     exact = {}
     if near:
-        counts = df.agg(*[F.count_distinct(f"`{c}`").alias(f"d{i}") for i, c in enumerate(near)]).first()
+        # the sketch bounds each set, so sets merge on the map side where count(distinct) would expand rows
+        counts = df.agg(*[F.size(F.collect_set(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(near)]).first()
         exact = {c: counts[f"d{i}"] for i, c in enumerate(near)}
     out = []
     for i, c in enumerate(columns):

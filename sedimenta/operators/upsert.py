@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions.values import is_blank
 from sedimenta.operators.firstkeep import collapse_sorted_runs
-from sedimenta.session import scratch_path, shuffle_partitions
+from sedimenta.session import scratch_path, shuffle_partitions, size_checked, staged
 
 #: Rows a bucket is planned for.
 BUCKET_ROWS = 1_000_000
@@ -93,8 +93,11 @@ def redelivered(df: DataFrame, source: str = "_source", ident: str = "id", order
 
 
 def exactly_once(df: DataFrame, source: str = "_source", ident: str = "id", order: str = "ordinal", raw: str = "_raw") -> DataFrame:
-    """The rows that stay: the first copy of each identifier and every row without one."""
-    return df.join(redelivered(df, source, ident, order, raw), order, "left_anti")
+    """The rows that stay: the first copy of each identifier and every row without one. The wide
+    rows do not shuffle while the later copies' order values measure little enough to broadcast."""
+    later = staged(redelivered(df, source, ident, order, raw), "later-copies")
+    small, _ = size_checked(later, F.lit(8))
+    return df.join(F.broadcast(later) if small else later, order, "left_anti")
 
 
 __all__ = ["BucketedRuns", "delivery_copies", "exactly_once", "identifier", "redelivered"]

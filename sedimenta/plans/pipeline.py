@@ -16,11 +16,12 @@ from sedimenta.functions.text import redact_text
 from sedimenta.functions.types import EndpointSchema, validate_identifier
 from sedimenta.operators import bronze
 from sedimenta.operators.bronze import LoadContext
+from sedimenta.sinks.delta import DeltaDestination
 from sedimenta.sinks.parquet import LoadResult, ParquetDestination
 from sedimenta.sinks.state import JsonlRunLog, RunLogEntry
 from sedimenta.sources.rest import RestConnector
 
-DESTINATIONS = {"parquet": ParquetDestination}
+DESTINATIONS = {"parquet": ParquetDestination, "delta": DeltaDestination}
 
 
 def destination(name: str, **options):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimenta.operators import drift, membership, profile, shred, upsert
-from sedimenta.session import staged, table
+from sedimenta.session import spread, staged, table
 
 DECLARED = {"id": "string", "customer_id": "bigint", "updated_at": "timestamp", "amount": "decimal(18,2)", "items": "string"}
 APPROVED = {"status": "string", "locale": "string", "loyalty_points": "bigint", "is_gift": "boolean"}
@@ -41,13 +41,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_records(spark: SparkSession, d: str) -> DataFrame:
-    nodes = staged(shred.page_nodes(table(spark, d, "parsed_pages"), table(spark, d, "probe_results")), "page-nodes")
-    return shred.entity_table(nodes, "page_id", "$", {"id": "bigint", "customer.id": "bigint", "note": "string"})
+    fields = {"id": "bigint", "customer.id": "bigint", "note": "string"}
+    nodes = staged(shred.page_nodes(table(spark, d, "parsed_pages"), table(spark, d, "probe_results"), frozenset(fields)), "page-nodes")
+    return shred.entity_table(nodes, "page_id", "$", fields)
 
 
 def p3_order_items(spark: SparkSession, d: str) -> DataFrame:
-    nodes = staged(shred.shred(table(spark, d, "bronze_orders").select(F.col("ordinal").alias("order_no"), "_raw"), "order_no", "_raw"), "order-nodes")
-    return shred.entity_table(nodes, "order_no", "$.items[]", {"sku": "string", "qty": "bigint"})
+    fields = {"sku": "string", "qty": "bigint"}
+    orders = spread(table(spark, d, "bronze_orders").select(F.col("ordinal").alias("order_no"), "_raw"))
+    nodes = staged(shred.shred(orders, "order_no", "_raw", scalars=frozenset(fields)), "order-nodes")
+    return shred.entity_table(nodes, "order_no", "$.items[]", fields)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
@@ -85,6 +88,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"""WITH k AS (SELECT arrival_no, {fingerprint} AS f FROM incoming_orders WHERE id IS NOT NULL AND source IS NOT NULL AND NOT {_BLANK})
 SELECT arrival_no FROM (SELECT arrival_no, f, row_number() OVER (PARTITION BY f ORDER BY arrival_no) AS n FROM k) WHERE n > 1 OR f IN (SELECT lower(hex(fingerprint)) FROM seen)""",
+        "p3_order_items": """SELECT ordinal AS order_no, 0 AS record_no, '$.items[' || (i - 1) || ']' AS node_path, '$' AS parent_path, (i - 1)::INTEGER AS ordinal, x->>'$.sku' AS sku, try_cast(x->>'$.qty' AS BIGINT) AS qty
+FROM (SELECT ordinal, unnest((_raw::JSON->'$.items')::JSON[]) AS x, generate_subscripts((_raw::JSON->'$.items')::JSON[], 1) AS i FROM bronze_orders WHERE json_type(_raw::JSON, '$.items') = 'ARRAY') WHERE json_type(x) = 'OBJECT'""",
         "p4_found": f"SELECT ordinal FROM (SELECT ordinal, {numbered}) WHERE n > 1",
         "p4_orders": f"SELECT * REPLACE (_ingested_at AT TIME ZONE 'UTC' AS _ingested_at) FROM bronze_orders WHERE ordinal NOT IN (SELECT ordinal FROM (SELECT ordinal, {numbered}) WHERE n > 1)",
     }

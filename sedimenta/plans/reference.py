@@ -330,8 +330,12 @@ def empty_retry(spark, d):
 
 @query("SELECT connector_name, run_id, rows_loaded FROM run_log QUALIFY row_number() OVER (PARTITION BY connector_name ORDER BY finished_at DESC NULLS LAST, run_id, rows_loaded) = 1")
 def latest_run_per_key(spark, d):
-    by = Window.partitionBy("connector_name").orderBy(F.col("finished_at").desc_nulls_last(), F.col("run_id").asc_nulls_last(), F.col("rows_loaded").asc_nulls_last())
-    return table(spark, d, "run_log").withColumn("r", F.row_number().over(by)).filter("r = 1").select("connector_name", "run_id", "rows_loaded")
+    log = table(spark, d, "run_log").select("connector_name", "run_id", "rows_loaded", "finished_at")
+    # a partial aggregate finds the newest time; only runs of that time are ranked
+    newest = log.groupBy("connector_name").agg(F.max("finished_at").alias("newest"))
+    tied = profile.join_nullsafe(log, newest, ["connector_name"]).filter(F.col("finished_at").eqNullSafe(F.col("newest")))
+    by = Window.partitionBy("connector_name").orderBy(F.col("run_id").asc_nulls_last(), F.col("rows_loaded").asc_nulls_last())
+    return tied.withColumn("r", F.row_number().over(by)).filter("r = 1").select("connector_name", "run_id", "rows_loaded")
 
 
 @query("SELECT run_id, status, rows_loaded FROM (SELECT DISTINCT run_id, status, rows_loaded, finished_at FROM run_log WHERE connector_name = 'orders_vudego') ORDER BY finished_at DESC NULLS LAST, run_id, status, rows_loaded LIMIT 20")

@@ -75,7 +75,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def spread(df: DataFrame) -> DataFrame:
     """Deals rows out anew if the input has fewer splits than half the cores, as a Parquet row group
     is one task however long Python takes over it. Only small inputs have so few splits, so what
-    shuffles here is less than a split a core; larger inputs pass unchanged."""
+    shuffles here is less than a split a core; larger inputs pass unchanged, as do plans that
+    exchange rows already (to count their splits would run them)."""
+    plan = df._jdf.queryExecution().executedPlan()
+    if "Exchange" in plan.toString() or plan.nodeName().startswith("AdaptiveSparkPlan"):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 

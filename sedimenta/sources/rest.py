@@ -1,7 +1,5 @@
 """Paged JSON sources as DataFrames: a serial Python data source whose pages are staged once."""
 
-from __future__ import annotations
-
 import json
 import time
 import uuid
@@ -11,6 +9,7 @@ from datetime import date
 from typing import Any
 from urllib.parse import urljoin
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -196,7 +195,7 @@ class ExtractionSession:
     ``records``: the projected, filtered, deduplicated JSON records (ordinal, raw). Used as a
     context manager it aborts unless committed."""
 
-    def __init__(self, connector: RestConnector, spark: SparkSession, window: IncrementalWindow):
+    def __init__(self, connector: "RestConnector", spark: SparkSession, window: IncrementalWindow):
         self.connector, self.spark, self.window = connector, spark, window
         self.state = "open"
         self.max_data_date: date | None = None
@@ -260,7 +259,7 @@ class RestConnector:
     each key after the projection; ``date_field`` drives the client-side window (unless
     ``start_param`` sends it to the source) and the checkpoint."""
 
-    def __init__(self, url: str, name: str | None = None, *, method: str = "GET", params: dict | None = None, records=None, select=None, pagination=None, auth=None, secrets=None, client: HttpClient | None = None, incremental: IncrementalStrategy | None = None, date_field: str | None = None, start_param: str | None = None, end_param: str | None = None, date_format: str = "%Y-%m-%d", primary_key=None, dedup: bool = False, record_transform: Callable[[dict], dict] | None = None, max_pages: int = MAX_PAGES, allow_cross_origin: bool = False):
+    def __init__(self, url: str, name: str | None = None, *, method: str = "GET", params: dict | None = None, records=None, select=None, pagination=None, auth=None, secrets=None, client: HttpClient | None = None, incremental: IncrementalStrategy | None = None, date_field: str | Callable[[dict], Any] | None = None, start_param: str | None = None, end_param: str | None = None, date_format: str = "%Y-%m-%d", primary_key=None, dedup: bool = False, record_transform: Callable[[dict], dict] | None = None, max_pages: int = MAX_PAGES, allow_cross_origin: bool = False):
         client = client or HttpClient(resolve_auth(auth), secrets)
         self.endpoint = Endpoint(url, method, dict(params or {}), records, pagination, client, start_param, end_param, date_format, max_pages, allow_cross_origin)
         self.name = name or _default_name(url)
@@ -293,7 +292,7 @@ class RestConnector:
     def _extract(self, session: ExtractionSession) -> DataFrame:
         rows = self.raw_records(session.spark, session.window)
         if self.date_field:
-            day = parse_date(json_path(F.col("raw"), tuple(self.date_field.split("."))))
+            day = parse_date(self._date_text())
             dated = not isinstance(self.incremental, NoIncrementalStrategy)
             if dated and not self.endpoint.start_param:
                 rows = incremental.filter_window(rows, day, session.window)
@@ -301,6 +300,19 @@ class RestConnector:
             session.max_data_date, session.invalid_dates = seen["max_data_date"], seen["invalid_dates"]
         return staged(self.shape(rows), "records")
 
+    def _date_text(self):
+        """Text at the dotted date field, or what a callable makes of each record."""
+        if not callable(self.date_field):
+            return json_path(F.col("raw"), tuple(self.date_field.split(".")))
+        pick = self.date_field
+
+        @F.pandas_udf("string")
+        def text(raw: pd.Series) -> pd.Series:
+            found = (pick(json.loads(r)) for r in raw)
+            return pd.Series([v.isoformat() if isinstance(v, date) else None if v is None else str(v) for v in found], dtype=object)
+
+        return text(F.col("raw"))
+
     def shape(self, rows: DataFrame) -> DataFrame:
         """Transform, projection and deduplication of (ordinal, raw), in this order."""
         fields, transform = self.select, self.record_transform
@@ -364,7 +376,7 @@ class RestConnector:
         return {
             "name": self.name, "url": e.url.partition("?")[0], "method": e.method, "records": e.records if isinstance(e.records, str) or e.records is None else "callable",
             "pagination": e.pagination.kind, "select": {".".join(map(str, s)): a for s, a in self.select} if self.select else None, "primary_key": list(self.primary_key),
-            "dedup": self.dedup_enabled, "incremental": self.incremental.mode, "date_field": self.date_field, "auth": e.client.auth.identity,
+            "dedup": self.dedup_enabled, "incremental": self.incremental.mode, "date_field": self.date_field if not callable(self.date_field) else "callable", "auth": e.client.auth.identity,
         }
 
     def to(self, destination, target: str, **options):

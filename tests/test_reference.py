@@ -18,7 +18,7 @@ from sedimenta import errors
 from sedimenta.functions import paths, text, types, values
 from sedimenta.operators import bronze, dedup, incremental, profile, report
 from sedimenta.operators.incremental import IncrementalStrategy, IncrementalWindow, Watermark
-from sedimenta.plans import config, pipeline, reference
+from sedimenta.plans import config, pipeline, reference, schedule
 from sedimenta.plans.pipeline import Pipeline
 from sedimenta.sinks.parquet import ParquetDestination, batch_size, write_mode
 from sedimenta.sinks.state import InspectionStateStore, JsonlRunLog, JsonStateStore, MemoryStateStore
@@ -509,6 +509,38 @@ def test_config(spark, tmp_path):
     assert config.load_config(str(tmp_path / "p.json")) == {"name": "p"}
 
 
+def test_schedule():
+    monday = datetime(2026, 3, 2, 10, 30, 20)
+    for line, at in {"*/15 * * * *": datetime(2026, 3, 2, 10, 45), "0 6 * * 1-5": datetime(2026, 3, 3, 6), "0 0 1 * *": datetime(2026, 4, 1), "0 0 29 2 *": datetime(2028, 2, 29), "0 0 13 * 5": datetime(2026, 3, 6), "0 0 * * 7": datetime(2026, 3, 8)}.items():
+        assert schedule.CronTrigger(line).after(monday) == at, line
+    for bad in ("* * * *", "60 * * * *", "a * * * *", "5-1 * * * *", "*/0 * * * *"):
+        with pytest.raises(ValueError):
+            schedule.CronTrigger(bad)
+    waits, runs = [], iter([1, 2, ValueError("x")])
+
+    def job():
+        r = next(runs)
+        if isinstance(r, Exception):
+            raise r
+        return r
+
+    s = schedule.Scheduler(job, schedule.IntervalTrigger(30), clock=lambda: monday, sleep=waits.append)
+    assert s.run(2) == [1, 2] and waits == [30.0, 30.0]
+    with pytest.raises(errors.ScheduledPipelineError):
+        s.run()
+
+
+def test_delta_needs_its_package(spark, tmp_path):
+    with pytest.raises(errors.AdapterNotFoundError):
+        pipeline.destination("delta", root=str(tmp_path)).load(spark.range(1), "t", "k")
+
+
+def test_callable_date_field(spark):
+    store = MemoryStateStore()
+    c = connector(ORDERS, pagination=False, date_field=lambda r: r["d"][:10], incremental=IncrementalStrategy(store, "o"))
+    assert len(c.collect(spark, date(2026, 1, 6))) == 2 and store.get("o").last_data_date == date(2026, 1, 6)
+
+
 # ---- streaming -----------------------------------------------------------------------------------
 
 
