@@ -7,11 +7,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedimenta.functions.paths import parse_path, read_path
-from sedimenta.functions.values import json_type, loads_strict
+from sedimenta.functions.values import column_name, json_type, loads_strict
 from sedimenta.session import free_name, spread
 
 _PLAIN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
@@ -34,8 +34,13 @@ def records_of(body: object, path: str | None) -> list | None:
     return found if type(found) is list else None
 
 
+def _scalar_text(value: object) -> str | None:
+    """Texts as they are, numbers and booleans as JSON, null and containers as null."""
+    return value if type(value) is str else None if value is None or type(value) in (dict, list) else json.dumps(value)
+
+
 def adjacency(record: object, scalars: bool | frozenset[str]) -> Iterator[tuple]:
-    """(node_path, parent_path, entity, label, ordinal, kind, scalar) of one record.
+    """(node_path, parent_path, entity, label, ordinal, kind, scalar, parent_entity) of one record.
 
     Listed nodes (the record, and each object that is an array element at any depth) have kind
     ``object`` or, for a record of another type, its JSON type; ``entity`` is the node path with
@@ -44,40 +49,40 @@ def adjacency(record: object, scalars: bool | frozenset[str]) -> Iterator[tuple]
     ``key[]``. A set of labels as ``scalars`` gives only those."""
     every = scalars is True
     some = scalars or frozenset()
-    yield "$", "", "$", None, None, json_type(record), None if type(record) in (dict, list) else json.dumps(record, ensure_ascii=False)
-    # (value, path, entity, owner, label): owner is the nearest listed object around the value
-    stack = [(record, "$", "$", "$", "")]
+    yield "$", "", "$", None, None, json_type(record), _scalar_text(record), ""
+    # (value, path, entity, owner, label, above): owner is the nearest listed object around the value, above its entity
+    stack = [(record, "$", "$", "$", "", "$")]
     while stack:
-        value, path, entity, owner, label = stack.pop()
+        value, path, entity, owner, label, above = stack.pop()
         if type(value) is dict:
             for key, child in reversed(value.items()):
                 kind = type(child)
                 step = _step(key)
                 name = f"{label}.{key}" if label else key
                 if kind is dict or kind is list:
-                    stack.append((child, path + step, entity + step, owner, name))
+                    stack.append((child, path + step, entity + step, owner, name, above))
                 elif every or (some and name in some):
-                    yield path + step, owner, entity + step, name, None, json_type(child), None if child is None else child if kind is str else json.dumps(child)
+                    yield path + step, owner, entity + step, name, None, json_type(child), _scalar_text(child), above
         elif type(value) is list:
             for i in range(len(value) - 1, -1, -1):
                 child, at = value[i], f"{path}[{i}]"
                 if type(child) is dict:
-                    yield at, owner, entity + "[]", label or None, i, "object", None
-                    stack.append((child, at, entity + "[]", at, ""))
+                    yield at, owner, entity + "[]", label or None, i, "object", None, above
+                    stack.append((child, at, entity + "[]", at, "", entity + "[]"))
                 elif type(child) is list:
-                    stack.append((child, at, entity + "[]", owner, label + "[]"))
+                    stack.append((child, at, entity + "[]", owner, label + "[]", above))
                 elif every or (some and label + "[]" in some):
-                    yield at, owner, entity + "[]", label + "[]", i, json_type(child), None if child is None else child if type(child) is str else json.dumps(child)
+                    yield at, owner, entity + "[]", label + "[]", i, json_type(child), _scalar_text(child), above
 
 
-_SCHEMA = "page string, record_no int, node_path string, parent_path string, entity string, label string, ordinal int, kind string, scalar string"
-_KINDS = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string()]
+_SCHEMA = "page string, record_no int, node_path string, parent_path string, entity string, label string, ordinal int, kind string, scalar string, parent_entity string"
+_KINDS = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
 _CHUNK = 20_000
 
 
 def shred(df: DataFrame, key: str, raw: str, path: str | None = None, scalars: bool | frozenset[str] = True) -> DataFrame:
-    """Adjacency table (key, record_no, node_path, parent_path, entity, label, ordinal, kind, scalar)
-    of the records in the JSON text ``raw``, whose list lies at the path in column ``path`` (no
+    """Adjacency table (key, record_no, node_path, parent_path, entity, label, ordinal, kind, scalar,
+    parent_entity) of the records in the JSON text ``raw``, whose list lies at the path in column ``path`` (no
     column: a list body is the list, an object the only record).
 
     Null, blank and invalid JSON and pages without a list at the path give no rows; NaN and
@@ -91,7 +96,7 @@ def shred(df: DataFrame, key: str, raw: str, path: str | None = None, scalars: b
         rows: list[tuple] = []
 
         def flush() -> pa.RecordBatch:
-            out = list(zip(*rows)) if rows else [[]] * 9
+            out = list(zip(*rows)) if rows else [[]] * 10
             rows.clear()
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _KINDS)], names=[x.split()[0] for x in _SCHEMA.split(", ")])
 
@@ -150,10 +155,83 @@ def entity_table(nodes: DataFrame, key: str, entity: str, fields: dict[str, str]
     return objects.join(pivot, [key, "record_no", "node_path"], "left")
 
 
+def _below(nodes: DataFrame) -> tuple[Column, Column]:
+    """Whether a row is a scalar field (no array element) of a listed node, and its path below that node."""
+    field = (F.col("node_path") != "$") & F.col("ordinal").isNull()
+    return field, F.expr("substring(entity, length(parent_entity) + 1)")
+
+
+def whole_entity(nodes: DataFrame, key: str, entities: list[str], fields: dict[str, str] | None = None) -> DataFrame:
+    """The relational table of all nodes of ``entities`` with every scalar field found below them:
+    (entity, key, record_no, node_path, parent_path, ordinal, field...). ``nodes`` must be staged.
+
+    The fields are found in the data, so none is left out; ``fields`` (label -> type) are there also
+    if no value is. A column is bigint, double or boolean if all its values are and cast without
+    loss, else string. JSON null and missing are null; a field that is null everywhere (a list or
+    object not given) has no column. Names are the labels with unsafe characters as ``_``; clashing
+    ones get leading underscores. Array elements that are scalars are in ``element_values``."""
+    field, below = _below(nodes)
+    mine = field & F.col("parent_entity").isin(entities)
+    scalar, kinds = F.col("scalar"), F.collect_set("kind")
+    whole = scalar.try_cast("bigint")
+    exact = F.when(F.col("kind") == "integer", whole.isNotNull())
+    found = nodes.filter(mine & scalar.isNotNull()).groupBy(below.alias("below")).agg(
+        F.min("label").alias("label"), kinds.alias("kinds"), F.bool_and(exact).alias("fits"),
+        F.bool_and(F.when(F.col("kind") == "integer", F.coalesce(F.abs(whole) <= 2**53, F.lit(False)))).alias("exact"),
+    ).collect()
+    typed: dict[str, tuple[str, str]] = {"".join(_step(k) for k in n.split(".")): (n, t) for n, t in (fields or {}).items()}
+    declared = list(typed)
+    for r in found:
+        held = set(r["kinds"])
+        kind = "string"
+        if held == {"integer"} and r["fits"]:
+            kind = "bigint"
+        elif held == {"number"} or (held == {"integer", "number"} and r["exact"]):
+            kind = "double"
+        elif held == {"boolean"}:
+            kind = "boolean"
+        typed[r["below"]] = (r["label"], kind)
+    order = declared + sorted(b for b in typed if b not in declared)
+    at = F.when(field, F.col("parent_path")).otherwise(F.col("node_path"))
+    listed_here = F.col("entity").isin(entities) & ((F.col("node_path") == "$") | ((F.col("kind") == "object") & F.col("ordinal").isNotNull()))
+    names = ["entity", key, "record_no", "node_path", "parent_path", "ordinal"]
+    columns = []
+    for b in order:
+        label, kind = typed[b]
+        name = free_name(names, column_name(label))
+        names.append(name)
+        columns.append(F.max(F.when(F.col("field") & (F.col("below") == b), F.col("scalar"))).try_cast(kind).alias(name))
+    rows = nodes.filter(mine | listed_here).select(F.col(f"`{key}`"), "record_no", at.alias("__at"), field.alias("field"), below.alias("below"), "scalar", "entity", "parent_path", "ordinal")
+    own = lambda c: F.max(F.when(~F.col("field"), F.col(c))).alias(c)
+    out = rows.groupBy(key, "record_no", "__at").agg(own("entity"), own("parent_path"), own("ordinal"), *columns)
+    return out.withColumnRenamed("__at", "node_path").select(*[f"`{n}`" for n in names])
+
+
+def other_entities(nodes: DataFrame, key: str, entities: list[str]) -> DataFrame:
+    """Every listed node of an entity that is not in ``entities``, with its scalar fields as a map
+    from the path below the node to the text: what has no table of its own."""
+    field, below = _below(nodes)
+    owner = F.when(field, F.col("parent_entity")).otherwise(F.col("entity"))
+    kept = (field & F.col("kind").isin("null", "boolean", "integer", "number", "string")) | (F.col("node_path") == "$") | ((F.col("kind") == "object") & F.col("ordinal").isNotNull())
+    rows = nodes.filter(kept & ~owner.isin(entities)).select(F.col(f"`{key}`"), "record_no", F.when(field, F.col("parent_path")).otherwise(F.col("node_path")).alias("__at"), field.alias("field"), F.struct(below.alias("key"), F.col("scalar").alias("value")).alias("pair"), "entity", "parent_path", "ordinal")
+    own = lambda c: F.max(F.when(~F.col("field"), F.col(c))).alias(c)
+    pairs = F.array_sort(F.collect_list(F.when(F.col("field"), F.col("pair"))))
+    out = rows.groupBy(key, "record_no", "__at").agg(own("entity"), own("parent_path"), own("ordinal"), F.map_from_entries(pairs).alias("fields"))
+    return out.withColumnRenamed("__at", "node_path").select("entity", f"`{key}`", "record_no", "node_path", "parent_path", "ordinal", "fields")
+
+
+def element_values(nodes: DataFrame, key: str) -> DataFrame:
+    """The child table of single values: array elements that are no containers (such as ``tags[]``),
+    and records that are no objects, with kind and text; a null element is a row of kind ``null``."""
+    element = F.col("ordinal").isNotNull() & (F.col("kind") != "object")
+    record = (F.col("node_path") == "$") & (F.col("kind") != "object")
+    return nodes.filter(element | record).select(f"`{key}`", "record_no", "node_path", "parent_path", "entity", "label", "ordinal", "kind", F.col("scalar").alias("value"))
+
+
 def record_counts(nodes: DataFrame, key: str) -> DataFrame:
     """(entity, nodes, parents, max_children): the shape of the shredded tables."""
     per_parent = listed(nodes).groupBy("entity", key, "record_no", "parent_path").agg(F.count("*").alias("n"))
     return per_parent.groupBy("entity").agg(F.sum("n").alias("nodes"), F.count("*").alias("parents"), F.max("n").alias("max_children"))
 
 
-__all__ = ["adjacency", "entity_table", "latest_paths", "listed", "page_nodes", "record_counts", "records_of", "shred"]
+__all__ = ["adjacency", "element_values", "entity_table", "latest_paths", "listed", "other_entities", "page_nodes", "record_counts", "records_of", "shred", "whole_entity"]

@@ -40,10 +40,44 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return shred.listed(nodes).select("page_id", "record_no", "node_path", "parent_path")
 
 
-def p3_records(spark: SparkSession, d: str) -> DataFrame:
-    fields = {"id": "bigint", "customer.id": "bigint", "note": "string"}
-    nodes = staged(shred.page_nodes(table(spark, d, "parsed_pages"), table(spark, d, "probe_results"), frozenset(fields)), "page-nodes")
-    return shred.entity_table(nodes, "page_id", "$", fields)
+_LINES = ("$.lineItems[]", '$["line-items"][]', "$.items[]")
+#: The entities of the pages: table -> entities (one thing under several spellings is one table) and the fields it always has.
+PAGE_ENTITIES: dict[str, tuple[list[str], dict[str, str]]] = {
+    "p3_records": (["$"], {"id": "bigint", "customer.id": "bigint", "note": "string"}),
+    "p3_line_items": ([*_LINES], {"sku": "string", "qty": "string"}),
+    "p3_discounts": ([f"{e}.discounts[]" for e in _LINES], {"code": "string", "amount": "double"}),
+    "p3_rules": ([f"{e}.discounts[].rules[]" for e in _LINES], {"kind": "string", "value": "bigint"}),
+    "p3_attrs": ([f"{e}.product.attrs[]" for e in _LINES], {"k": "string", "v": "bigint"}),
+    "p3_shipments": (["$.shipments[]"], {"carrier": "string", "address.city": "string", "address.geo.zone": "bigint"}),
+    "p3_events": (["$.shipments[].events[]"], {"status": "string", "at": "string"}),
+    "p3_contacts": (["$.customer.contacts[]"], {"kind": "string", "rank": "bigint"}),
+    "p3_audit_trail": (['$.meta["audit.trail"][]'], {"by": "string", "step": "bigint"}),
+    "p3_bundles": (["$.bundles[][]"], {"sku": "string"}),
+    "p3_bundle_parts": (["$.bundles[][].parts[]"], {"no": "bigint"}),
+}
+
+
+def _page_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return shred.page_nodes(table(spark, d, "parsed_pages"), table(spark, d, "probe_results"))
+
+
+def _page_entity(name: str):
+    entities, fields = PAGE_ENTITIES[name]
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        wanted = F.col("entity").isin(entities) | F.col("parent_entity").isin(entities)
+        return shred.whole_entity(staged(_page_nodes(spark, d).filter(wanted), "page-nodes"), "page_id", entities, fields)
+
+    run.__name__ = name
+    return run
+
+
+def p3_other_objects(spark: SparkSession, d: str) -> DataFrame:
+    return shred.other_entities(_page_nodes(spark, d), "page_id", [e for entities, _ in PAGE_ENTITIES.values() for e in entities])
+
+
+def p3_values(spark: SparkSession, d: str) -> DataFrame:
+    return shred.element_values(_page_nodes(spark, d), "page_id")
 
 
 def p3_order_items(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +109,7 @@ def p5_drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_table, p1_undocumented, p2_found, p2_errors, p3_found, p3_records, p3_order_items, p4_found, p4_orders, p5_found, p5_profile, p5_drift)}
+    return {f.__name__: f for f in (p1_found, p1_table, p1_undocumented, p2_found, p2_errors, p3_found, *map(_page_entity, PAGE_ENTITIES), p3_other_objects, p3_values, p3_order_items, p4_found, p4_orders, p5_found, p5_profile, p5_drift)}
 
 
 _BLANK = r"regexp_full_match(id, '[\s\x{1c}-\x{1f}\x{85}\p{Z}\v]*')"

@@ -217,3 +217,28 @@ def test_drift_statistics(spark):
     df = spark.createDataFrame(same + moved, "source string, load_no int, raw string")
     got = {r["source"]: (r["psi"], r["chi_square"]) for r in profile.load_drift(profile.path_value_counts(df, ["source", "load_no"], "raw")).collect()}
     assert got["s"] == pytest.approx((0, 0)) and got["t"][0] > 1 and got["t"][1] > 100
+
+
+def test_page_tables_hold_every_object_and_scalar(spark, tmp_path):
+    """Every listed object of the pages is in one table, with every scalar below it."""
+    from sedimenta.plans import problems
+
+    line = lambda n: {"sku": f"s{n}", "qty": n if n % 2 else "many", "product": {"name": "p", "attrs": [{"k": "c", "v": n}]}, "discounts": [{"code": "d", "amount": 1.5, "rules": [{"kind": "r", "value": n}]}]}
+    data = [
+        {"id": 1, "customer": {"id": 7, "contacts": [{"kind": "tel", "rank": 1}]}, "note": None, "tags": ["a", None, "b"], "lineItems": [line(1), 5], "meta": {"score": 3, "audit.trail": [{"by": "x", "step": 1}]}},
+        {"id": 2, "line-items": [line(2)], "items": [line(3)], "shipments": [{"carrier": "c", "address": {"city": "C", "geo": {"zone": 4}}, "events": [{"status": "ok", "at": "t"}]}], "bundles": [[{"sku": "z", "parts": [{"no": 1}]}]], "novel": [{"a": {"b": 1}, "ordinal": "o"}]},
+        "text", None, [{"deep": 2}],
+    ]
+    spark.createDataFrame([(1, "s", json.dumps(data)), (2, "s", None)], "page_id long, source string, raw string").write.parquet(str(tmp_path / "parsed_pages.parquet"))
+    spark.createDataFrame([("s", 1, None, 200)], "source string, probed_at int, records_path string, status_code int").write.parquet(str(tmp_path / "probe_results.parquet"))
+    queries, d = problems.queries(), str(tmp_path)
+    tables = {n: queries[n](spark, d) for n in [*problems.PAGE_ENTITIES, "p3_other_objects"]}
+    keys = ("page_id", "record_no", "node_path", "parent_path")
+    assert sorted((r for t in tables.values() for r in rows(t.select(*keys))), key=repr) == rows(queries["p3_found"](spark, d))
+    records = {r["record_no"]: r for r in tables["p3_records"].collect()}
+    assert (records[0]["id"], records[0]["customer_id"], records[0]["meta_score"], records[1]["id"]) == (1, 7, 3, 2)
+    assert sorted((r["sku"], r["qty"], r["product_name"]) for r in tables["p3_line_items"].collect()) == [("s1", "1", "p"), ("s2", "many", "p"), ("s3", "3", "p")]
+    assert rows(tables["p3_shipments"].select("carrier", "address_city", "address_geo_zone")) == [("c", "C", 4)]
+    assert sorted((r["entity"], r["fields"].get(".a.b") or r["fields"].get(".deep")) for r in tables["p3_other_objects"].collect()) == [("$.novel[]", "1"), ("$[]", "2")]
+    values = rows(queries["p3_values"](spark, d).select("record_no", "node_path", "kind", "value"))
+    assert values == sorted([(0, "$.tags[0]", "string", "a"), (0, "$.tags[1]", "null", None), (0, "$.tags[2]", "string", "b"), (0, "$.lineItems[1]", "integer", "5"), (2, "$", "string", "text"), (3, "$", "null", None), (4, "$", "array", None)], key=repr)
