@@ -39,6 +39,17 @@ def bad_timestamp(text: str) -> bool:
     return hour > 23 or minute > 59 or second > 59 or zone_hour > 23 or zone_minute > 59
 
 
+def moment(text: str) -> int | None:
+    """Microseconds since 1970 of a date or time as ``bad_timestamp`` takes it, without zone in UTC; None for other texts."""
+    if len(text) < 10 or text[4] != "-" or bad_timestamp(text):
+        return None
+    year, month, day, hour, minute, second, zone_hour, zone_minute = (int(x) if x else 0 for x in _STAMP.fullmatch(text).groups())
+    zone = (zone_hour * 60 + zone_minute) * (-1 if re.search(r"-\d{2}:\d{2}$", text) and len(text) > 10 else 1)
+    fraction = re.search(r"\.(\d+)", text)
+    seconds = ((date(year, month, day).toordinal() - 719_163) * 24 + hour) * 3600 + (minute - zone) * 60 + second
+    return seconds * 1_000_000 + (int(fraction.group(1)[:6].ljust(6, "0")) if fraction else 0)
+
+
 def walk_paths(record: object) -> Iterator[tuple[str, object]]:
     """(path, value) of every node below the root; keys joined by ``.``, array elements ``[]``."""
     stack: list[tuple[str, object]] = [("", record)]
@@ -55,15 +66,16 @@ def walk_paths(record: object) -> Iterator[tuple[str, object]]:
                 stack.append((below, child))
 
 
-_FREQ = "kind string, value binary, number double, n long, present long, empty long, blank long, bad long"
+_FREQ = "kind string, value binary, number double, moment long, n long, present long, empty long, blank long, bad long"
 
 
 def path_value_counts(df: DataFrame, keys: list[str], raw: str, values: Callable[[str], bool] | None = None, checks: dict[str, Callable[[str], bool]] | None = None) -> DataFrame:
-    """The unpivoted frequency table (keys..., path, kind, value, number, n, present, empty, blank,
-    bad) over the JSON records in ``raw``.
+    """The unpivoted frequency table (keys..., path, kind, value, number, moment, n, present, empty,
+    blank, bad) over the JSON records in ``raw``.
 
     One row for each path, JSON type and distinct value (``value``: 128-bit digest of its canonical
-    JSON; ``number`` for integers, numbers and booleans) with its occurrences ``n``. ``values``
+    JSON; ``number`` for integers, numbers and booleans, ``moment`` for strings that are a date or time)
+    with its occurrences ``n``. ``values``
     tells which paths are counted value by value (default all); of others ``value`` is null. The row of kind
     ``record`` of a path has in ``present`` the records that hold it; the row with a null path
     counts the records. Empty strings, arrays and objects count as ``empty``, strings that strip to
@@ -82,14 +94,14 @@ def path_value_counts(df: DataFrame, keys: list[str], raw: str, values: Callable
 
         def flush() -> pa.RecordBatch:
             merged: dict = {}
-            for (*k, path, kind, value, number, what), n in seen.items():
-                slot = merged.setdefault((*k, path, kind, value, number), [0] * 5)
+            for (*k, path, kind, value, number, at, what), n in seen.items():
+                slot = merged.setdefault((*k, path, kind, value, number, at), [0] * 5)
                 slot[what] += n
             seen.clear()
             rows = [(*k, *v) for k, v in merged.items()]
-            columns = list(zip(*rows)) if rows else [[] for _ in range(width + 9)]
-            every = [*kinds, pa.string(), pa.string(), pa.binary(), pa.float64(), *[pa.int64()] * 5]
-            names = [*keys, "path", "kind", "value", "number", "n", "present", "empty", "blank", "bad"]
+            columns = list(zip(*rows)) if rows else [[] for _ in range(width + 10)]
+            every = [*kinds, pa.string(), pa.string(), pa.binary(), pa.float64(), *[pa.int64()] * 6]
+            names = [*keys, "path", "kind", "value", "number", "moment", "n", "present", "empty", "blank", "bad"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, every)], names=names)
 
         for batch in batches:
@@ -97,7 +109,7 @@ def path_value_counts(df: DataFrame, keys: list[str], raw: str, values: Callable
                 kinds = [batch.column(i).type for i in range(width)]
             for *k, text in zip(*(batch.column(i).to_pylist() for i in range(width + 1))):
                 k = tuple(k)
-                seen[(*k, None, "record", None, None, 1)] += 1
+                seen[(*k, None, "record", None, None, None, 1)] += 1
                 try:
                     record = loads_strict(text) if text is not None else None
                 except ValueError:
@@ -107,12 +119,14 @@ def path_value_counts(df: DataFrame, keys: list[str], raw: str, values: Callable
                     there.add(path)
                     kind = json_type(value)
                     number = float(value) if kind in ("integer", "number", "boolean") and abs(value) < 1e300 else None
-                    digest = None
+                    digest = at = None
                     if values is None or values(path):
                         digest = hashlib.blake2b(canonical_json(value).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                        if kind == "string":
+                            at = moment(value)
                     else:
                         number = None
-                    slot = (*k, path, kind, digest, number)
+                    slot = (*k, path, kind, digest, number, at)
                     seen[(*slot, 0)] += 1
                     if kind == "string":
                         if not value:
@@ -124,7 +138,7 @@ def path_value_counts(df: DataFrame, keys: list[str], raw: str, values: Callable
                     elif (kind == "array" or kind == "object") and not value:
                         seen[(*slot, 2)] += 1
                 for path in there:
-                    seen[(*k, path, "record", None, None, 1)] += 1
+                    seen[(*k, path, "record", None, None, None, 1)] += 1
             if len(seen) > _FLUSH:
                 yield flush()
         if seen:
@@ -132,7 +146,7 @@ def path_value_counts(df: DataFrame, keys: list[str], raw: str, values: Callable
 
     rows = spread(df.select(*keyed, F.col(f"`{raw}`").alias("__raw"))).mapInArrow(count, schema)
     sums = [F.sum(c).alias(c) for c in ("n", "present", "empty", "blank", "bad")]
-    return rows.groupBy(*keys, "path", "kind", "value", "number").agg(*sums)
+    return rows.groupBy(*keys, "path", "kind", "value", "number", "moment").agg(*sums)
 
 
 def field_report(freq: DataFrame, keys: list[str], numbers: tuple[str, ...] = ()) -> DataFrame:
@@ -249,22 +263,63 @@ def load_findings(records: DataFrame, profiles: DataFrame | None = None, summari
     return rows
 
 
+def _edges(cells: DataFrame, keys: list[str], bins: int) -> DataFrame:
+    """(keys..., axis, edges): ascending upper bounds of ``bins`` quantile ranges of the places on each axis, the largest place last."""
+    group = [*keys, "path", "axis"]
+    at = cells.filter(F.col("axis").isNotNull()).groupBy(*group, "place").agg(F.sum("n").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy(*group).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = at.withColumns({"upto": upto, "total": F.sum("n").over(Window.partitionBy(*group))})
+    share = lambda c: F.floor(c * bins / F.col("total"))
+    return at.filter(share(F.col("upto")) > share(F.col("upto") - F.col("n"))).groupBy(*group).agg(F.array_sort(F.collect_list("place")).alias("edges"))
+
+
 def load_drift(freq: DataFrame, keys: tuple[str, str] = ("source", "load_no"), bins: int = 16) -> DataFrame:
-    """(source, load_no, path, psi, chi_square, n, n_before): how far each path's values moved from
-    the load before. Values fall in bins by type and by digest (``bins`` hash bins a type); shares of empty bins count
-    as half an occurrence in the population stability index; the chi-square statistic compares the
-    two loads as samples of one distribution."""
+    """(source, load_no, path, psi, chi_square, n, n_before, missing, missing_before): how far each
+    path's values moved from the load before, for each path of either load; the first load of a
+    source has no rows. ``freq`` is counted by value and read several times: stage it.
+
+    Numbers and dates fall in ranges, by type, between ``bins`` quantiles of the load before (and
+    above its largest value). Nulls and booleans are bins of their own; so is each text, array or
+    object that is at least 1 of 2 * ``bins`` occurrences in either load, all others of a type
+    are one bin. Records without the path are one more bin. Shares of empty bins count as half an occurrence in the population
+    stability index; the chi-square statistic compares the two loads as samples of one distribution.
+    ``n`` is occurrences and ``missing`` records."""
     source, load = keys
-    kind = F.col("kind") != "record"
-    bin_of = F.concat_ws(":", "kind", F.pmod(F.xxhash64("value"), F.lit(bins)).cast("string"))
-    counts = freq.filter(kind & F.col("path").isNotNull()).groupBy(source, load, "path", bin_of.alias("bin")).agg(F.sum("n").alias("n"))
-    moved = counts.withColumn(load, (F.col(load) + 1).cast("int"))
-    votes = counts.select(source, load, "path", "bin", F.col("n").alias("now"), F.lit(0).cast("long").alias("old")).unionByName(moved.select(source, load, "path", "bin", F.lit(0).cast("long").alias("now"), F.col("n").alias("old")))
-    per_bin = votes.groupBy(source, load, "path", "bin").agg(F.sum("now").alias("now"), F.sum("old").alias("old"))
-    both = Window.partitionBy(source, load, "path")
-    per_bin = per_bin.withColumns({"n": F.sum("now").over(both), "m": F.sum("old").over(both)}).filter("n > 0 and m > 0")
+    by = [source, load]
+    next_load = lambda df: df.withColumn(load, (F.col(load) + 1).cast(freq.schema[load].dataType))
+    records = freq.filter(F.col("path").isNull()).groupBy(*by).agg(F.sum("present").alias("records"))
+    pairs = join_nullsafe(records, next_load(records), by, suffix="_before")
+    on_axis = F.when(F.col("kind").isin("integer", "number") & F.col("number").isNotNull(), F.lit("number")).when(F.col("moment").isNotNull(), F.lit("date"))
+    place = F.when(F.col("kind").isin("integer", "number"), F.col("number")).otherwise(F.col("moment").cast("double"))
+    cells = freq.filter(F.col("path").isNotNull() & (F.col("kind") != "record")).select(*by, "path", "kind", "value", on_axis.alias("axis"), place.alias("place"), "n")
+    zero = F.lit(0).cast("long")
+
+    def votes(rows: DataFrame, what: str, *group: str) -> DataFrame:
+        now = rows.select(*group, F.col(what).alias("now"), zero.alias("old"))
+        before = next_load(rows).select(*group, zero.alias("now"), F.col(what).alias("old"))
+        return now.unionByName(before).groupBy(*group).agg(F.sum("now").alias("now"), F.sum("old").alias("old"))
+
+    values = votes(cells, "n", *by, "path", "kind", "value", "axis", "place")
+    totals = votes(cells, "n", *by, "path").withColumnsRenamed({"now": "n", "old": "m"})
+    values = join_nullsafe(join_nullsafe(values, totals, [*by, "path"]), next_load(_edges(cells, by, bins)), [*by, "path", "axis"], "left")
+    frequent = (F.col("now") * 2 * bins >= F.greatest("n", F.lit(1))) | (F.col("old") * 2 * bins >= F.greatest("m", F.lit(1)))
+    range_no = F.size(F.filter(F.coalesce("edges", F.array().cast("array<double>")), lambda e: e < F.col("place")))
+    own = F.col("kind").isin("null", "boolean") | frequent
+    name = F.when(F.col("axis").isNotNull(), F.concat_ws(":", "kind", "axis", range_no.cast("string"))).when(own, F.concat_ws(":", "kind", F.lit("is"), F.hex("value"))).otherwise(F.concat_ws(":", "kind", F.lit("other")))
+    per_bin = values.groupBy(*by, "path", name.alias("bin")).agg(F.sum("now").alias("now"), F.sum("old").alias("old"))
+
+    present = freq.filter(F.col("path").isNotNull() & (F.col("kind") == "record")).groupBy(*by, "path").agg(F.sum("present").alias("present"))
+    lack = join_nullsafe(votes(present, "present", *by, "path"), pairs, by).select(*by, "path", F.lit("missing").alias("bin"), (F.col("records") - F.col("now")).alias("now"), (F.col("records_before") - F.col("old")).alias("old"))
+    per_bin = join_nullsafe(per_bin, pairs.select(*by), by).unionByName(lack).filter("now + old > 0")
+
+    both = Window.partitionBy(*by, "path")
+    per_bin = per_bin.withColumns({"n": F.sum("now").over(both), "m": F.sum("old").over(both)})
     p, q = F.greatest(F.col("now"), F.lit(0.5)) / F.col("n"), F.greatest(F.col("old"), F.lit(0.5)) / F.col("m")
     total = F.col("now") + F.col("old")
     expect_n, expect_m = total * F.col("n") / (F.col("n") + F.col("m")), total * F.col("m") / (F.col("n") + F.col("m"))
     chi = (F.col("now") - expect_n) ** 2 / expect_n + (F.col("old") - expect_m) ** 2 / expect_m
-    return per_bin.groupBy(source, load, "path").agg(F.sum((p - q) * F.log(p / q)).alias("psi"), F.sum(chi).alias("chi_square"), F.max("n").alias("n"), F.max("m").alias("n_before"))
+    of = lambda c, missing: F.sum(F.when((F.col("bin") == "missing") == missing, F.col(c)).otherwise(0))
+    return per_bin.groupBy(*by, "path").agg(
+        F.sum((p - q) * F.log(p / q)).alias("psi"), F.sum(chi).alias("chi_square"),
+        of("now", False).alias("n"), of("old", False).alias("n_before"), of("now", True).alias("missing"), of("old", True).alias("missing_before"),
+    )

@@ -105,7 +105,8 @@ def p5_profile(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_drift(spark: SparkSession, d: str) -> DataFrame:
-    return profile.load_drift(profile.path_value_counts(table(spark, d, "profile_records"), ["source", "load_no"], "raw"))
+    freq = profile.path_value_counts(table(spark, d, "profile_records"), ["source", "load_no"], "raw")
+    return profile.load_drift(staged(freq, "profile-counts"))
 
 
 def queries() -> dict:

@@ -242,3 +242,27 @@ def test_page_tables_hold_every_object_and_scalar(spark, tmp_path):
     assert sorted((r["entity"], r["fields"].get(".a.b") or r["fields"].get(".deep")) for r in tables["p3_other_objects"].collect()) == [("$.novel[]", "1"), ("$[]", "2")]
     values = rows(queries["p3_values"](spark, d).select("record_no", "node_path", "kind", "value"))
     assert values == sorted([(0, "$.tags[0]", "string", "a"), (0, "$.tags[1]", "null", None), (0, "$.tags[2]", "string", "b"), (0, "$.lineItems[1]", "integer", "5"), (2, "$", "string", "text"), (3, "$", "null", None), (4, "$", "array", None)], key=repr)
+
+
+def test_drift_of_many_values_and_of_paths_in_one_load(spark):
+    rng = random.Random(3)
+    made = lambda load, f: [("s" if f is not None else None, load, json.dumps(f(i))) for i in range(400)]
+    steady = lambda i: {"far": rng.gauss(50, 9), "day": f"2026-01-{rng.randint(1, 28):02d}", "word": rng.choice("abcd"), "key": f"k{rng.random()}", "some": 1, "old": i}
+    moved = lambda i: {"far": rng.gauss(90, 9), "day": f"2026-03-{rng.randint(1, 28):02d}", "word": rng.choice("aaab"), "key": "same" if i % 2 else f"k{rng.random()}", "new": i} | ({"some": 1} if i % 2 else {})
+    df = spark.createDataFrame([*made(1, steady), *made(2, steady), *made(3, moved), (None, 1, '{"x": 1}'), (None, 2, '{"y": 1}')], "source string, load_no int, raw string")
+    got = {(r["source"], r["load_no"], r["path"]): r for r in profile.load_drift(profile.path_value_counts(df, ["source", "load_no"], "raw")).collect()}
+    for path in ("far", "day", "word", "key", "some"):
+        assert got["s", 2, path]["psi"] < 0.2 and got["s", 3, path]["psi"] > 0.4, path
+    assert got["s", 3, "far"]["psi"] > 3 and got["s", 3, "day"]["psi"] > 3
+    assert (got["s", 3, "old"]["n"], got["s", 3, "old"]["missing"], got["s", 3, "new"]["n_before"], got["s", 3, "new"]["missing_before"]) == (0, 400, 0, 400)
+    assert got["s", 3, "old"]["psi"] > 3 and got["s", 3, "new"]["chi_square"] > 400
+    assert {k for k in got if k[0] is None} == {(None, 2, "x"), (None, 2, "y")} and not [k for k in got if k[1] in (1, 4)]
+
+
+def test_moments():
+    from datetime import datetime
+
+    for text in ("2026-02-28", "2024-02-29T23:59:59.5-03:00", "2026-01-01 10:00:00", "1969-12-31T23:00:00Z", "2026-01-01T00:30:00+05:30"):
+        at = datetime.fromisoformat(text)
+        assert profile.moment(text) == round((at if at.tzinfo else at.replace(tzinfo=__import__("datetime").timezone.utc)).timestamp() * 1e6), text
+    assert profile.moment("2026-02-30") is None and profile.moment("plain text here") is None
