@@ -50,6 +50,10 @@ def moment(text: str) -> int | None:
     return seconds * 1_000_000 + (int(fraction.group(1)[:6].ljust(6, "0")) if fraction else 0)
 
 
+#: The patterns the problem names, by path.
+CHECKS: dict[str, Callable[[str], bool]] = {"email": bad_email, "updated_at": bad_timestamp}
+
+
 def walk_paths(record: object) -> Iterator[tuple[str, object]]:
     """(path, value) of every node below the root; keys joined by ``.``, array elements ``[]``."""
     stack: list[tuple[str, object]] = [("", record)]
@@ -66,15 +70,16 @@ def walk_paths(record: object) -> Iterator[tuple[str, object]]:
                 stack.append((below, child))
 
 
-_FREQ = "kind string, value binary, number double, moment long, n long, present long, empty long, blank long, bad long"
+_FREQ = "kind string, value binary, number double, moment long, length int, n long, present long, empty long, blank long, bad long"
 
 
 def path_value_counts(df: DataFrame, keys: list[str], raw: str, values: Callable[[str], bool] | None = None, checks: dict[str, Callable[[str], bool]] | None = None) -> DataFrame:
-    """The unpivoted frequency table (keys..., path, kind, value, number, moment, n, present, empty,
-    blank, bad) over the JSON records in ``raw``.
+    """The unpivoted frequency table (keys..., path, kind, value, number, moment, length, n, present,
+    empty, blank, bad) over the JSON records in ``raw``.
 
     One row for each path, JSON type and distinct value (``value``: 128-bit digest of its canonical
-    JSON; ``number`` for integers, numbers and booleans, ``moment`` for strings that are a date or time)
+    JSON; ``number`` for integers, numbers and booleans, ``length`` for strings,
+    ``moment`` for those that are a date or time)
     with its occurrences ``n``. ``values``
     tells which paths are counted value by value (default all); of others ``value`` is null. The row of kind
     ``record`` of a path has in ``present`` the records that hold it; the row with a null path
@@ -94,14 +99,14 @@ def path_value_counts(df: DataFrame, keys: list[str], raw: str, values: Callable
 
         def flush() -> pa.RecordBatch:
             merged: dict = {}
-            for (*k, path, kind, value, number, at, what), n in seen.items():
-                slot = merged.setdefault((*k, path, kind, value, number, at), [0] * 5)
+            for (*k, path, kind, value, number, at, length, what), n in seen.items():
+                slot = merged.setdefault((*k, path, kind, value, number, at, length), [0] * 5)
                 slot[what] += n
             seen.clear()
             rows = [(*k, *v) for k, v in merged.items()]
-            columns = list(zip(*rows)) if rows else [[] for _ in range(width + 10)]
-            every = [*kinds, pa.string(), pa.string(), pa.binary(), pa.float64(), *[pa.int64()] * 6]
-            names = [*keys, "path", "kind", "value", "number", "moment", "n", "present", "empty", "blank", "bad"]
+            columns = list(zip(*rows)) if rows else [[] for _ in range(width + 11)]
+            every = [*kinds, pa.string(), pa.string(), pa.binary(), pa.float64(), pa.int64(), pa.int32(), *[pa.int64()] * 5]
+            names = [*keys, "path", "kind", "value", "number", "moment", "length", "n", "present", "empty", "blank", "bad"]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, every)], names=names)
 
         for batch in batches:
@@ -109,7 +114,7 @@ def path_value_counts(df: DataFrame, keys: list[str], raw: str, values: Callable
                 kinds = [batch.column(i).type for i in range(width)]
             for *k, text in zip(*(batch.column(i).to_pylist() for i in range(width + 1))):
                 k = tuple(k)
-                seen[(*k, None, "record", None, None, None, 1)] += 1
+                seen[(*k, None, "record", None, None, None, None, 1)] += 1
                 try:
                     record = loads_strict(text) if text is not None else None
                 except ValueError:
@@ -119,14 +124,14 @@ def path_value_counts(df: DataFrame, keys: list[str], raw: str, values: Callable
                     there.add(path)
                     kind = json_type(value)
                     number = float(value) if kind in ("integer", "number", "boolean") and abs(value) < 1e300 else None
-                    digest = at = None
+                    digest = at = length = None
                     if values is None or values(path):
                         digest = hashlib.blake2b(canonical_json(value).encode("utf-8", "surrogatepass"), digest_size=16).digest()
                         if kind == "string":
-                            at = moment(value)
+                            at, length = moment(value), len(value)
                     else:
                         number = None
-                    slot = (*k, path, kind, digest, number, at)
+                    slot = (*k, path, kind, digest, number, at, length)
                     seen[(*slot, 0)] += 1
                     if kind == "string":
                         if not value:
@@ -138,7 +143,7 @@ def path_value_counts(df: DataFrame, keys: list[str], raw: str, values: Callable
                     elif (kind == "array" or kind == "object") and not value:
                         seen[(*slot, 2)] += 1
                 for path in there:
-                    seen[(*k, path, "record", None, None, None, 1)] += 1
+                    seen[(*k, path, "record", None, None, None, None, 1)] += 1
             if len(seen) > _FLUSH:
                 yield flush()
         if seen:
@@ -146,13 +151,14 @@ def path_value_counts(df: DataFrame, keys: list[str], raw: str, values: Callable
 
     rows = spread(df.select(*keyed, F.col(f"`{raw}`").alias("__raw"))).mapInArrow(count, schema)
     sums = [F.sum(c).alias(c) for c in ("n", "present", "empty", "blank", "bad")]
-    return rows.groupBy(*keys, "path", "kind", "value", "number", "moment").agg(*sums)
+    return rows.groupBy(*keys, "path", "kind", "value", "number", "moment", "length").agg(*sums)
 
 
 def field_report(freq: DataFrame, keys: list[str], numbers: tuple[str, ...] = ()) -> DataFrame:
     """One row for each (keys..., path): records_present, occurrences, missing, nulls, empties,
     blanks, bad values, a count per JSON type, distinct values (null counts as one; 0 where values
-    were not counted), numeric range, and the number of types besides null."""
+    were not counted), ranges of numbers, of string lengths in characters and of dates and times (strings that are
+    one, in UTC; null where values were not counted), and the number of types besides null."""
     per = freq.filter(F.col("path").isNotNull()).groupBy(*keys, "path").agg(
         F.sum(F.when(F.col("kind") == "record", F.col("present"))).alias("records_present"),
         F.sum("n").alias("occurrences"),
@@ -165,6 +171,10 @@ def field_report(freq: DataFrame, keys: list[str], numbers: tuple[str, ...] = ()
         F.count("value").alias("distinct_values"),
         F.min(F.when(F.col("kind") != "boolean", F.col("number"))).alias("min_number"),
         F.max(F.when(F.col("kind") != "boolean", F.col("number"))).alias("max_number"),
+        F.min("length").alias("min_length"),
+        F.max("length").alias("max_length"),
+        F.timestamp_micros(F.min("moment")).alias("min_time"),
+        F.timestamp_micros(F.max("moment")).alias("max_time"),
         F.sum(F.when((F.col("kind") == "boolean") & (F.col("number") == 1), F.col("n")).otherwise(0)).alias("n_true"),
         F.sum(F.when((F.col("kind") == "boolean") & F.col("number").isNotNull(), F.col("n")).otherwise(0)).alias("n_flag"),
     )
@@ -216,7 +226,7 @@ def load_findings(records: DataFrame, profiles: DataFrame | None = None, summari
     source; a load before that does not exist gives no shift; a report on a path or load without
     records is compared with zero counts; empty tables give no rows."""
     keys = ["source", "load_no"]
-    checks = {"email": bad_email, "updated_at": bad_timestamp} if checks is None else checks
+    checks = CHECKS if checks is None else checks
     wanted = frozenset((median_field, flag_field))
     freq = staged(path_value_counts(records, keys, "raw", values=lambda p: p in wanted, checks=checks), "profile-counts")
     report = staged(field_report(freq, keys), "profile-report")

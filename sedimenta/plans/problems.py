@@ -100,7 +100,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    freq = profile.path_value_counts(table(spark, d, "profile_records"), ["source", "load_no"], "raw")
+    freq = profile.path_value_counts(table(spark, d, "profile_records"), ["source", "load_no"], "raw", checks=profile.CHECKS)
     return profile.field_report(staged(freq, "profile-counts"), ["source", "load_no"])
 
 

@@ -266,3 +266,13 @@ def test_moments():
         at = datetime.fromisoformat(text)
         assert profile.moment(text) == round((at if at.tzinfo else at.replace(tzinfo=__import__("datetime").timezone.utc)).timestamp() * 1e6), text
     assert profile.moment("2026-02-30") is None and profile.moment("plain text here") is None
+
+
+def test_profile_has_patterns_and_ranges_of_text(spark, tmp_path):
+    from sedimenta.plans import problems
+
+    data = [{"email": "a@b.example", "updated_at": "2026-01-31T10:00:00+02:00"}, {"email": "no-mail", "updated_at": "2026-02-30"}, {"email": " ", "updated_at": "2025-12-01"}, {"email": 5}]
+    spark.createDataFrame([("s", 1, json.dumps(r)) for r in data], "source string, load_no int, raw string").write.parquet(str(tmp_path / "profile_records.parquet"))
+    got = {r["path"]: r for r in problems.p5_profile(spark, str(tmp_path)).withColumns({c: F.col(c).cast("string") for c in ("min_time", "max_time")}).collect()}
+    assert (got["email"]["bad_values"], got["email"]["min_length"], got["email"]["max_length"], got["email"]["min_time"]) == (1, 1, 11, None)
+    assert (got["updated_at"]["bad_values"], got["updated_at"]["min_time"], got["updated_at"]["max_time"]) == (1, "2025-12-01 00:00:00", "2026-01-31 08:00:00")
