@@ -19,15 +19,15 @@ REDACTED = "<redacted>"
 MAX_TEXT = 256 * 1024
 
 
-def redact(col: Column, known_secrets: tuple[str, ...] = ()) -> Column:
-    """Known secrets, then credential forms, replaced; cut at MAX_TEXT characters with a notice."""
+def redact(col: Column, known_secrets: tuple[str, ...] = (), limit: int | None = MAX_TEXT) -> Column:
+    """Known secrets, then credential forms, replaced; cut at ``limit`` characters with a notice (None: whole)."""
     out = col
     for secret in known_secrets:
         if secret:
             out = F.replace(out, F.lit(secret), F.lit(REDACTED))
     for pattern in CREDENTIAL_PATTERNS:
         out = F.regexp_replace(out, pattern, "$1" + REDACTED)
-    return F.when(F.length(out) > MAX_TEXT, F.concat(F.substring(out, 1, MAX_TEXT), F.lit("\n<output truncated>"))).otherwise(out)
+    return out if limit is None else F.when(F.length(out) > limit, F.concat(F.substring(out, 1, limit), F.lit("\n<output truncated>"))).otherwise(out)
 
 
 def redact_text(text: object, known_secrets: tuple[str, ...] = ()) -> str:

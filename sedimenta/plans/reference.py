@@ -389,6 +389,12 @@ def redact_texts(spark, d):
     return rows.select("doc_id", text.redact(F.col("text")).alias("redacted"))
 
 
+@query()
+def redact_documents(spark, d):
+    """Every document, whole; ``redact_texts`` is the part of it that its SQL can follow in time."""
+    return table(spark, d, "documents").select("doc_id", text.redact(F.col("text"), limit=None).alias("redacted"))
+
+
 @query(f"SELECT c_custkey, {_REDACT % f'({_URL})'} AS redacted FROM customer")
 def redact_urls(spark, d):
     return _urls(spark, d).select("c_custkey", text.redact(F.col("url")).alias("redacted"))

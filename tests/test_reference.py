@@ -590,3 +590,14 @@ def test_query_equals_sql(spark, name):
 
 def test_windows_are_inclusive():
     assert IncrementalWindow(date(2026, 1, 1), date(2026, 1, 1)).watermark_before is None
+
+
+def test_whole_documents_are_redacted(spark, tmp_path):
+    """Long texts, texts without the usual words and null."""
+    from sedimenta.plans import reference
+
+    long = "plain words " * 30_000
+    texts = ["client_secret=abc, x", "api_key: abc", "account_key=abc", "connection_string=abc", long + "password=hunter2", None, "", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["redacted"] for r in reference.QUERIES["redact_documents"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(8)] == ["client_secret=<redacted>, x", "api_key: <redacted>", "account_key=<redacted>", "connection_string=<redacted>", long + "password=<redacted>", None, "", "plain"]
