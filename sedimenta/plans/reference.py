@@ -244,6 +244,12 @@ def bronze_rows(spark, d):
     return rows.select("email", "active", "_source", "_endpoint", "_run_id", "_ingestion_key", "_window_start", "_window_end", "_raw")
 
 
+@query()
+def bronze_landed(spark, d):
+    """Every landed row with all its columns; ``bronze_rows`` is the part of it that its SQL can follow."""
+    return _bronze(spark, d)
+
+
 @query("""WITH t AS (SELECT p.record_no, t.fullkey, t.type FROM profile_records p, json_tree(p.raw::JSON) t WHERE t.fullkey <> '$' AND t.type <> 'OBJECT' AND t.fullkey NOT LIKE '%[%')
 SELECT regexp_replace(replace(substr(fullkey, 3), '"', ''), '[^A-Za-z0-9_]', '_', 'g') AS field_name, count(*) AS records FROM t WHERE substr(fullkey, 3) NOT IN ('id', 'email', 'name', 'active') GROUP BY 1""")
 def bronze_extra_fields(spark, d):
@@ -430,3 +436,10 @@ def blank_strings(spark, d):
 def key_fingerprint(spark, d):
     rows = table(spark, d, "incoming_orders").filter(F.col("id").isNotNull() & F.col("source").isNotNull() & ~F.col("id").rlike(r"[\x00-\x08\x0a-\x1f]"))
     return rows.select("arrival_no", F.lower(F.hex(values.key_fingerprint(F.col("source"), F.col("id")))).alias("fingerprint"))
+
+
+@query()
+def key_fingerprints(spark, d):
+    """Of every arrival, also with control characters in its id; null without a source or id."""
+    rows = table(spark, d, "incoming_orders")
+    return rows.select("arrival_no", F.lower(F.hex(values.key_fingerprint(F.col("source"), F.col("id")))).alias("fingerprint"))

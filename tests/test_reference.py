@@ -601,3 +601,24 @@ def test_whole_documents_are_redacted(spark, tmp_path):
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["doc_id"]: r["redacted"] for r in reference.QUERIES["redact_documents"](spark, str(tmp_path)).collect()}
     assert [got[i] for i in range(8)] == ["client_secret=<redacted>, x", "api_key: <redacted>", "account_key=<redacted>", "connection_string=<redacted>", long + "password=<redacted>", None, "", "plain"]
+
+
+def test_all_landed_rows_and_fingerprints(spark, tmp_path):
+    """Odd values of declared fields land with all columns; ids with control characters have a fingerprint."""
+    import hashlib
+
+    from sedimenta.plans import reference
+
+    values_ = ["a@b", ["x", 1.0, None, True], {"k": "é"}, True, False, "[odd", "True", None, 1e16, 0.1]
+    data = [json.dumps({"id": i, "email": v, "meta": {"n": i}}, ensure_ascii=False) for i, v in enumerate(values_)]
+    spark.createDataFrame([(i, t) for i, t in enumerate(data)], "record_no long, raw string").write.parquet(str(tmp_path / "profile_records.parquet"))
+    ids = ["plain", "ctl\x01\x1f", "new\nline", 'quo"te', None]
+    spark.createDataFrame([(i, "s", k) for i, k in enumerate(ids)], "arrival_no long, source string, id string").write.parquet(str(tmp_path / "incoming_orders.parquet"))
+    landed = reference.QUERIES["bronze_landed"](spark, str(tmp_path))
+    got = {r["id"]: r for r in landed.collect()}
+    assert {"id", "email", "name", "active", "_source", "_endpoint", "_ingested_at", "_run_id", "_ingestion_key", "_window_start", "_window_end", "_raw", "_extra"} == set(landed.columns)
+    expected = ["a@b", '["x", 1.0, null, true]', None, "True", "False", "[odd", "True", None, "1e+16", "0.1"]
+    assert [got[str(i)]["email"] for i in range(10)] == expected
+    assert json.loads(got["2"]["_extra"]) == {"email_k": "é", "meta_n": 2} and json.loads(got["0"]["_extra"]) == {"meta_n": 0}
+    prints = {r["arrival_no"]: r["fingerprint"] for r in reference.QUERIES["key_fingerprints"](spark, str(tmp_path)).collect()}
+    assert [prints[i] for i in range(5)] == [None if k is None else hashlib.sha256(json.dumps(["s", k], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest() for k in ids]
