@@ -426,8 +426,6 @@ _PARTS = _notice_parts()
 
 
 def _is_notice(sentence: str) -> bool:
-    if len(sentence) > 400:  # no sentence of a notice is that long
-        return False
     if next(_PARTS.iter(sentence.lower()), None) is None:
         return sentence in _NOTICES
     return _NOTICE.search(sentence) is not None or sentence in _NOTICES
@@ -447,7 +445,7 @@ def _is_error_object(body: str) -> bool:
 def is_error_page(text: str) -> bool:
     """Apart from navigation, nothing but an error message or notice. The text is judged whole:
     its sentences must be notices or neutral remainders; none may report on errors."""
-    if len(text) > 4000 or "```" in text:  # a notice page is short; navigation aside nothing else may stand on it
+    if "```" in text:  # fenced text is quoted
         return False
     text = _visible(text).replace("\u2028", "\n").replace("\r", "\n")
     if "<" in text:
@@ -465,8 +463,6 @@ def is_error_page(text: str) -> bool:
                 return False
             data = [] if unit[0] in "{[" else None
         size += len(unit) + 1
-        if size > 900:
-            return False
         if data is not None:
             data.append(unit)
             continue

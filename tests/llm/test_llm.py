@@ -138,3 +138,11 @@ def test_detection(spark):
 
 def test_queries_are_registered():
     assert {"p6_ids", "p7_mix", "p8_found"} <= set(queries.queries())
+
+
+def test_error_pages_of_any_length():
+    menu = "Home | Docs | Pricing\n" * 400
+    assert residue.is_error_page(menu + "404 Not Found\n" + menu)
+    assert residue.is_error_page("Please enable JavaScript to continue.\n" * 60)
+    assert residue.is_error_page("<div>" * 1000 + "404 Not Found" + "</div>" * 1000)
+    assert not residue.is_error_page(menu + "404 Not Found\n" + "The loader keeps every page it has read.\n" * 9)
