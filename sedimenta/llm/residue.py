@@ -1,10 +1,16 @@
-"""Template residue and error pages: unfilled slots, filler text, error and script notices."""
+"""Template residue and error pages: unfilled slots, filler text, error and script notices.
+
+A text is judged whole and by grammars, whatever its length: slots by one grammar a delimiter, filler
+and notices by grammars over words whose slips of the pen are mended first. Code, quotes, log and
+configuration lines are masked; sentences about templates or about errors are discounted by their
+own words, by the sentences around them and by the density of technical marks."""
 
 from __future__ import annotations
 
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,10 +23,14 @@ from sedimenta.session import free_name, spread
 
 _INVISIBLE = dict.fromkeys([0x200B, 0x200C, 0x2060, 0xFEFF, 0xAD])
 _UNSEEN = re.compile("[\u200b\u200c\u2060\ufeff\xad]")
-_SPACES = re.compile(r"[^\S\n]+")
-_FENCE = re.compile(r"^[ \t]{0,3}(`{3,}|~{3,})")
+#: white space that is not one plain blank
+_SPACES = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_FENCE = re.compile(r"^[^\S\n]{0,3}(`{3,}|~{3,})")
 _INLINE_CODE = re.compile(r"``[^`\n]+``|`[^`\n]+`")
-_QUOTED = re.compile(r'"[^"\n]{1,300}"|“[^”\n]{1,300}”|«[^»\n]{1,300}»|„[^“\n]{1,300}“')
+#: An opening quote has no word before it and no blank after it, a closing one the reverse.
+_QUOTED = re.compile(r'(?<![\w"])"(?=\S)[^"\n]*(?<=\S)"(?!\w)|“[^”\n]+”|«[^»\n]+»|„[^“\n]+“')
+_QUOTES = re.compile(r"[\"“«„]")
 _LOG_LINE = re.compile(r"^\W{0,3}(?:\[?\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}|(?:\S+ )?(?:DEBUG|INFO|WARN|WARNING|ERROR|FATAL|TRACE)\b[ :\]])")
 _CONFIG_LINE = re.compile(r"^\s*(?:-\s+)?[\"']?[\w.\-/]+[\"']?\s*(?::(?:\s|$)|=)\s*(?:[\"'{\[$<%#@*\w./-]\S*(?:\s*\([^)]*\))?|\{\{.*\}\}|)\s*[,;]?\s*$")
 _CODE_LINE = re.compile(
@@ -29,81 +39,99 @@ _CODE_LINE = re.compile(
     r"|(?:def|class|import|return|for|while|if|else|elif|try|except|assert|print|raise)\b.*[:(=)]\s*$|[\w.]+\s*=\s*\S|[\w.]+\(.*\)\s*;?$|[{}\[\]()]+[,;]?\s*$|[\"'][^\"']+[\"']\s*:)",
     re.IGNORECASE,
 )
-_TAG = re.compile(r"</?(?:p|br|div|span|hr|b|i|em|strong|center|html|head|body|title|h[1-6]|noscript|a|ul|ol|li|table|tr|td|section|main|article|footer|header|nav|script|style|meta|link|img)\b[^<>]*/?>", re.IGNORECASE)
-_MARKS = re.compile(r"^[\s>#*\-•+|]*(?:\d{1,3}[.)]\s+)?[\s*_]*|[\s*]+$")
+_TAG = re.compile(r"</?(?:p|br|div|span|hr|b|i|em|strong|center|html|head|body|title|h[1-6]|noscript|a|ul|ol|li|table|tr|td|section|main|article|footer|header|nav|script|style|meta|link|img)\b[^<>]*/?>|</\w+\s*>", re.IGNORECASE)
+_MARKS = re.compile(r"[\s>#*\-•+|]*(?:\d{1,3}[.)]\s+)?[\s*_]*")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+")
+_LOOSE = re.compile(r"\s+([.,;:!?…])")
+_BEFORE_POINT = re.compile(" [.,;:!?…]")
 
 
-#: What a line must hold to be looked at closely. Marks may open a slot or stand for no value.
-SLOT_MARKS = "{{ { ${ #{ {% <% *| @@ ## %% %( $ __ xxxx << [[ &lt; < tbd tba none null nil nan undefined n/a ??? [object [insert [enter [your [add [fill [put [type [name [write [choose [select [insira [inserir [seu [sua [digite [escreva [inserte [ingrese [escriba [su [tu".split(" ")
-FILLER_WORDS = (
-    "lorem ipsum dolor eiusmod consectetur adipiscing tempor nostrud veniam aliqua incididunt labore asdf qwert zxcv sdfg dfgd hjkl jkl blah dummy sample placeholder filler exemplo ejemplo relleno preenchimento teste prueba test text "
-    "soon breve próximamente construction construção construcción blank branco blanco written completed filled determined announced goes insert insira inserte escriba escreva substitua replace reemplace sustituya type click summary "
-    "description descrição descripción available disponible disponível todo fixme edit edite here aqui aquí parágrafo párrafo paragraph conteúdo contenido content"
-).split()
-
+def _visible(text: str) -> str:
+    return text.translate(_INVISIBLE) if _UNSEEN.search(text) else text
 
-def _automaton():
-    import ahocorasick
 
-    out = ahocorasick.Automaton()
-    for words, bit in ((SLOT_MARKS, 1), (FILLER_WORDS, 2)):
-        for w in words:
-            out.add_word(w, (out.get(w, 0) if w in out else 0) | bit)
-    out.make_automaton()
+def text_lines(text: str) -> list[tuple[str, bool]]:
+    """(line, fenced) of every line; a closing fence may be followed by text."""
+    raw = text.replace("\u2028", "\n").replace("\r", "\n").split("\n")
+    if "```" not in text and "~~~" not in text:
+        return [(line, False) for line in raw]
+    out, fence = [], None
+    for line in raw:
+        mark = _FENCE.match(line)
+        if mark and fence is None:
+            fence = mark.group(1)[0]
+            out.append((line, True))
+        elif mark and mark.group(1)[0] == fence:
+            fence = None
+            out.append((line[mark.end() :], False))
+        else:
+            out.append((line, fence is not None))
     return out
 
 
-_MARKED = _automaton()
-_COLON_SLOT = re.compile(r"(?<![\w:]):[A-Za-z]")
+def running(line: str) -> str:
+    """A line without inline code and quoted passages, blanks evened out; '' for log,
+    configuration, code and quoted (``>``) lines."""
+    line = _SPACES.sub(" ", _visible(line))
+    if line.lstrip().startswith(">") or _LOG_LINE.match(line) or _CONFIG_LINE.match(line) or _CODE_LINE.match(line):
+        return ""
+    if "`" in line:
+        line = _INLINE_CODE.sub(" ", line)
+    return _QUOTED.sub(" ", line) if _QUOTES.search(line) else line
 
 
-def running_lines(text: str) -> list[tuple[str, int]]:
-    """(line, bits) of the running text that needs a closer look: 1 for a mark of a slot, 2 for a word
-    of filler or a line of few words said often; short lines have both. Fenced code, log,
-    configuration, code and quoted (``>``) lines are left out, and inline code and quoted passages
-    within lines; spaces are evened out, invisible characters dropped."""
-    out, fence = [], None
-    for line in text.replace("\u2028", "\n").replace("\r", "\n").split("\n"):
-        if "```" in line or "~~~" in line:
-            mark = _FENCE.match(_SPACES.sub(" ", line))
-            if mark:
-                # a fence may be followed by text on the closing line
-                if fence is None:
-                    fence = mark.group(1)[0]
-                    continue
-                if mark.group(1)[0] == fence:
-                    fence = None
-                    line = _SPACES.sub(" ", line)[mark.end() :]
-        elif fence is not None:
-            continue
-        if not line or line.isspace() or (line[:4].isdigit() and line[4:5] == "-" and _LOG_LINE.match(line)):
-            continue
-        bits = 3 if len(line) <= 60 else 0
-        if not bits:
-            for _, bit in _MARKED.iter(line.lower()):
-                bits |= bit
-                if bits == 3:
-                    break
-            words = line.split()
-            if len(words) >= 6 and len(set(words)) * 3 <= len(words):
-                bits |= 2
-            if not bits & 1 and ":" in line and _COLON_SLOT.search(line):
-                bits |= 1
-            if not bits:
+def plain(line: str) -> str:
+    """A line without tags, list and emphasis marks, its punctuation set close."""
+    if "&" in line:
+        line = html.unescape(line)
+    if "<" in line:
+        line = _TAG.sub(" ", line)
+    line = _SPACES.sub(" ", line[_MARKS.match(line).end() :].rstrip(_BLANKS + "*"))
+    return _LOOSE.sub(r"\1", line) if _BEFORE_POINT.search(line) else line
+
+
+# ---- slips of the pen ----------------------------------------------------------------------------
+
+_WORDS = re.compile(r"[^\W\d_]+")
+
+
+class Speller:
+    """Mends single slips in known words: two neighbouring letters swapped, also across a blank.
+    ``also`` are words that are right as they stand."""
+
+    def __init__(self, words: str, also: str = ""):
+        self.words = frozenset(words.split())
+        self.right = self.words | frozenset(also.split())
+        self.swapped = {v: w for w in sorted(self.words) if len(w) > 2 for i in range(len(w) - 1) if (v := w[:i] + w[i + 1] + w[i] + w[i + 2 :]) not in self.right}
+        #: how a known word may look
+        self.looks = self.words | self.swapped.keys() | ({v for w in self.words if len(w) > 4 for v in (w[1:], w[:-1])} - self.right)
+
+    def mend(self, low: str, words: list[str]) -> tuple[str, list[str]]:
+        """A text in lower case and its words with the slips undone."""
+        long = [w for w in words if len(w) > 2]
+        unknown = sum(w not in self.right for w in long)
+        if not unknown or unknown * 2 > len(long) + 2:  # right, or of other matters
+            return low, words
+        tokens = list(_WORDS.finditer(low))
+        words = [self.swapped.get(t.group(), t.group()) for t in tokens]
+        for i in range(len(words) - 1):
+            a, b = words[i], words[i + 1]
+            if (a in self.right and b in self.right) or low[tokens[i].end() : tokens[i + 1].start()] != " ":
                 continue
-        line = _SPACES.sub(" ", _visible(line))
-        if line.lstrip().startswith(">") or _LOG_LINE.match(line) or _CONFIG_LINE.match(line) or _CODE_LINE.match(line):
-            continue
-        if "`" in line:
-            line = _INLINE_CODE.sub(" ", line)
-        out.append((_QUOTED.sub(" ", line), bits))
-    return out
+            for x, y in ((a + b[0], b[1:]), (a[:-1], a[-1] + b)):
+                if (x in self.right or not x) and (y in self.right or not y):
+                    words[i], words[i + 1] = x, y
+                    break
+        out, at = [], 0
+        for t, w in zip(tokens, words):
+            out += low[at : t.start()], w
+            at = t.end()
+        return "".join([*out, low[at:]]), [w for w in words if w]
 
 
 # ---- unfilled slots ------------------------------------------------------------------------------
 
-_NAME = r"[^\W\d][\w .\-]{0,40}"
+_NAME = r"[^\W\d]\w*(?:[ .\-]+\w+){0,7}"
 _HTML_NAMES = r"(?:p|br|div|span|hr|b|i|u|em|strong|center|html|head|body|title|h[1-6]|noscript|a|ul|ol|li|table|tr|td|th|section|main|article|footer|header|nav|script|style|meta|link|img|code|pre|sup|sub|small)\b"
 #: One alternative a delimiter; the name inside may hold letters, digits, blanks, dots and hyphens.
 _SLOT = re.compile(
@@ -115,56 +143,110 @@ _SLOT = re.compile(
             rf"<%[=-]?\s*{_NAME}\s*%>",
             rf"\*\|\s*{_NAME}\s*\|\*",
             rf"@@\s?{_NAME}\s?@@",
-            rf"##\s?[^\W\d][\w]{{0,40}}\s?##",
-            rf"%%?[^\W\d][\w]{{1,40}}%%?(?!\w)(?<=%)",
+            r"##\s?[^\W\d]\w*\s?##",
+            r"%%?[^\W\d]\w+%%?(?!\w)(?<=%)",
             rf"%\(\s*{_NAME}\s*\)[sdr]",
-            r"(?<![\w$])\$[^\W\d]\w{1,40}\$(?!\w)",
-            r"(?<!\w)__(?!_)[^\W\d_]\w{0,40}?__(?![\w(])",
+            r"(?<![\w$])\$[^\W\d]\w+\$(?!\w)",
+            r"(?<!\w)__(?!_)[^\W\d_]\w*?__(?![\w(])",
+            r"(?<![\w~])~[^\W\d]\w+~(?![\w~])",
             rf"<<\s*{_NAME}\s*>>",
             rf"\[\[\s*{_NAME}\s*\]\]",
+            rf"\(\(\s*{_NAME}\s*\)\)",
+            rf"‹\s*{_NAME}\s*›",
             rf"(?<![\w\]>])<(?!/?{_HTML_NAMES})\s*{_NAME}\s*>",
-            r"\[\s*(?:insert|enter|your|add|fill in|put|type|name of|write|choose|select|insira|inserir|seu|sua|digite|escreva|inserte|ingrese|escriba|su|tu)\b[^\[\]\n]{0,60}\]",
-            r"(?<![\w:]):(?:[A-Z][A-Z0-9_]{2,40}|[a-z]+(?:_[a-z]+)*):(?![\w:])",
-            r"(?<![\w${}\[(])\{\s*(?:[^\W\d]\w{0,40}|\d{1,2})\s*\}(?![\w{}\])])",
+            r"\[\s*(?:insert|enter|your|add|fill in|put|type|name of|write|choose|select|insira|inserir|seu|sua|digite|escreva|inserte|ingrese|escriba|su|tu|votre|saisir|insérer|ihr|ihre|bitte)\b[^\[\]\n]*\]",
+            r"(?-i:\[[A-Z]{2,}(?:[_ ][A-Z]{2,})+\])",
+            r"(?<![\w:]):(?:[A-Z][A-Z0-9_]{2,}|[a-z]+(?:_[a-z]+)*):(?![\w:])",
+            r"(?<![\w${}\[(])\{\s*(?:[^\W\d]\w*|\d{1,2})\s*\}(?![\w{}\])])",
         ]
     ),
     re.IGNORECASE,
 )
-#: Signs that stand for no value.
-_SIGN = r"(?:_{3,}|x{4,}|tbd|tba|tbc|none|null|nil|nan|undefined|\(null\)|\[object object\]|n/a|#n/a|\?{3,}|<null>|<none>)"
-#: Words a filled-in name or value would follow (English, Portuguese, Spanish).
-_BEFORE = (
-    r"(?:hello|hi|dear|welcome to|note of|choosing|write to|help with|contact|load of|rows of|moved|published by|released by|written by|by|on|for|for the team|the team|started at|ended at|"
-    r"your run|the table|page describes|describes|questions about|about|thanks,?|regards,?|"
-    r"olá|ola|prezado|prezada|caro|cara|bem-vind[oa]s? a|o boletim de|boletim de|a carga de|carga de|sua execução|começou em|terminou em|publicado por|por|em|dúvidas sobre|sobre|escreva para|"
-    r"hola|estimado|estimada|bienvenid[oa]s? a|el boletín de|boletín de|la carga de|su ejecución|empezó el|terminó el|el|escriba a|dudas sobre|gracias por elegir)"
-)
-_NO_VALUE = re.compile(rf"(?<![\w-]){_BEFORE}\s+{_SIGN}(?![\w-])", re.IGNORECASE)
+#: Every alternative of ``_SLOT`` starts with one of these; ``&`` may be an escaped one.
+_OPENS = re.compile(r"\{|%[%(\w]|‹|&[#a-z]|<[%<\s\w]|\*\||@@|##|\$\w|__|~\w|\[[\[\s\w]|\(\(|:[A-Za-z]")
+#: Signs that stand for no value. The weak ones are words that technical text uses as well.
+_STRONG = r"_{3,}|x{4,}|tbd|tba|tbc|nan|\(null\)|\[object object\]|#n/a|\?{3,}|<null>|<none>"
+_WEAK = r"none|null|nil|undefined|n/a"
+_ANY_SIGN = re.compile(rf"___|xxxx|\btb[dac]\b|\bn(?:an|ull|il|one|/a)\b|\bundefined\b|\[object |\?\?\?", re.IGNORECASE)
+#: Words of which each sign that is a word has one (``n/a`` falls apart into letters).
+_SIGN_WORDS = frozenset("tbd tba tbc nan none null nil undefined object n".split())
+#: Positions in which a sentence needs a name or value (English, Portuguese, Spanish, French, German).
+_GREETING = r"hello|hi|dear|welcome|thanks,?|regards,?|olá|ola|prezad[oa]s?|car[oa]s?|hola|estimad[oa]s?|gracias,?|obrigad[oa],?|bonjour|chère?s?|hallo|liebe[rs]?"
+_PREPOSITION = r"for|of|by|on|at|about|from|with|until|since|named|called|por|em|no|na|de|do|da|para|sobre|com|con|en|del|desde|até|hasta|pour|par|chez|von|für|am|über"
+_TOWARDS = r"(?:welcome|write|talk|speak|sent|send|belongs?|addressed|assigned|reply|escreva|escriba|bem-?vind[oa]s?|bienvenid[oa]s?|envi\w+|ligue|llame) (?:to|a|ao|à|al)"
+_NOUN = r"(?:the|this|that|your|our|my|its|their|team|o|a|os|as|el|la|los|las|su|sus|sua|seu|nossa|nosso|nuestr[oa]|le|les|votre|der|die|das|ihre?) (?!(?:values?|strings?|literals?|words?|keywords?|types?|fields?|results?|constants?|tokens?|defaults?|is|was|returned|same|valor|tipo|palavra|palabra|cadena|campo|cadeia|texto)\b)[^\W\d_]+"
+_VERB = r"(?:page|document|guide|article|section|note|report|letter|chapter) (?!(?:returns|contains|holds|has|is|becomes|gives|yields|means|allows|accepts|stores|leaves|gets|sends|shows|reads|says|was|stored|returned)\b)[^\W\d_]+s|(?:we|you|they|nós|nosotros|wir|nous) (?!(?:are|were|have|get|got|see|saw|store|stored|return|returned|treat|use|used|write|wrote|read|expect|allow|call|called|keep|kept|need)\b)[^\W\d_]+"
+_GERUND = r"(?:for|on|by|in) [^\W\d_]{2,}ing|(?:por|al) [^\W\d_]{2,}(?:[aei]r|ndo)"
+_PLACE = rf"(?:{_GREETING}|{_PREPOSITION}|{_TOWARDS}|{_NOUN}|{_VERB}|{_GERUND})"
+_NO_VALUE = re.compile(rf"(?<![\w-])(?:{_PLACE})\s+(?:{_STRONG}|{_WEAK})(?![\w-])|(?<![\w-])el (?:{_STRONG}|{_WEAK})(?=\s*(?:[.,;!?]|$))", re.IGNORECASE)
+_STRONG_VALUE = re.compile(rf"(?<![\w-])(?:{_PLACE})\s+(?:{_STRONG})(?![\w-])", re.IGNORECASE)
 _RULE_SIGN = re.compile(r"(?<![\w_])(?:_{3,}|[xX]{4,})(?![\w_])")
-#: Speaking of such values or slots, not leaving them behind.
+#: Speaking of slots: templates and their parts, and what fills them.
 _SPEAKS = re.compile(
-    r"\b(?:placeholder|slot|template (?:text|used)|jinja|syntax|brackets?|generics?|type as|came back as|stored? as|counts? as|leaves?|deixa|refused|string|literal|plantilla usaba|texto do modelo|variable|variables|variável)\b",
+    r"\b(?:placeholders?|slots?|templat\w+|mustache|handlebars|jinja|liquid|syntax|brackets?|braces?|delimiters?|generics?|engine|render\w*|interpolat\w+|substitut\w+|replaced (?:by|with)|filled (?:in )?(?:by|with)|fills? (?:it|them) in|"
+    r"stands? for|merge (?:tags?|fields?)|variables?|literals?|strings?|type as|came back as|stored? as|counts? as|leaves?|refused|deixa|plantillas?|modelo de texto|texto do modelo|variável|variáveis|marcador\w*|gabarits?|platzhalter|vorlagen?)\b",
     re.IGNORECASE,
 )
+#: An instruction to write the slot itself.
+_SHOWS = re.compile(r"\b(?:write|use|type|put|like|such as|e\.g\.|for example|called|named|named as|the (?:tag|token|marker|macro)|escreva|use o|escriba|por exemplo|por ejemplo|par exemple|zum beispiel|z\. ?b\.)\s*:?\s*$", re.IGNORECASE)
+#: Speaking of missing values as data.
+_OF_VALUES = re.compile(r"\b(?:values?|keys?|fields?|columns?|types?|missing|absent|instead|default\w*|cast\w*|pars\w*|return\w*|stor\w*|treat\w*|handl\w*|convert\w*|compar\w*|check\w*|campos?|colun?as?|columnas?|claves?|chaves?|valor\w*|tipos?|wert\w*|valeurs?)\b", re.IGNORECASE)
+_TECHNICAL = re.compile(r"`[^`]*`|\b\w+_\w+\b|\b[a-z]+[A-Z]\w*|\w+\(\)|[{}<>$%@#|=;\\]|\w/\w|::|->")
+
+
+def _explained(sentence: str, before: str, after: str) -> bool:
+    """The sentence shows or explains its slot: it speaks of templates; or it tells to write the slot
+    and it or a sentence beside it does; or those beside it do and technical marks are dense in it."""
+    if _SPEAKS.search(sentence):
+        return True
+    around = bool(_SPEAKS.search(before) or _SPEAKS.search(after))
+    if not around:
+        return False
+    slot = _SLOT.search(sentence)
+    if slot and _SHOWS.search(sentence[: slot.start()]):
+        return True
+    bare = _SLOT.sub(" ", sentence)
+    return len(_TECHNICAL.findall(bare)) * 3 >= max(1, len(_WORDS.findall(bare)))
 
 
-def has_slot(lines: list[tuple[str, int]]) -> bool:
-    """An unfilled slot, or one filled with a sign of no value, in a sentence that does not speak
-    of slots."""
-    for line, bits in lines:
-        if not bits & 1:
+def has_slot(lines: list[tuple[str, bool]], tokens: list[list[str]] | None = None) -> bool:
+    """An unfilled slot, or one filled with a sign of no value, in a running sentence that is not
+    explained by itself or its surroundings. ``tokens``, the words of each line in lower case, only
+    spare lines without a sign."""
+    before = ""
+    for n, (raw, fenced) in enumerate(lines):
+        if fenced or not raw:
             continue
-        line = html.unescape(line)
-        if _SLOT.search(line) is None and _NO_VALUE.search(line) is None and _RULE_SIGN.search(line) is None:
+        signs = tokens is None or not _SIGN_WORDS.isdisjoint(tokens[n]) or "___" in raw or "???" in raw or "xxxx" in raw.lower()
+        if not signs and not _OPENS.search(raw):
             continue
-        for sentence in _SENTENCE.split(line):
-            if _SPEAKS.search(sentence):
+        line = running(raw)
+        if not line:
+            continue
+        if "&" in line:
+            line = html.unescape(line)
+        if not _SLOT.search(line) and not (signs and _ANY_SIGN.search(line)):
+            continue
+        sentences = _SENTENCE.split(line)
+        # the sentences beside a line are in the lines beside it
+        before = next((x for x, f in reversed(lines[max(0, n - 2) : n]) if x.strip()), "")
+        behind = next((x for x, f in lines[n + 1 : n + 3] if x.strip()), "")
+        for i, sentence in enumerate(sentences):
+            slot = _SLOT.search(sentence)
+            if not slot and not _ANY_SIGN.search(sentence):
                 continue
-            if _SLOT.search(sentence) or _NO_VALUE.search(sentence):
+            left = sentences[i - 1] if i else before
+            right = sentences[i + 1] if i + 1 < len(sentences) else behind
+            if slot and not _explained(sentence, left, right):
                 return True
-            bare = _RULE_SIGN.sub(" ", sentence)
-            if _RULE_SIGN.search(sentence) and len(re.findall(r"[^\W\d_]{2,}", bare)) >= 1 and not re.search(r"[=~*#-]{3}", bare):
+            if _SPEAKS.search(sentence):
+                continue
+            if _STRONG_VALUE.search(sentence) or (_NO_VALUE.search(sentence) and not _OF_VALUES.search(sentence)):
                 return True
+            if _RULE_SIGN.search(sentence):
+                bare = _RULE_SIGN.sub(" ", sentence)
+                if re.search(r"[^\W\d_]{2,}", bare) and not re.search(r"[=~*#-]{3}", bare):
+                    return True
     return False
 
 
@@ -176,97 +258,62 @@ LATIN = frozenset(
     "consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
 _LATIN_SURE = LATIN - frozenset("do in ad ex id non sit est ut et ea eu sed qui dolor magna".split())
-_KEYS = re.compile(r"^(?:[asdfghjkl]{3,}|[qwertyuiop]{5,}|[zxcvbnm]{5,}|[dfgsa]{4,}|asdf\w*|qwert\w*)$")
-_KEY_RUNS = ("asdf", "sdf", "dfg", "hjk", "jkl", "qwe", "wert", "zxc", "xcv")
-_REPEAT = re.compile(r"\b(\w[\w' ]{1,30}\w)\b[\s.,;!…]+(?:\1\b[\s.,;!…]*){2,}")
+#: Keyboard drumming: letters of one row only, without the look of a word.
+_KEYS = re.compile(r"^(?:[asdfghjkl]{3,}|[qwertyuiop]{5,}|[zxcvbnm]{4,}|asdf\w*|qwert\w*)$")
+_NOT_KEYS = frozenset("all ask add dash data fall false flag flash gas glad glass had half hall has hash lag lash salad sad shall slash property require pretty poetry query report reporter tree type try were quit quite power pipe prior outer quote write wrote writer root your you top tower route error territory priority repository typewriter".split())
+_REPEAT = re.compile(r"\b(\w[\w' ]{1,60}\w)\b[\s.,;!…]+(?:\1\b[\s.,;!…]*){2,}")
 _FILL_WORD = r"(?:placeholder|dummy|sample|filler|example|lorem|test|blah|text|texto|exemplo|ejemplo|relleno|preenchimento|teste|prueba|bla)"
-_FILL_SET = frozenset(_FILL_WORD[3:-1].split("|"))
-_WORDS = re.compile(r"[^\W\d_]+")
-_THING = r"(?:text|content|contents|copy|paragraph|description|summary|title|heading|caption|section|page|body|note|something|anything|words|name)"
-_COISA = r"(?:texto|conteúdo|contenido|parágrafo|párrafo|descrição|descripción|resumo|resumen|título|seção|sección|página|algo|nota)"
-_FILLER_LINES = re.compile(
+_THING = r"(?:text|content|contents|copy|paragraph|description|summary|title|heading|caption|section|page|body|note|words)"
+_COISA = r"(?:texto|conteúdo|contenido|parágrafo|párrafo|descrição|descripción|resumo|resumen|título|seção|sección|página|nota)"
+_HERE = r"(?:here|aqui|aquí)"
+#: What fillers say, after mending; each alternative is a whole sentence.
+_FILLER = re.compile(
     "|".join(
         [
-            rf"(?:please )?(?:insert|add|write|type|enter|put|place|paste|provide|replace|edit|change)\b(?: \w+){{0,6}}? {_THING}\b(?: \w+){{0,6}}(?: here)?",
-            rf"(?:click|tap|double[- ]click)(?: here)? to (?:edit|add|change|write)\b(?: \w+){{0,5}}",
+            # asking the author for the text
+            rf"(?:please )?(?:insert|add|write|type|enter|put|place|paste|provide)\b(?: \w+){{0,8}}? {_THING}\b(?: \w+){{0,8}} {_HERE}|(?:please )?(?:insert|add|write|type|enter|put|place|paste|provide)\b(?: \w+){{0,3}}? {_THING} {_HERE}",
+            rf"(?:replace|edit|change)\b(?: this| the| that) {_THING}\b (?:with|by|to)\b(?: \w+){{1,8}}",
+            rf"(?:click|tap|double[- ]click)(?: here)? to (?:edit|add|change|write)\b(?: \w+){{0,8}}",
             rf"(?:your|the) (?:\w+ )?{_THING}s? (?:goes|go|comes|belongs|will go|will appear|should go)(?: \w+){{0,3}}",
-            r"(?:type|write|enter|say) (?:something|anything|here)",
+            r"(?:type|write|enter|say) (?:something|anything|here)(?: here)?",
+            rf"(?:insira|escreva|digite|adicione|coloque)\b(?: \w+){{0,4}}? {_HERE}(?: \w+){{0,6}}|(?:inserte|escriba|escribe|ingrese|añada|agregue|ponga)\b(?: \w+){{0,4}}? {_HERE}(?: \w+){{0,6}}",
+            rf"(?:insira|escreva|digite|adicione|coloque|inserte|escriba|escribe|ingrese|añada|agregue|ponga)\b(?: \w+){{0,6}}? {_COISA}\b(?: \w+){{0,6}} {_HERE}",
+            rf"(?:substitua|edite|troque|reemplace|sustituya|cambie)\b (?:este|esta|o|a|el|la) {_COISA}(?: \w+){{0,6}}|(?:clique|haga clic)(?: \w+){{0,3}} para (?:editar|escrever|escribir)(?: \w+){{0,6}}",
+            rf"(?:o |el )?(?:seu |su )?{_COISA} (?:vai|fica|va|irá) {_HERE}",
+            # announcing it
             r"(?:to be|yet to be|will be) (?:written|added|completed|filled in|defined|done|determined|decided|continued|announced|translated)(?: later| soon)?",
             rf"(?:(?:more |the )?(?:content|text|details?|description|documentation|more|information|{_THING}) )?(?:is |are )?coming soon",
-            rf"(?:this |the |our )?(?:page|section|chapter|site|article|document) (?:is )?(?:still |currently )?under construction",
+            r"(?:this |the |our )?(?:page|section|chapter|site|article|document) (?:is )?(?:still |currently )?under construction",
             r"(?:this )?page (?:is |was )?(?:intentionally|deliberately) (?:left )?(?:blank|empty)",
-            rf"(?:no )?{_THING} (?:is )?(?:not (?:yet )?(?:available|written|provided|added)|unavailable|missing)(?: yet)?",
-            rf"no {_THING} (?:yet|available)(?: yet)?",
-            rf"(?:{_FILL_WORD}[ .,!…]+){{1,40}}{_FILL_WORD}",
-            r"(?:lorem ipsum\W*)+(?:dolor.*)?",
-            r"todo|tbd|tba|fixme|placeholder|wip|work in progress",
-            rf"(?:insira|escreva|digite|adicione|coloque|substitua|edite|troque|clique)\b(?: \w+){{0,6}}? (?:{_COISA}|aqui)\b(?: \w+){{0,6}}",
-            rf"(?:inserte|escriba|escribe|ingrese|añada|agregue|ponga|reemplace|sustituya|edite|haga clic|cambie)\b(?: \w+){{0,6}}? (?:{_COISA}|aquí)\b(?: \w+){{0,6}}",
-            rf"(?:o )?(?:seu |su )?{_COISA} (?:vai|fica|va|irá) aqu[ií]",
+            rf"(?:no )?{_THING} (?:is )?(?:not (?:yet )?(?:available|written|provided|added)|unavailable|missing)(?: yet)?|no {_THING} (?:yet|available)(?: yet)?",
+            r"todo|tbd|tba|tbc|fixme|placeholder|wip|work in progress",
             rf"(?:el |o )?{_COISA} (?:em breve|disponível em breve|próximamente|disponible próximamente|disponible en breve)|(?:em breve|próximamente|muy pronto)(?: mais| más)?(?: conteúdo| contenido)?",
             r"(?:esta |a |la )?(?:página|seção|sección|site|sitio) (?:está )?(?:em|en) (?:construção|construcción)",
             r"(?:esta )?página (?:deixada|dejada) (?:em|en) (?:branco|blanco)(?: \w+)*",
             r"(?:a|por) (?:escrever|completar|definir|preencher|escribir|rellenar)",
             rf"{_COISA} (?:ainda )?(?:não|no) (?:está )?(?:disponível|disponible)(?: ainda| todavía| aún)?",
+            # naming itself
+            rf"(?:{_FILL_WORD}[ .,!…]+){{1,}}{_FILL_WORD}|{_FILL_WORD} (?:de|for|of) {_FILL_WORD}(?:[ .,!…]+{_FILL_WORD} (?:de|for|of) {_FILL_WORD})*",
+            r"(?:lorem ipsum\W*)+(?:dolor.*)?",
         ]
     ),
-    re.IGNORECASE,
 )
-#: Frequent filler sentences, matched also with slips of the pen.
-FILLER_PHRASES = (
-    "Write the summary of this section here", "Add a short description here", "Your text goes here", "Click to edit this text", "Type something", "Replace this paragraph with your own content",
-    "Content coming soon", "To be written", "This section is under construction", "Page intentionally left blank", "Description not available yet",
-    "Insira aqui o seu texto", "Substitua este parágrafo pelo seu conteúdo", "Conteúdo em breve", "Página em construção", "Texto de exemplo",
-    "Escriba aquí su texto", "Contenido disponible próximamente", "Página en construcción", "Texto de relleno", "Sample text", "Dummy text", "Blah blah blah", "Test test test",
-)
-
-
-_NOT_LETTERS = re.compile(r"[\W_]+")
-
-
-def _grams(text: str) -> set[str]:
-    key = _NOT_LETTERS.sub("", text.lower())
-    return set(map("".join, zip(key, key[1:], key[2:])))
-
-
-class Phrases:
-    """Sentences recognised by shared letter trigrams, so that swapped letters do not hide them."""
-
-    def __init__(self, phrases: tuple[str, ...], least: float = 0.6):
-        self.grams = [_grams(p) for p in phrases]
-        self.least = least
-        self.index: dict[str, list[int]] = {}
-        for i, grams in enumerate(self.grams):
-            for g in grams:
-                self.index.setdefault(g, []).append(i)
-
-    def __contains__(self, sentence: str) -> bool:
-        if not 6 <= len(sentence) <= 120:
-            return False
-        grams = _grams(sentence)
-        known = grams & self.index.keys()
-        if len(known) * 2 < len(grams):  # fewer shared trigrams than any match needs
-            return False
-        shared: dict[int, int] = {}
-        for g in known:
-            for i in self.index[g]:
-                shared[i] = shared.get(i, 0) + 1
-        return any(n >= self.least * (len(grams) + len(self.grams[i]) - n) for i, n in shared.items())
-
-
-_FILLERS = Phrases(FILLER_PHRASES)
+#: Words one of which every filler sentence has.
+FILLER_ANCHORS = (
+    "insert add write type enter put place paste provide replace edit change click tap goes comes belongs something anything here insira escreva digite adicione coloque inserte escriba escribe ingrese añada agregue ponga substitua edite troque reemplace "
+    "sustituya cambie clique clic vai fica va irá written added completed filled defined done determined decided continued announced translated coming soon construction blank empty available provided unavailable missing yet todo tbd tba tbc fixme "
+    "placeholder wip progress breve próximamente pronto construção construcción branco blanco escrever completar definir preencher escribir rellenar disponível disponible dummy sample filler example lorem test blah text texto exemplo ejemplo relleno "
+    "preenchimento teste prueba bla aqui aquí conteúdo contenido"
+)
+_FILLER_MORE = "this the your own with and paragraph content contents description summary section title heading caption page body note words copy short to be is are still currently under intentionally deliberately left not no of for de o a el la seu su este esta em en parágrafo párrafo descrição descripción resumo resumen título seção sección página nota pelo por double more details documentation information ipsum dolor"
+FILLER_SPELLER = Speller(" ".join([FILLER_ANCHORS, _FILLER_MORE, *sorted(LATIN)]), "form from text next cite tide trail them then")
+_FILLER_LOOKS = Speller(FILLER_ANCHORS).looks | _LATIN_SURE
+_FILL_SET = frozenset(_FILL_WORD[3:-1].split("|"))
 
 
-_LOOSE = re.compile(r"\s+([.,;:!?…])")
-
-
-def plain(line: str) -> str:
-    """A line without tags, list and emphasis marks, its punctuation set close."""
-    if "&" in line:
-        line = html.unescape(line)
-    if "<" in line:
-        line = _TAG.sub(" ", line)
-    return _LOOSE.sub(r"\1", _SPACES.sub(" ", _MARKS.sub("", line))).strip()
+@lru_cache(maxsize=1 << 16)
+def _drummed(word: str) -> bool:
+    return word not in _NOT_KEYS and _KEYS.match(word) is not None
 
 
 def _is_dummy(words: list[str]) -> bool:
@@ -275,7 +322,7 @@ def _is_dummy(words: list[str]) -> bool:
         latin = sum(w in LATIN for w in words)
         if latin >= 0.6 * len(words) and sum(w in _LATIN_SURE for w in words) >= 2:
             return True
-        if sum(bool(_KEYS.match(w)) for w in words) >= 0.6 * len(words):
+        if sum(map(_drummed, words)) >= 0.6 * len(words):
             return True
     run = sure = 0
     for w in words:
@@ -288,30 +335,42 @@ def _is_dummy(words: list[str]) -> bool:
     return False
 
 
-def has_filler(lines: list[tuple[str, int]]) -> bool:
-    """A line or sentence that is nothing but filler."""
-    for line, bits in lines:
-        if not bits & 2:
-            continue
-        text = plain(line)
-        if not text:
+def _filler_line(raw: str) -> bool:
+    text = plain(running(raw)).lower()
+    if not text:
+        return False
+    low, words = FILLER_SPELLER.mend(text, _WORDS.findall(text))
+    different = set(words)
+    if _is_dummy(words):
+        return True
+    filling = not different.isdisjoint(_FILL_SET)
+    if len(words) >= 3 and (len(different) * 2 <= len(words) or (filling and len(different) + 2 <= len(words))):
+        hit = _REPEAT.search(low)
+        if hit and hit.end() - hit.start() >= 9 and re.search(r"[^\W\d_]{3}", hit.group(1)):
+            return True
+    if different.isdisjoint(FILLER_SPELLER.words):
+        return False
+    sentences = _SENTENCE.split(low)
+    if len(sentences) > 1:
+        sentences.append(low)
+    return any(_FILLER.fullmatch(s.strip(" .!…*:;-")) for s in sentences)
+
+
+def has_filler(lines: list[tuple[str, bool]], tokens: list[list[str]] | None = None) -> bool:
+    """A line or sentence that is nothing but filler. ``tokens``, the words of each line in lower
+    case, only spare lines that cannot be: every filler has an anchor word or a slip of one, a sure
+    word of dummy Latin, drumming, or few different words."""
+    for (line, fenced), own in zip(lines, tokens if tokens is not None else [None] * len(lines)):
+        if fenced:
             continue
-        low = text.lower()
-        words = _WORDS.findall(low)
-        different = set(words)
-        filling = not different.isdisjoint(_FILL_SET)
-        if (len(different & LATIN) >= 4 or any(k in low for k in _KEY_RUNS)) and _is_dummy(words):
+        if own is not None:
+            if not own:
+                continue
+            there = set(own)
+            if there.isdisjoint(_FILLER_LOOKS) and len(there) * 3 > len(own) * 2 and not any(map(_drummed, there)):
+                continue
+        if _filler_line(line):
             return True
-        if len(words) >= 3 and (len(different) * 2 <= len(words) or (filling and len(different) + 2 <= len(words))):
-            hit = _REPEAT.search(low)
-            if hit and hit.end() - hit.start() >= 9 and re.search(r"[^\W\d_]{3}", hit.group(1)):
-                return True
-        sentences = _SENTENCE.split(text)
-        if len(sentences) > 1 and len(text) <= 90:
-            sentences.append(text)
-        for sentence in sentences:
-            if len(sentence) <= 110 and (_FILLER_LINES.fullmatch(sentence.strip(" .!…*:;-")) or ((len(text) <= 110 or filling) and sentence in _FILLERS)):
-                return True
     return False
 
 
@@ -321,182 +380,227 @@ _REASON = (
     r"bad request|unauthori[sz]ed|payment required|forbidden|not found|method not allowed|not acceptable|request time-?out|conflict|gone|too many requests|unavailable for legal reasons|internal server error|"
     r"not implemented|bad gateway|service (?:temporarily )?unavailable|gateway time-?out|http version not supported|bandwidth limit exceeded"
 )
-_SCRIPT = r"(?:javascript|java script|scripts?|scripting|cookies?)"
-_NAVIGATOR = r"(?:browser|navegador)"
+_SCRIPT = r"(?:javascript|java script|scripts?|scripting|skripte?|cookies?)"
+_NAVIGATOR = r"(?:browsers?|navegador|navigateur)"
 _SWITCH = (
-    r"(?:enabled?|enabling|allow(?:ed|s)?|activated?|turn(?:ed)? o(?:n|ff)|switch(?:ed)? o(?:n|ff)|disabled?|blocked|requires?|required|needs?|needed|must|permit(?:ted|s)?|support(?:ed|s)?|available|run|work|"
-    r"ative|ativar|ativado|habilite\w*|habilitar|habilitad[oa]s?|bloquead[oa]s?|desativad[oa]s?|precisa\w*|permita|permite|necessári[oa]s?|requer|"
-    r"active|activar|activad[oa]s?|actív\w+|desactivad[oa]s?|necesita\w*|necesari[oa]s?|requiere\w*|compatible|compatível)"
+    r"(?:enabled?|enabling|allow(?:ed|s)?|activated?|turn(?:ed)? o(?:n|ff)|switch(?:ed)? o(?:n|ff)|must be (?:on|no(?=\W*$))|disabled?|blocked|requires?|required|needs?|needed|permit(?:ted|s)?|support(?:ed|s)?|available|"
+    r"does not run|doesn't run|won't work|will not work|ative|ativar|ativado|habilite|habilitar|habilitad[oa]s?|bloquead[oa]s?|desativad[oa]s?|precisa|precisam|permita|permite|necessári[oa]s?|requer|"
+    r"active|activar|activad[oa]s?|desactivad[oa]s?|necesita|necesari[oa]s?|requiere|compatible|compatível|"
+    r"activer|activez|activé|désactivés?|autoriser|autorisez|nécessaires?|requis|nécessite|aktivieren|aktiviert|deaktiviert|erlauben|benötigt|erforderlich|zulassen)"
 )
-#: What the sentences of an error page or notice say.
-_NOTICE = re.compile(
-    "|".join(
-        [
-            rf"\b[45]\d\d\b\W{{0,4}}(?:error\W+)?(?:{_REASON})|^(?:error\W+)?(?:{_REASON})\W*$|[\"'>](?:{_REASON})[\"'<]|(?:{_REASON})\b.{{0,12}}\b(?:error|code)?\W*[45]\d\d\b",
-            r"^(?:http )?(?:error|erro|código|codigo|status|code)(?: code| de erro| de error)?\W{0,3}\d{3}\b|\berror code\b|\bcódigo \d{3}\b|\berr_[a-z_]{4,}",
-            r"\b(?:internal|unexpected|unknown|fatal|critical|application|server|runtime|parse) (?:server )?error\b|\berror interno\b|\berro interno\b|\berror inesperado\b|\berro inesperado\b|\bfatal error\b",
-            r"\btraceback \(most recent call last\)|^file /?\S+, line \d+|\b[a-z]+(?:error|exception)\b:|\bstack ?trace\b|\bunhandled exception\b|\buncaught\b|\bnot iterable\b|\bsegmentation fault\b|\bmemory (?:size|limit)? ?exhausted\b",
-            r"\b(?:server|service|site|page|host|proxy)\b.{0,25}\b(?:could|can(?:no|')?t|did|is|was) ?(?:not)? (?:complete|be reached|respond|handle|process|available|found|displayed|down|reachable)",
-            r"\bcan(?:no|'|’)?t (?:be reached|find (?:the|that) page|connect|be displayed)|\bcannot be (?:displayed|shown|reached|found)|\bcould not (?:be (?:found|reached|loaded|displayed)|reach the|connect to)",
-            r"\b(?:connection|request|session|operation|gateway) (?:was |has |is )?(?:reset|refused|timed? ?out|closed|expired|aborted)\b",
-            r"\bsomething went wrong\b|^oops\b|\bwent wrong on our (?:side|end)|\bdoes(?:n't| not) exist\b|\bpage (?:you|not)\b.{0,25}\b(?:looking for|requested|found)\b|\blink seems to be broken\b|\bbroken link\b|\btook a day off\b|\bno longer (?:available|exists)\b",
-            r"\baccess (?:is |was )?(?:denied|forbidden|restricted)\b|\bacceso denegado\b|\bacesso negado\b|\b(?:do not|don't) have (?:permission|access)\b|\bnot (?:authori[sz]ed|allowed) to\b|\bsin permiso\b|\bsem permissão\b",
-            r"\bpágina no encontrada\b|\bpágina não encontrada\b|\b(?:servicio|serviço|sitio|site)\b.{0,25}\b(?:no disponible|indisponível|fora do ar|fuera de servicio|offline)\b|\bsite offline\b|\btemporalmente fuera\b",
-            r"\btry again\b|\btente (?:novamente|de novo)\b|\bint[eé]ntelo\b.{0,12}\btarde\b|\bint[eé]nt[ea]lo\b|\bcontact the administrator\b|\bcheck back\b|\bgo back to\b|\bvolte (?:para|à)\b|\bvuelva al?\b",
-            r"\brate limit(?:ed)?\b|\btoo many requests\b|\bdemasiadas (?:solicitudes|peticiones)\b|\bmuitas (?:solicitações|requisições)\b|\bslow down\b",
-            r"\bsession\b.{0,20}\b(?:expired|ended|timed out)\b|\b(?:sign|log) ?in (?:again|to|is required|required)\b|\blog-?in required\b|\blogged out\b|\bsess(?:ão|ion|ión)\b.{0,20}\bexpir|\bsesión\b.{0,20}\b(?:caducad|expirad)|\binicie sesión\b|\bfaça login\b|\bdue to inactivity\b|\bplease (?:sign|log) in\b",
-            r"\bmaintenance\b|\bmanutenção\b|\bmantenimiento\b|\b(?:site|service)\b.{0,20}\bbeing updated\b|\bbe (?:right )?back\b|\bservice returns\b|\bvoltamos\b|\bvolvemos\b",
-            rf"\b{_SWITCH}\b.{{0,60}}\b{_SCRIPT}\b|\b{_SCRIPT}\b.{{0,60}}\b{_SWITCH}\b|\bno permite {_SCRIPT}",
-            rf"\b{_NAVIGATOR}\b.{{0,40}}\b(?:not supported|out of date|outdated|unsupported|não é compatível|no es compatible|no permite|bloquead\w+|does not (?:run|support))|\bchange your browser\b|\bcannot be shown in\b|\bcurrent browser\b|\bbrowser settings\b",
-            rf"\bchecking your {_NAVIGATOR}|\bverifying (?:that )?you are|\bare you (?:a )?(?:human|robot)|\bnot a robot\b|\bjust a moment\b|\bverific(?:ando|amos)\b.{{0,30}}\b{_NAVIGATOR}|\bno es un robot\b|\bnão é um robô\b|\bone more step\b",
-            r"\bplease (?:wait|upgrade|enable|change|reload|refresh)\b|\brecarregue\b|\bvuelva a cargar\b|\benable (?:it|them) (?:and|to)\b|\bnothing happens\b|\bnada acontecer\b|^(?:loading|carregando|cargando)\b",
-        ]
+_PLACE_WORD = r"(?:server|service|site|website|page|host|proxy|portal|app|application|system)"
+#: What the sentences of an error page or notice say, in lower case, after mending: (words of which each alternative has one, pattern).
+NOTICES: list[tuple[str, str]] = [
+    # status lines
+    (
+        "bad unauthorized unauthorised payment forbidden found method acceptable request timeout conflict gone many unavailable internal implemented gateway service http bandwidth error erro erreur fehler código codigo status code err",
+        rf"\b[45]\d\d\b\W{{0,4}}(?:error\W+)?(?:{_REASON})|^(?:error\W+)?(?:{_REASON})\W*$|[\"'>](?:{_REASON})[\"'<]|(?:{_REASON})\b.{{0,12}}\b(?:error|code)?\W*[45]\d\d\b"
+        r"|^(?:http )?(?:error|erro|erreur|fehler|código|codigo|status|code)(?: code| de erro| de error)?\W{0,3}\d{3}\b|\berror code\b|\bcódigo \d{3}\b|\berr_[a-z_]{4,}",
     ),
-    re.IGNORECASE,
-)
-#: Neutral remainders of such pages: references, thanks, server names, file positions.
+    # failures of a program
+    (
+        "error erro erreur fehler serverfehler traceback trace stacktrace file exception uncaught fault exhausted",
+        r"\b(?:internal|unexpected|unknown|fatal|critical|application|server|runtime|parse) (?:server )?error\b|\berror interno\b|\berro interno\b|\berror inesperado\b|\berro inesperado\b|\berreur interne\b|\binterner (?:server)?fehler\b"
+        r"|\btraceback\b|^file \W?/?\S+, line \d+|\b[a-z]+(?:error|exception)\b:|\bstack ?trace\b|\bunhandled exception\b|\buncaught\b|\bsegmentation fault\b|\bmemory (?:size |limit )?(?:of \d+ bytes )?exhausted\b",
+    ),
+    # something cannot be had
+    (
+        "server service site website page host proxy portal app application system reached find connect displayed shown found loaded reach connection request session operation gateway wrong oops uh page link address resource longer página seite servicio serviço sitio dienst temporalmente",
+        rf"\b{_PLACE_WORD}\b.{{0,25}}\b(?:could|can(?:no|')?t|did|does|is|was|has) ?(?:not|n't)? (?:complete|be reached|respond|handle|process|available|found|displayed|down|reachable|offline|moved)\b"
+        r"|\bcan(?:no|')?t (?:be reached|find (?:the|that)|connect|be (?:displayed|shown|found|loaded))|\bcannot be (?:displayed|shown|reached|found|loaded)|\bcould not (?:be (?:found|reached|loaded|displayed)|reach the|connect to)"
+        r"|\b(?:connection|request|session|operation|gateway) (?:was |has |is )?(?:reset|refused|timed? ?out|closed|expired|aborted)\b"
+        r"|\bsomething went wrong\b|^oops\b|^uh[- ]oh\b|\bwent wrong on our (?:side|end)|\b(?:page|link|address|resource) .{0,30}\bdoes(?:n't| not) exist\b|\bpage (?:you|not)\b.{0,25}\b(?:looking for|requested|found)\b|\blink (?:seems to be|is|may be) broken\b|\bbroken link\b"
+        r"|\bpage (?:took|is taking|is on) (?:a |its )?(?:day off|break|holiday|vacation)\b|\bno longer (?:available|exists)\b|\bsite offline\b"
+        r"|\bpágina no encontrada\b|\bpágina não encontrada\b|\bpage (?:non trouvée|introuvable)\b|\bseite (?:wurde )?nicht gefunden\b"
+        r"|\b(?:servicio|serviço|sitio|site|service|dienst)\b.{0,25}\b(?:no disponible|indisponível|fora do ar|fuera de servicio|offline|indisponible|nicht verfügbar)\b|\btemporalmente fuera\b",
+    ),
+    # rights, sessions, limits
+    (
+        "access acceso acesso accès zugriff permission authorized authorised allowed permiso permissão rate requests solicitudes peticiones solicitações requisições requêtes anfragen slow session sign login log logged sessão sesion sesión sitzung inactivity",
+        r"\baccess (?:is |was )?(?:denied|forbidden|restricted)\b|\bacceso denegado\b|\bacesso negado\b|\baccès refusé\b|\bzugriff verweigert\b|\b(?:do not|don't) have (?:permission|access)\b|\bnot (?:authori[sz]ed|allowed) to\b|\bsin permiso\b|\bsem permissão\b"
+        r"|\brate limit(?:ed)?\b|\btoo many requests\b|\bdemasiadas (?:solicitudes|peticiones)\b|\bmuitas (?:solicitações|requisições)\b|\btrop de requêtes\b|\bzu viele anfragen\b|\bslow down\b"
+        r"|\bsession\b.{0,20}\b(?:expired|ended|timed out)\b|\b(?:sign|log) ?in (?:again|to|is required|required)\b|\blog-?in required\b|\blogged out\b|\bsess(?:ão|ion|ión)\b.{0,20}\bexpir|\bsesi[oó]n\b.{0,20}\b(?:caducad|expirad)|\bsitzung\b.{0,20}\babgelaufen\b|\binicie sesi[oó]n\b|\bfaça login\b|\bdue to inactivity\b|\bplease (?:sign|log) in\b",
+    ),
+    # maintenance, and what to do now
+    (
+        "maintenance manutenção mantenimiento wartungsarbeiten updated back returns voltamos volvemos again novamente novo inténtelo intentelo inténtalo intentalo réessayez erneut administrator volte vuelva versuchen",
+        r"\bmaintenance\b|\bmanutenção\b|\bmantenimiento\b|\bwartungsarbeiten\b|\b(?:site|service)\b.{0,20}\bbeing updated\b|\bbe (?:right )?back\b|\bservice returns\b|\bvoltamos\b|\bvolvemos\b"
+        r"|\btry again\b|\btente (?:novamente|de novo)\b|\bint[eé]nt[ea]lo\b|\bréessayez\b|\bversuchen sie es\b|\bcontact the administrator\b|\bcheck back\b|\bgo back to\b|\bvolte (?:para|à)\b|\bvuelva al?\b",
+    ),
+    # scripts and cookies: together with a word of switching
+    (
+        "javascript java script scripts scripting skript skripte cookie cookies",
+        rf"\b{_SWITCH}\b",
+    ),
+    # browsers, together with what is wrong with them; checks
+    (
+        "browser browsers navegador navigateur",
+        r"\b(?:not supported|out of date|outdated|unsupported|não é compatível|no es compatible|no permite|bloquead\w+|does not (?:run|support))\b|\bchange your browser\b|\bcannot be shown in\b|\bcurrent browser\b|\bbrowser settings\b|\bupgrade your browser\b",
+    ),
+    (
+        "browser navegador navigateur version human robot moment step robô verifying",
+        rf"^(?:please )?upgrade to a\b.*\bversion\b|\bchecking your {_NAVIGATOR}|\bverifying (?:that )?you are|\bare you (?:a )?(?:human|robot)|\bnot a robot\b|\bjust a moment\b|\bverific(?:ando|amos)\b.{{0,30}}\b{_NAVIGATOR}|\bno es un robot\b|\bnão é um robô\b|\bone more step\b",
+    ),
+    # waiting and switching on
+    (
+        "please recarregue cargar enable habilite active ative actívelo actívelos activelo activelos nothing nada loading carregando cargando chargement",
+        r"\bplease (?:wait|upgrade|enable|change|reload|refresh)\b|\brecarregue\b|\bvuelva a cargar\b|\benable (?:it|them) (?:and|to)\b|\b(?:habilite|ative|active)-(?:o|a|os|as)\b|\bact[ií]vel[oa]s?\b|\bif nothing happens\b|\bse nada acontecer\b|\bsi no (?:pasa|ocurre) nada\b|^(?:loading|carregando|cargando|chargement)\b",
+    ),
+]
+_NOTICE_GROUPS = [re.compile(p) for _, p in NOTICES]
+_GROUP_OF: dict[str, tuple[int, ...]] = {w: tuple(i for i, (words, _) in enumerate(NOTICES) if w in words.split()) for words, _ in NOTICES for w in words.split()}
+#: a program's own error names, such as KeyError
+_ERROR_NAME = re.compile(r"[a-z]+(?:error|exception)$")
+_ENDS_ERROR = re.compile(r"error\b|Error\b|ERROR\b|xception\b|XCEPTION\b")
+
+
+def _says_notice(low: str, words: list[str]) -> bool:
+    groups = {g for w in words for g in _GROUP_OF.get(w, ())}
+    if any(_ERROR_NAME.match(w) for w in words):
+        groups.add(1)
+    return any(_NOTICE_GROUPS[g].search(low) for g in groups)
+
+
+#: Neutral remainders of such pages: references, thanks, server names, what follows from the notice.
 _NEUTRAL = re.compile(
-    r"^(?:(?:reference|request id|incident|ray|ray id|trace id|trace|id|code|código)\b\W*[\w-]*|[0-9a-f-]{6,}|[\w.-]+/\d[\w.]*|[a-z]+(?:-[a-z]+)+|thank you\b.*|thanks\b.*|obrigad[oa]\b.*|gracias\b.*|we(?:'|’)?re sorry\b.*|sorry\b.*|"
-    r"this may take\b.*|isso pode\b.*|esto puede\b.*|.{0,40}\bwill not work\b.*|(?:this|the) (?:site|page|app\w*) needs (?:it|them)\b.*|page = load\(slug\)|\w+ = \w+\(\w*\)|\d+|[\W_]+|act[ií]v(?:e|elos)\b.*|actív\w+\b.*)$",
-    re.IGNORECASE,
+    r"^(?:(?:reference|request id|incident|event id|ray|ray id|trace id|trace|id|code|código)\b\W*[\w-]*|[0-9a-f-]{6,}|[\w.-]+/\d[\w.]*|[a-z]+(?:-[a-z]+)+|thank you\b.*|thanks\b.*|obrigad[oa]\b.*|gracias\b.*|merci\b.*|(?:we(?:'|’)?re )?sorry\b.*|"
+    r"this may take\b.*|isso pode\b.*|esto puede\b.*|.*\bwill not work\b.*|(?:this|the) (?:site|page|app\w*) needs (?:it|them)\b.*|\d+|[\W_]+)$"
 )
-#: Speech about errors: such a sentence makes the text a report, not a notice.
+#: Telling about errors: speech, habits and reactions of clients. Such a sentence makes the text a report.
 _REPORTS = re.compile(
-    r"\b(?:the client|the source|the connector|the probe|retr(?:y|ied|ies)|usually means|which (?:is|means)|some users|works? without|that says|the page (?:read|said)|when the|so that|because|for example|the run|the api|"
-    r"quando a|o cliente|a fonte|execução|si la fuente|el cliente|la fuente|funciona sem|funciona sin|salvo|menos na|except for|only for|we (?:keep|store|saw|log)|dizia|decía|guardou)\b",
-    re.IGNORECASE,
+    r"\b(?:says|said|reads?|dizia|decía|disse|dijo|answer(?:s|ed)|repl(?:y|ies|ied)|return(?:s|ed)|rais(?:es|ed)|retr(?:y|ied|ies)|(?:was|were|is|are|we|it) (?:logged|stored|kept|recorded)|stored it|we (?:keep|store|saw|log|noticed)|guardou|guardó|"
+    r"usually|often means|which (?:is|means)|some (?:users|people|clients|pages)|works? without|funciona sem|funciona sin|except for|only for|so that|for example|por exemplo|por ejemplo|salvo|exceto|excepto|menos na|when (?:the|an?|our|access|requests?)|quando (?:a|o|as|os|uma?)|cuando (?:el|la|los|las|una?)|si la|si el|se a|se o)\b"
+)
+#: A reporting clause that notices have as well.
+_NOT_REPORTS = re.compile(r"\bservice returns\b|\bpage .{0,12}returned\b")
+#: Words of notices beside the anchors, as they are spelt.
+_NOTICE_MORE = (
+    "unexpected unknown fatal critical runtime memory size limit limited bytes unhandled segmentation could cannot can not complete respond handle process available reachable offline moved down reset refused closed expired aborted timed out went something our side end looking requested "
+    "does exist seems broken took day off encontrada disponible indisponível fuera denied denegado negado restricted have resource too network demasiadas muitas been ended required inicie faça due view content being right tente para inicial página inicio later more tarde más mais tarde "
+    "contact check few minutes home the that this your you for from are was has with and must permit permitted permite enabled disabled switched turned activated blocked requires needs run work supported compatible compatível desativado bloqueados necesita requiere precisa funcionar usar aplicación continuar prosseguir "
+    "document display active parts website upgrade recent shown current change settings checking before continue wait take seconds happens allow reload acontecer scripts thank patience sorry portal properly without server code request interno del servidor interno scheduled name object iterable database line render trace recarregue página seu los may take reference request id incident event ray trace works al não just try we're"
 )
-#: Frequent notices, matched also with slips of the pen.
-NOTICE_PHRASES = (
-    "Too many requests from your network", "You have been rate limited", "This site can't be reached", "The server could not complete your request", "You do not have permission to view this resource on this server",
-    "Please try again later or contact the administrator", "We can't find the page you are looking for", "Something went wrong on our side", "This link seems to be broken", "That page took a day off", "Go back to the home page",
-    "Your session has expired", "Please sign in again", "You have been logged out due to inactivity", "Login required to view this content", "Scheduled maintenance", "Down for maintenance", "Please check back in a few minutes",
-    "Our site is being updated", "Thank you for your patience", "We'll be right back", "The service returns at UTC", "Internal Server Error", "Service Unavailable", "Gateway Timeout", "Bad Gateway", "Too Many Requests",
-    "JavaScript is disabled in your browser", "You need to enable JavaScript to run this app", "Please enable JavaScript to continue", "This page needs scripts to work", "Your browser does not run scripts", "Scripting must be on",
-    "Cookies must be enabled to view this page", "This website requires cookies and scripts", "Your browser is not supported", "Please upgrade to a recent version", "This content cannot be shown in your current browser",
-    "Please change your browser settings", "Enable it and reload", "The connection was reset", "The connection was refused", "The connection was timed out", "JavaScript is switched off in your browser", "To display this document, active scripting has to be permitted", "You must allow JavaScript to view this page", "Parts of this page will not work", "Checking your browser before you continue", "Verifying that you are human", "This may take a few seconds",
-    "If nothing happens, allow scripts for this site", "Loading application please wait scripts required", "Just a moment", "One more step to confirm you are not a robot",
-    "Página não encontrada", "Erro interno do servidor", "Acesso negado", "Serviço temporariamente indisponível", "Tente novamente mais tarde", "Volte para a página inicial", "Ative o JavaScript para continuar",
-    "Este site precisa de JavaScript para funcionar", "O seu navegador está com scripts bloqueados", "Habilite-os e recarregue a página", "Habilite os cookies do navegador para prosseguir", "Seu navegador não é compatível com esta página",
-    "Página no encontrada", "Error interno del servidor", "Acceso denegado", "Servicio no disponible", "Inténtelo más tarde", "Vuelva al inicio", "Su navegador no permite scripts", "Actívelos y vuelva a cargar",
-    "Este sitio requiere JavaScript", "Active JavaScript para usar esta aplicación", "allowed memory size exhausted in /srv/www/page.php on line", "Traceback (most recent call last)",
-)
-_NOTICES = Phrases(NOTICE_PHRASES)
+NOTICE_SPELLER = Speller(" ".join([*(w for words, _ in NOTICES for w in words.split()), _NOTICE_MORE]), "fro form aws trial trail quiet sue use united untied steer serve sever marital being begin on no on in is it as at an of or to be a o e y en no em do da de")
+_NOTICE_LOOKS = Speller(" ".join(w for words, _ in NOTICES for w in words.split())).looks
 _NAV_WORDS = re.compile(
     r"^(?:back to top|was this page helpful|yes|no|privacy|terms|contact|menu|search|sign in|sign up|log in|home|docs|documentation|help|about|skip to (?:main )?content|política de privacidade?|termos|contato|inicio|início|buscar|ayuda|"
-    r"all rights reserved|share|print|edit this page|next|previous|api|status|guides|pricing|blog|support|legal|cookies policy|voltar ao topo|volver arriba)[?.:]?$",
+    r"all rights reserved|share|print|edit this page|next|previous|api|status|guides|pricing|blog|support|legal|cookies policy|voltar ao topo|volver arriba|accueil|startseite|impressum)[?.:]?$",
     re.IGNORECASE,
 )
+_NAV_ONLY = re.compile(r"(?:menu|search|home|docs|sign|in|up|log|api|help|login|blog|about|contact|privacy|terms|yes|no|buscar|inicio|início|entrar|[/|·])+", re.IGNORECASE)
+_NAV_START = re.compile(r"^(?:©|\(c\) ?\d|copyright\b|≡|☰)", re.IGNORECASE)
+_NAV_SPLIT = re.compile(r" [|·/>›»•] |\? ")
+_NAV_MARK = re.compile(r"[|·/>›»•?]")
+_NOT_LINK = re.compile(r"[.!:;…]|\d{3}")
 
 
 def is_navigation(line: str) -> bool:
-    """Site furniture: link rows, breadcrumbs, copyright and feedback lines."""
-    text = plain(line)
-    if len(text) > 90:
-        return False
-    if re.match(r"^(?:©|\(c\) ?\d|copyright|≡|☰)", text, re.IGNORECASE) or _NAV_WORDS.match(text):
-        return True
-    parts = [p.strip() for p in re.split(r" [|·/>›»•] |\? |  +", text) if p.strip()]
-    if len(parts) >= 2 and all(len(p) <= 24 and not re.search(r"[.!:;]|\d{3}", p) for p in parts):
+    """Site furniture of any length: link rows, breadcrumbs, copyright and feedback lines; a link
+    has at most four words."""
+    text = plain(line.replace("\xa0", " "))
+    if _NAV_START.match(text) or _NAV_WORDS.match(text):
         return True
     words = text.split()
-    return 2 <= len(words) <= 6 and bool(re.fullmatch(r"(?:menu|search|home|docs|sign|in|up|log|api|help|login|blog|about|contact|privacy|terms|yes|no|/|\||·|buscar|inicio|início|entrar)+", "".join(words), re.IGNORECASE))
-
-
-#: Word parts one of which each notice has; a sentence with none is no notice.
-NOTICE_PARTS = (
-    "error erro err_ fail denied denegado negado permission permiss permiso unavailable indispon disponib again novamente tente intént inténte limit request solicit sess sign login log expir maint manuten mantenim updated back script cookie "
-    "browser navegador robot human moment step wait loading carregando cargando reach reset refused timed timeout time- found encontrad exist broken wrong looking gateway server servidor servic serviç site sitio forbidden authori conflict gone "
-    "page página traceback exception file err_ código codigo code status http recarr recarg enable habilit ativ activ happen oops off iterable stack uncaught exhausted permit check verif refresh reload upgrade change contact volte vuelva "
-    "inactivity slow down connect available needs human displayed required requires bandwidth implemented acceptable allowed payment"
-).split()
-
-
-def _notice_parts():
-    import ahocorasick
-
-    out = ahocorasick.Automaton()
-    for w in NOTICE_PARTS:
-        out.add_word(w, 1)
-    out.make_automaton()
-    return out
-
-
-_PARTS = _notice_parts()
-
-
-def _is_notice(sentence: str) -> bool:
-    if next(_PARTS.iter(sentence.lower()), None) is None:
-        return sentence in _NOTICES
-    return _NOTICE.search(sentence) is not None or sentence in _NOTICES
-
-
-def _visible(text: str) -> str:
-    return text.translate(_INVISIBLE) if _UNSEEN.search(text) else text
+    parts = _NAV_SPLIT.split(text) if len(words) > 1 and _NAV_MARK.search(text) else []
+    if len(parts) >= 2 and len(words) <= 5 * len(parts) and all(len(p.split()) <= 4 and not _NOT_LINK.search(p) for p in parts):
+        return True
+    return len(words) >= 2 and all(map(_NAV_ONLY.fullmatch, words))
 
 
 def _is_error_object(body: str) -> bool:
     """An API's error object."""
-    if re.search(r"\"(?:data|items|orders|results)\"\s*:", body, re.IGNORECASE) or not re.search(r"\"(?:error|status|message|code|errors|detail)\"\s*:", body, re.IGNORECASE):
-        return False
-    return bool(_NOTICE.search(body) or re.search(r"\"(?:error|status|code)\"\s*:\s*\{?\W*(?:\"?code\"?\W*)?\"?[45]\d\d", body, re.IGNORECASE))
-
-
-def is_error_page(text: str) -> bool:
-    """Apart from navigation, nothing but an error message or notice. The text is judged whole:
-    its sentences must be notices or neutral remainders; none may report on errors."""
-    if "```" in text:  # fenced text is quoted
+    if re.search(r"\"(?:data|items|orders|results)\"\s*:", body) or not re.search(r"\"(?:error|status|message|code|errors|detail)\"\s*:", body):
         return False
-    text = _visible(text).replace("\u2028", "\n").replace("\r", "\n")
-    if "<" in text:
-        text = re.sub(r"<br\s*/?>", "\n", text, flags=re.IGNORECASE)
-    hits = misses = size = 0
+    return bool(_says_notice(body, _WORDS.findall(body)) or re.search(r"\"(?:error|status|code)\"\s*:\s*\{?\W*(?:\"?code\"?\W*)?\"?[45]\d\d", body))
+
+
+_TRACE = re.compile(r"^file \W?[^\"]+\W?, line \d+")
+_STAMPED = re.compile(r"^\W{0,3}\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}")
+_BREAK = re.compile(r"<br\s*/?>|</(?:p|h[1-6]|div|li|title|td)>", re.IGNORECASE)
+_ENDS = (". ", "! ", "? ", "… ", ".\xa0", "!\xa0", "?\xa0")
+
+
+def is_error_page(text: str, lines: list[tuple[str, bool]] | None = None, tokens: list[list[str]] | None = None) -> bool:
+    """Apart from navigation, nothing but an error message or notice. All sentences count: for each
+    that is neither notice nor neutral remainder there must be three notices (one, if it is made of
+    the words of notices, as a slip of the pen leaves it), and none may report on errors. Fenced
+    and log lines are content. ``lines`` and their ``tokens``: as the caller has
+    them already."""
+    if lines is None or "<" in text:
+        lines = text_lines(_BREAK.sub("\n", text))
+        tokens = None
+    if tokens is None:
+        tokens = [_WORDS.findall(line.lower()) for line, _ in lines]
+    # no text has more sentences than this: the walk ends where the rest cannot tip the balance
+    most = len(lines) + sum(map(text.count, _ENDS))
+    hits = near = content = 0
     data: list[str] | None = None
-    for line in text.split("\n"):
-        if not line or line.isspace() or (len(line) <= 120 and is_navigation(line.replace("\xa0", " "))):
+    source_line = False
+    for (line, fenced), own in zip(lines, tokens):
+        if not line or line.isspace():
             continue
-        unit = plain(line)
-        if not unit:
-            continue
-        if not size:
-            if re.match(r"\W{0,3}\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}", unit):  # a run log
-                return False
-            data = [] if unit[0] in "{[" else None
-        size += len(unit) + 1
-        if data is not None:
-            data.append(unit)
-            continue
-        for sentence in _SENTENCE.split(unit):
-            sentence = sentence.replace("’", "'").strip(" *-")
-            if not sentence:
+        if fenced:
+            content += 1
+        elif data is None and content and own and _NOTICE_LOOKS.isdisjoint(own) and not _ENDS_ERROR.search(line) and line[0] not in "{[" and not is_navigation(line):
+            content += sum(not _NEUTRAL.match(x.strip(" .!*-#").lower()) for x in _SENTENCE.split(plain(_visible(line))) if x.strip(" .!*-#"))
+            source_line = False
+        else:
+            if is_navigation(line):
                 continue
-            if _is_notice(sentence):
-                if _REPORTS.search(sentence):
-                    return False
-                hits += 1
-            elif not _NEUTRAL.match(sentence.strip(" .!")):
-                if _REPORTS.search(sentence):
-                    return False
-                misses += 1
-                if misses > 2 and misses > hits:
+            unit = plain(_visible(line))
+            if not unit:
+                continue
+            if data is None and not hits and not content and unit[0] in "{[":
+                data = []
+            if data is not None:
+                data.append(unit.lower())
+                continue
+            if source_line:  # the line of code a traceback names
+                source_line = False
+                continue
+            if _STAMPED.match(unit):
+                content += 1
+                continue
+            for sentence in _SENTENCE.split(unit):
+                sentence = sentence.replace("’", "'").strip(" *-")
+                if not sentence:
+                    continue
+                low = sentence.lower()
+                words = _WORDS.findall(low)
+                found = _says_notice(low, words)
+                if not found:
+                    low, words = NOTICE_SPELLER.mend(low, words)
+                    found = _says_notice(low, words)
+                if (found or content) and _REPORTS.search(low) and not _NOT_REPORTS.search(low):
                     return False
+                if found:
+                    hits += 1
+                    source_line = bool(_TRACE.match(low))
+                elif not _NEUTRAL.match(low.strip(" .!")):
+                    known = sum(w in NOTICE_SPELLER.words for w in words)
+                    if known * 5 >= len(words) * 3 and words:
+                        near += 1
+                    else:
+                        content += 1
+        if content * 4 > most:
+            return False
     if data is not None:
         return _is_error_object(" ".join(data))
-    # a slip of the pen may hide one sentence in three from the patterns
-    return hits > 0 and misses * 2 <= hits
+    return hits > 0 and content * 3 <= hits and near <= hits
 
 
 def residue_kinds(text: str | None) -> list[str]:
     """Which of ``slot``, ``filler``, ``error_page`` a text is; none for null, empty or blank."""
     if text is None or not text.strip():
         return []
-    lines = running_lines(text)
+    lines = text_lines(text)
+    tokens = [_WORDS.findall(line.lower()) for line, _ in lines]
     kinds = []
-    if has_slot(lines):
+    if has_slot(lines, tokens):
         kinds.append("slot")
-    if has_filler(lines):
+    if has_filler(lines, tokens):
         kinds.append("filler")
-    if is_error_page(text):
+    if is_error_page(text, lines, tokens):
         kinds.append("error_page")
     return kinds
 

@@ -146,3 +146,39 @@ def test_error_pages_of_any_length():
     assert residue.is_error_page("Please enable JavaScript to continue.\n" * 60)
     assert residue.is_error_page("<div>" * 1000 + "404 Not Found" + "</div>" * 1000)
     assert not residue.is_error_page(menu + "404 Not Found\n" + "The loader keeps every page it has read.\n" * 9)
+
+
+@pytest.mark.parametrize("notice", ["503 Service Unavailable\nPlease try again later.", "Please enable JavaScript to continue.", "Access denied\nYou do not have permission to view this resource on this server."])
+def test_notices_of_any_length(notice):
+    links = "Home | " + " | ".join(["Docs", "Pricing", "About us"] * 300)
+    assert residue.is_error_page(links + "\n" + notice)
+    assert residue.is_error_page((notice + "\n") * 45)
+    assert residue.is_error_page("Home | Docs | Pricing\n" * 300 + notice + "\n" + links)
+    assert not residue.is_error_page(notice + "\n" + "The loader keeps every page it has read.\n" * 3)
+    assert not residue.is_error_page("The loader keeps every page it has read.\n" * 200 + notice)
+
+
+@pytest.mark.parametrize("residue_line", ["Dear %NAME%, hello there.", "Work in progress.", "To be defined.", "[ insert name ]", "Muy pronto.", "Dear &lbrace;&lbrace; name &rbrace;&rbrace;, hello", "Lorem ipsum dolor sit amet, consectetur adipiscing elit. " * 400])
+def test_residue_in_lines_of_any_length(residue_line):
+    assert residue.residue_kinds(residue_line)
+    assert residue.residue_kinds("The loader keeps each record as it came, whatever it holds. " * 300 + residue_line)
+
+
+def test_gates_change_nothing():
+    for text in [*CASES["residue"], *CASES["clean"], *(a + "\n" + b for a, b in zip(CASES["residue"], CASES["clean"]))]:
+        lines = residue.text_lines(text)
+        tokens = [residue._WORDS.findall(line.lower()) for line, _ in lines]
+        assert residue.has_slot(lines, tokens) == residue.has_slot(lines), text
+        assert residue.has_filler(lines, tokens) == residue.has_filler(lines), text
+        for sentence in text.lower().split("\n"):
+            gated = residue._says_notice(sentence, residue._WORDS.findall(sentence))
+            assert gated or not any(p.search(sentence) for i, p in enumerate(residue._NOTICE_GROUPS) if residue.NOTICES[i][0].split()[0] not in ("javascript", "browser")), sentence
+
+
+def test_long_texts_take_linear_time():
+    import time
+
+    start = time.time()
+    for text in ["word " * 100_000, "{{ " * 30_000, "[ insert " * 10_000, "<a " * 30_000, "\n" * 100_000, "lorem " * 30_000, "__a" * 30_000, "javascript " * 10_000, "page " * 20_000, '"a ' * 30_000]:
+        residue.residue_kinds(text)
+    assert time.time() - start < 30
