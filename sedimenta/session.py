@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
 
 _STAGED: list[tuple[SparkSession, str]] = []
+_KEPT: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -61,6 +64,40 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """What is staged inside is removed at the end: for steps whose result is staged after them
+    (see ``kept``) or collected."""
+    mark = len(_STAGED)
+    try:
+        yield
+    finally:
+        for own, path in _STAGED[mark:]:
+            if path not in _KEPT:
+                _forget(own, path)
+        _STAGED[mark:] = [x for x in _STAGED[mark:] if x[1] in _KEPT]
+
+
+def kept(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
+    """``staged``, and not removed by the ``passing`` blocks around it; ``spark``: the session that
+    reads it, if not that of ``df``."""
+    spark = spark or df.sparkSession
+    path = scratch_path(spark, name)
+    _KEPT.add(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove all that was staged in this session so far: long-lived drivers call it between
+    queries, once results are read."""
+    mine = [x for x in _STAGED if x[0] is spark]
+    for own, path in mine:
+        _forget(own, path)
+        _KEPT.discard(path)
+    _STAGED[:] = [x for x in _STAGED if x[0] is not spark]
+
+
 def size_checked(df: DataFrame, row_bytes: Column, limit: int = BROADCAST_LIMIT_BYTES) -> tuple[bool, int]:
     """Measure ``sum(row_bytes)`` of a staged table; True if it may be broadcast."""
     total = df.agg(F.coalesce(F.sum(row_bytes), F.lit(0)).cast("long").alias("b")).first()["b"]
@@ -72,15 +109,29 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows out anew if the input has fewer splits than half the cores, as a Parquet row group
-    is one task however long Python takes over it. Only small inputs have so few splits, so what
-    shuffles here is less than a split a core; larger inputs pass unchanged, as do plans that
-    exchange rows already (to count their splits would run them)."""
-    plan = df._jdf.queryExecution().executedPlan()
-    if "Exchange" in plan.toString() or plan.nodeName().startswith("AdaptiveSparkPlan"):
+    """Deals rows out anew if the files below have fewer splits than half the cores, as a Parquet row
+    group is one task however long Python takes over it. Only small inputs have so few splits, so
+    what shuffles here is less than a split a core; larger inputs pass unchanged."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) * 2 > cores:
         return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+    split = _bytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    jvm, hadoop = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    sizes = []
+    for name in files:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        sizes.append(path.getFileSystem(hadoop).getFileStatus(path).getLen())
+    split = min(split, max(_bytes(spark.conf.get("spark.sql.files.openCostInBytes")), sum(sizes) // cores))
+    return df.repartition(cores) if sum(-(-n // split) for n in sizes) * 2 <= cores else df
+
+
+def _bytes(size: str) -> int:
+    """Spark's size texts: ``134217728b``, ``16m``, ``4MB``."""
+    text = size.strip().lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30, "t": 40}.get(text[-1:], 0)
+    return int(text[:-1] if unit else text) << unit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

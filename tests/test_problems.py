@@ -169,6 +169,49 @@ def test_upsert_of_a_batch_again_replaces_it(spark):
     store.drop()
 
 
+def test_runs_merge_without_exchange_or_sort_and_compact(spark):
+    store = upsert.BucketedRuns(spark, 3)
+    rng = random.Random(3)
+    items = [(rng.choice(["a", "ab", "b\0", "b", "é", "k" * 500, *map(str, range(40))]), i, f"run {i % 7}") for i in range(1000)]
+    df = spark.createDataFrame(items, "key string, ord long, batch string").repartition(5)
+    store.upsert_many(df.filter("ord < 900"), "batch", "key", "ord", 4)
+    store.upsert(df.filter("ord >= 900"), "late", "key", "ord")
+    plan = store.merged()._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    first = {}
+    for k, i, _ in items:
+        first.setdefault(k, i)
+    done = store.compact()
+    assert sorted(r["ord"] for r in done.filter("copy = 1").collect()) == sorted(first.values()) and done.count() == 1000
+    assert len(store.runs) == 1 and sorted(r["ord"] for r in store.merged().filter("copy = 1").collect()) == sorted(first.values())
+    store.upsert(spark.createDataFrame([("a", 5000), ("new", 5001)], "key string, ord long"), "next", "key", "ord")
+    assert {r["ord"]: r["copy"] for r in store.merged().filter("ord >= 5000").collect()} == {5000: 2, 5001: 1}
+    store.drop()
+
+
+def test_merging_sorted_runs():
+    rng = np.random.default_rng(4)
+    runs = []
+    for n in (0, 1, 50, 700):
+        keys, order = rng.choice(["a\x01", "ab\x01", "abc\x01", "z\x01"], n).astype("S"), rng.permutation(np.arange(-n, n))[:n]
+        by = np.lexsort([order, keys])
+        runs.append((keys[by], order[by]))
+    keys, order = upsert.merge_runs(runs)
+    every = sorted((k, o) for ks, os in runs for k, o in zip(ks.tolist(), os.tolist()))
+    assert list(zip(keys.tolist(), order.tolist())) == every and len(upsert.merge_runs([])[0]) == 0
+
+
+def test_stores_leave_nothing_behind(spark):
+    from sedimenta import session
+
+    df = deliveries(spark, [("a", "1", {"id": "x"}), ("a", "2", {"id": "x"}), ("a", None, {"id": "y"})])
+    before = {t.name for t in spark.catalog.listTables()}
+    assert rows(upsert.redelivered(df)) == [(1,)] and rows(upsert.redelivered(df.drop("_run_id"))) == [(1,)]
+    assert {t.name for t in spark.catalog.listTables()} == before
+    session.release(spark)
+    assert not [x for x in session._STAGED if x[0] is spark]
+
+
 def test_hot_key_is_spread(spark):
     df = spark.range(40_000).select(F.col("id").alias("ordinal"), F.lit("a").alias("_source"), F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("id"), F.lit("{}").alias("_raw"))
     found = upsert.redelivered(df.repartition(8))
