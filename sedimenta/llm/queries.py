@@ -1,4 +1,4 @@
-"""The queries of problems 6 to 8, over the whole documents table."""
+"""The queries of problems 2 and 6 to 8, over their whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimenta.llm import mixing, residue
+from sedimenta.llm import membership, mixing, residue
 from sedimenta.llm.tokenizer import ByteBPE, count_tokens, encode
 from sedimenta.session import staged, table
 
@@ -27,6 +27,18 @@ def vocabulary(path: str | None = None) -> ByteBPE:
     return _LOADED[path]
 
 
+#: False positives the filters of problem 2 are built for.
+FPP = 1e-3
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return membership.seen_before(table(spark, d, "incoming_orders"), table(spark, d, "seen"), ["source", "id"], "arrival_no", id_key="id", fpp=FPP)
+
+
+def p2_errors(spark: SparkSession, d: str) -> DataFrame:
+    return membership.seen_before_errors(table(spark, d, "incoming_orders"), table(spark, d, "seen"), ["source", "id"], "arrival_no", id_key="id", fpp=FPP)
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode(table(spark, d, "documents").select("doc_id", "text"), vocabulary())
 
@@ -60,10 +72,17 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p6_ids, p7_mix, p7_shares, p8_found, p8_kinds, p8_clean)}
+    return {f.__name__: f for f in (p2_found, p2_errors, p6_ids, p7_mix, p7_shares, p8_found, p8_kinds, p8_clean)}
+
+
+_BLANK = r"regexp_full_match(id, '[\s\x{1c}-\x{1f}\x{85}\p{Z}\v]*')"
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: encoding, mixing and detection have no SQL; tests hold them against libraries, brute
-    force and labelled cases."""
-    return {}
+    """SQL of problem 2; encoding, mixing and detection have none: tests hold them against libraries,
+    brute force and labelled cases."""
+    fingerprint = """sha256('["' || source || '","' || replace(replace(replace(id, '\\', '\\\\'), '"', '\\"'), chr(9), '\\t') || '"]')"""
+    return {
+        "p2_found": f"""WITH k AS (SELECT arrival_no, {fingerprint} AS f FROM incoming_orders WHERE id IS NOT NULL AND source IS NOT NULL AND NOT {_BLANK})
+SELECT arrival_no FROM (SELECT arrival_no, f, row_number() OVER (PARTITION BY f ORDER BY arrival_no) AS n FROM k) WHERE n > 1 OR f IN (SELECT lower(hex(fingerprint)) FROM seen)""",
+    }
