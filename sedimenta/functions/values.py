@@ -109,6 +109,8 @@ def _refuse_constant(text: str) -> Any:
 
 
 _DECODER = json.JSONDecoder(parse_constant=_refuse_constant)
+#: (value, end) of the JSON value at a place in a text
+strict_scanner = _DECODER.scan_once
 
 
 def loads_strict(text: str) -> Any:

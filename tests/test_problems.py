@@ -64,11 +64,42 @@ def test_rescue_and_replay(spark):
     got = {r["ordinal"]: r for r in out.collect()}
     assert got[1]["amount"] == 7 and got[1]["status"] == "ok" and json.loads(got[1]["__rescued"]) == {"k": "1"} and got[1]["_rescued"] == "z"
     assert got[2]["amount"] is None and json.loads(got[2]["__rescued"]) == {"amount": "x"}
-    assert got[3]["__rescued"] is None and got[3]["absent"] is None
+    assert json.loads(got[3]["__rescued"]) == {"_broken": "broken"} and got[3]["absent"] is None
     again = drift.replay_rescued(out, "k", "int", rescued="__rescued")
     assert {r["ordinal"]: (r["k"], r["__rescued"]) for r in again.collect()}[1] == (1, None)
 
 
+def test_rescue_keeps_types_and_exact_texts(spark):
+    extras = ['{"a":1,"b":"1","c":true,"d":1.10,"e":{"x":1.0},"f":[1, "é"],"g":null,"h":12345678901234567890123}', '{"a":1,"a":2}', '{"n":"7","ok":"true"}', '{"n":7,"ok":true}', "[1]", " ", '{"n":7} x', '{"n":NaN}', '{"u":"\\u00e9","n":1e400}', '{"k\'ey":1,"":2}']
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(extras)], "i int, _extra string")
+    out = {r["i"]: r for r in drift.rescue_ingest(df, {}, promote={"n": "double", "ok": "boolean"}).collect()}
+    left = [out[i]["_rescued"] for i in range(len(extras))]
+    assert left[0] == extras[0] and left[1] == '{"a":2}' and left[2] == '{"ok":"true"}' and left[3] is None and left[5] is None
+    assert [json.loads(left[i])["_broken"] for i in (4, 6, 7)] == [extras[i] for i in (4, 6, 7)]
+    assert left[8] == '{"u":"\\u00e9","n":1e400}' and json.loads(left[9]) == {"k'ey": 1, "": 2}
+    assert (out[2]["n"], out[2]["ok"], out[3]["n"], out[3]["ok"]) == (7.0, None, 7.0, True)
+
+
+def test_casts_that_would_change_a_value_are_rescued(spark):
+    cases = [("12.345", "decimal(18,2)"), ("12.30", "decimal(18,2)"), ("9007199254740993", "double"), ("0.1", "double"), ("1e3", "double"), ("NaN", "double"), ("3.5", "bigint"), ("3", "bigint"), ("2024-02-30", "date"), ("2024-02-29", "date"),
+             ("2024-02-29T10:00:00", "date"), ("2024-02-29T10:00:00.1234567", "timestamp"), ("2024-02-29T10:00:00.123456", "timestamp"), ("yes", "boolean"), ("TRUE", "boolean"), ("x", "string")]
+    kept = [spark.createDataFrame([(t,)], "t string").select(drift.exact_cast(F.col("t"), k).isNotNull()).first()[0] for t, k in cases]
+    assert kept == [False, True, False, True, True, False, False, True, False, True, False, False, True, False, True, True]
+
+
+def test_slices():
+    assert drift.record_slices(' { "a" : 1 , "b":{"c": [1,{"d":2}] ,"c":2.50} } ') == {"a": ("integer", "1"), "b": {"c": ("number", "2.50")}}
+    for bad in ("", "{", '{"a"}', '{"a":}', '{"a":1,}', '{"a":1}}', "{'a':1}", '{"a":1 "b":2}', '{"a":[1}', "1", "null", '{"a":-Infinity}', '{"a":' * 5000):
+        assert drift.record_slices(bad) is None, bad
+    assert [x[0] for x in drift.flatten_slices(drift.record_slices('{"a":{"b":1,"e":{}},"9":[],"x-y":null}'))] == ["a_b", "a_e", "_9", "x_y"]
+
+
+def test_paths_that_share_a_name_are_all_kept(spark):
+    df = spark.createDataFrame([('{"a":{"b":null},"a_b":2,"a-b":3}',)], "raw string")
+    r = df.select(drift.lift(F.col("raw"), [], deep=True).alias("x")).select("x.*").first()
+    assert json.loads("{" + r["rest"] + "}") == {"a_b": 2, "a-b": 3} and r["shape"] == "a_b\x1einteger"
+
+
 def test_collapse_sorted_runs(spark):
     df = spark.createDataFrame([(3, b"k"), (1, b"k"), (2, None), (5, None), (4, b"j")], "n int, k binary").coalesce(1)
     assert sorted((r["n"], r["again"]) for r in collapse_sorted_runs(df, "k", "n", "again").collect()) == [(1, False), (2, False), (3, True), (4, False), (5, True)]
