@@ -110,7 +110,30 @@ _BLANK = r"regexp_full_match(id, '[\s\x{1c}-\x{1f}\x{85}\p{Z}\v]*')"
 def oracle_sql() -> dict[str, str]:
     """SQL of the problems that have it; the others are held against brute force in the tests."""
     numbered = f"row_number() OVER (PARTITION BY _source, id ORDER BY ordinal) AS n FROM bronze_orders WHERE id IS NOT NULL AND NOT {_BLANK} AND coalesce(json_type(_raw::JSON, '$.id'), '') <> 'ARRAY'"
+    # one row a record and field with a value; of two paths with one name the first counts
+    leaves = """leaves AS (SELECT o._source AS source, o._run_id AS file, o.ordinal, regexp_replace(regexp_replace(replace(substr(t.fullkey, 3), '"', ''), '[^A-Za-z0-9_]', '_', 'g'), '^([0-9])', '_\\1') AS field, min(t.id) AS first, arg_min(t.type, t.id) AS type, arg_min(t.value::VARCHAR, t.id) AS value
+  FROM bronze_orders o, json_tree(CASE WHEN json_valid(o._raw) THEN o._raw::JSON END) t WHERE t.type NOT IN ('OBJECT', 'NULL') AND t.fullkey <> '$' AND NOT regexp_matches(regexp_replace(t.fullkey, '"[^"]*"', '', 'g'), '\\[') GROUP BY ALL)"""
+    p1 = f"""WITH {leaves},
+files AS (SELECT _source AS source, _run_id AS file, row_number() OVER (PARTITION BY _source ORDER BY min(ordinal), _run_id) AS no FROM bronze_orders GROUP BY 1, 2),
+kinds AS (SELECT source, file, field, CASE WHEN type IN ('UBIGINT', 'BIGINT', 'HUGEINT', 'UHUGEINT') THEN 'integer' WHEN type = 'DOUBLE' THEN 'number' WHEN type = 'BOOLEAN' THEN 'boolean' WHEN type = 'ARRAY' THEN 'array' ELSE 'string' END AS kind, count(*) AS n FROM leaves GROUP BY ALL),
+typed AS (SELECT source, no, field, kind FROM kinds JOIN files USING (source, file) QUALIFY row_number() OVER (PARTITION BY source, no, field ORDER BY n DESC, list_position(['string', 'integer', 'number', 'boolean', 'array'], kind)) = 1),
+pairs AS (SELECT f.source, f.no, f.file, t.field, t.kind AS now, NULL AS before FROM typed t JOIN files f ON f.source = t.source AND f.no = t.no UNION ALL SELECT f.source, f.no, f.file, t.field, NULL, t.kind FROM typed t JOIN files f ON f.source = t.source AND f.no = t.no + 1),
+change AS (SELECT source, no, file, field, max(now) AS now, max(before) AS before FROM pairs WHERE no > 1 GROUP BY ALL HAVING max(now) IS DISTINCT FROM max(before)),
+vals AS (SELECT DISTINCT source, no, field, type, value FROM leaves JOIN files USING (source, file)),
+sizes AS (SELECT source, no, field, count(*) AS size FROM vals GROUP BY ALL),
+pair AS (SELECT a.source, a.no, a.field AS came, r.field AS went, lower(regexp_replace(a.field, '[^A-Za-z0-9]', '', 'g')) = lower(regexp_replace(r.field, '[^A-Za-z0-9]', '', 'g')) AS named,
+  (SELECT count(*) FROM vals x JOIN vals y ON x.type = y.type AND x.value = y.value WHERE x.source = a.source AND x.no = a.no AND x.field = a.field AND y.source = a.source AND y.no = a.no - 1 AND y.field = r.field) AS common, s.size
+  FROM change a JOIN change r ON r.source = a.source AND r.no = a.no AND a.before IS NULL AND r.now IS NULL AND a.now = r.before JOIN sizes s ON s.source = a.source AND s.no = a.no AND s.field = a.field),
+fit AS (SELECT *, row_number() OVER (PARTITION BY source, no, came ORDER BY named DESC, common / size DESC, went) AS i, row_number() OVER (PARTITION BY source, no, went ORDER BY named DESC, common / size DESC, came) AS j FROM pair WHERE named OR common * 2 >= size),
+ren AS (SELECT source, no, came, went FROM fit WHERE i = 1 AND j = 1)
+SELECT c.source, c.file AS run_id, CASE WHEN now IS NOT NULL AND before IS NOT NULL THEN 'retyped' WHEN r.came IS NOT NULL THEN 'renamed' WHEN now IS NOT NULL THEN 'added' ELSE 'removed' END AS change_kind, c.field AS field_name, coalesce(r.went, '') AS old_name
+FROM change c LEFT JOIN ren r ON r.source = c.source AND r.no = c.no AND r.came = c.field AND c.before IS NULL WHERE NOT EXISTS (SELECT 1 FROM ren g WHERE g.source = c.source AND g.no = c.no AND g.went = c.field AND c.now IS NULL)"""
+    undocumented = f"""WITH {leaves}, held AS (SELECT DISTINCT source, file, field, 1 AS f, 0 AS l FROM leaves WHERE field NOT IN ('id', 'customer_id', 'updated_at', 'amount', 'items')
+  UNION ALL SELECT DISTINCT connector_name, run_id, x, 0, 1 FROM (SELECT connector_name, run_id, unnest(CASE WHEN json_valid(extra_fields_seen) THEN from_json(extra_fields_seen, '["VARCHAR"]') END) AS x FROM run_log) WHERE x IS NOT NULL)
+SELECT source, file AS run_id, field AS field_name, max(f) = 1 AS in_file, max(l) = 1 AS in_log FROM held GROUP BY ALL"""
     return {
+        "p1_found": p1,
+        "p1_undocumented": undocumented,
         "p3_order_items": """SELECT ordinal AS order_no, 0 AS record_no, '$.items[' || (i - 1) || ']' AS node_path, '$' AS parent_path, (i - 1)::INTEGER AS ordinal, x->>'$.sku' AS sku, try_cast(x->>'$.qty' AS BIGINT) AS qty
 FROM (SELECT ordinal, unnest((_raw::JSON->'$.items')::JSON[]) AS x, generate_subscripts((_raw::JSON->'$.items')::JSON[], 1) AS i FROM bronze_orders WHERE json_type(_raw::JSON, '$.items') = 'ARRAY') WHERE json_type(x) = 'OBJECT'""",
         "p4_found": f"SELECT ordinal FROM (SELECT ordinal, {numbered}) WHERE n > 1",
