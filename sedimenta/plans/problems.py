@@ -131,7 +131,42 @@ FROM change c LEFT JOIN ren r ON r.source = c.source AND r.no = c.no AND r.came
     undocumented = f"""WITH {leaves}, held AS (SELECT DISTINCT source, file, field, 1 AS f, 0 AS l FROM leaves WHERE field NOT IN ('id', 'customer_id', 'updated_at', 'amount', 'items')
   UNION ALL SELECT DISTINCT connector_name, run_id, x, 0, 1 FROM (SELECT connector_name, run_id, unnest(CASE WHEN json_valid(extra_fields_seen) THEN from_json(extra_fields_seen, '["VARCHAR"]') END) AS x FROM run_log) WHERE x IS NOT NULL)
 SELECT source, file AS run_id, field AS field_name, max(f) = 1 AS in_file, max(l) = 1 AS in_log FROM held GROUP BY ALL"""
+    nodes = r"""nodes AS (SELECT p.source, p.load_no, p.record_no, regexp_replace(replace(substr(t.fullkey, 3), '"', ''), '\[[0-9]+\]', '[]', 'g') AS path,
+  CASE t.type WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'UBIGINT' THEN 'integer' WHEN 'BIGINT' THEN 'integer' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'array' ELSE 'object' END AS kind,
+  t.value AS value, json_extract_string(t.value, '$') AS text FROM profile_records p, json_tree(p.raw::JSON) t WHERE t.fullkey <> '$')"""
+    blank = r"regexp_full_match(text, '[\s\x{1c}-\x{1f}\x{85}\p{Z}\v]*')"
+    email = r"regexp_full_match(text, '[^@\s\p{Z}]+@[^@\s.\p{Z}]+(\.[^@\s.\p{Z}]+)+')"
+    stamp = r"(regexp_full_match(text, '[0-9]{4}-[0-9]{2}-[0-9]{2}([T ]([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](\.[0-9]+)?(Z|[+-]([01][0-9]|2[0-3]):[0-5][0-9])?)?') AND try_cast(substr(text, 1, 10) AS DATE) IS NOT NULL)"
+    bad = f"kind = 'string' AND NOT {blank} AND (path = 'email' AND NOT {email} OR path = 'updated_at' AND NOT {stamp})"
+    fields = "['email', 'name', 'active', 'tags', 'meta.score', 'updated_at']"
+    p5 = f"""WITH {nodes}, loads AS (SELECT source, load_no, count(*) AS records FROM profile_records GROUP BY ALL),
+facts AS (SELECT source, load_no, path, count(DISTINCT record_no) AS present, count(*) FILTER (kind = 'null') AS nulls, count(DISTINCT kind) FILTER (kind <> 'null') AS kinds, count(*) FILTER ({bad}) AS bad,
+  median(try_cast(text AS DOUBLE)) FILTER (kind IN ('integer', 'number')) AS median, count(*) FILTER (kind = 'boolean' AND text = 'true') AS yes, count(*) FILTER (kind = 'boolean') AS flags FROM nodes GROUP BY ALL),
+types AS (SELECT source, load_no, path, string_agg(kind || '=' || n, ',' ORDER BY kind) AS types FROM (SELECT source, load_no, path, kind, count(*) AS n FROM nodes GROUP BY ALL) GROUP BY ALL),
+grid AS (SELECT source, load_no, records, unnest({fields}) AS path FROM loads),
+now AS (SELECT g.*, records - coalesce(present, 0) + coalesce(nulls, 0) AS lack, median, yes, flags FROM grid g LEFT JOIN facts USING (source, load_no, path)),
+pairs AS (SELECT n.source, n.load_no, n.path, n.lack / n.records AS a, o.lack / o.records AS b, n.median AS m, o.median AS k, n.yes / nullif(n.flags, 0) AS y, o.yes / nullif(o.flags, 0) AS z FROM now n JOIN now o ON o.source = n.source AND o.path = n.path AND o.load_no = n.load_no - 1),
+claims AS (SELECT p.source, p.load_no, p.path, p.records_present, p.nulls, p.missing, (SELECT string_agg(e.key || '=' || e.value, ',' ORDER BY e.key) FROM unnest(map_entries(p.types)) AS u(e)) AS types, p.types IS NOT NULL AS typed FROM field_profiles p)
+SELECT source, load_no, path AS field_path, 'mixed_types' AS finding FROM facts WHERE kinds > 1
+UNION ALL SELECT source, load_no, path, 'bad_pattern' FROM facts WHERE bad > 0
+UNION ALL SELECT source, load_no, path, 'null_shift' FROM pairs WHERE abs(a - b) > 0.25
+UNION ALL SELECT source, load_no, path, 'value_shift' FROM pairs WHERE path = 'meta.score' AND m <> k AND (m >= 0 AND k >= 0 AND (m >= 2 * k OR 2 * m <= k) OR m <= 0 AND k <= 0 AND (m <= 2 * k OR 2 * m >= k) OR m * k < 0)
+UNION ALL SELECT source, load_no, path, 'value_shift' FROM pairs WHERE path = 'active' AND abs(y - z) > 0.25
+UNION SELECT c.source, c.load_no, c.path, 'wrong_profile' FROM claims c LEFT JOIN loads l USING (source, load_no) LEFT JOIN facts f USING (source, load_no, path) LEFT JOIN types t USING (source, load_no, path)
+  WHERE c.records_present <> coalesce(f.present, 0) OR c.nulls <> coalesce(f.nulls, 0) OR c.missing <> coalesce(l.records, 0) - coalesce(f.present, 0) OR c.typed AND coalesce(c.types, '') <> coalesce(t.types, '')
+UNION ALL SELECT s.source, s.load_no, '', 'wrong_summary' FROM quality_summaries s LEFT JOIN (SELECT source, load_no, count(*) AS mixed FROM facts WHERE kinds > 1 GROUP BY ALL) m USING (source, load_no) WHERE s.mixed_type_fields <> coalesce(m.mixed, 0)"""
+    moment = f"CASE WHEN kind = 'string' AND {stamp} THEN CASE WHEN regexp_matches(text, '[+-][0-9]{{2}}:[0-9]{{2}}$') AND length(text) > 10 OR text LIKE '%Z' THEN (try_cast(text AS TIMESTAMPTZ) AT TIME ZONE 'UTC') ELSE try_cast(text AS TIMESTAMP) END END"
+    count = lambda kind: f"count(*) FILTER (kind = '{kind}') AS n_{kind}"
+    profile_sql = f"""WITH {nodes}, loads AS (SELECT source, load_no, count(*) AS records FROM profile_records GROUP BY ALL)
+SELECT n.source, n.load_no, path, any_value(l.records) AS records, count(DISTINCT record_no) AS records_present, count(*) AS occurrences, {", ".join(map(count, profile.TYPES))},
+ count(*) FILTER (kind = 'string' AND text = '') AS empty_strings, count(*) FILTER (kind = 'string' AND text <> '' AND {blank}) AS blank_strings, count(*) FILTER (kind = 'array' AND json_array_length(value) = 0) AS empty_arrays, count(*) FILTER (kind = 'object' AND value::VARCHAR = '{{}}') AS empty_objects,
+ count(*) FILTER ({bad}) AS bad_values, count(DISTINCT kind || value::VARCHAR) AS distinct_values, min(try_cast(text AS DOUBLE)) FILTER (kind IN ('integer', 'number')) AS min_number, max(try_cast(text AS DOUBLE)) FILTER (kind IN ('integer', 'number')) AS max_number,
+ min(length(text)) FILTER (kind = 'string')::INTEGER AS min_length, max(length(text)) FILTER (kind = 'string')::INTEGER AS max_length, min({moment}) AS min_time, max({moment}) AS max_time,
+ count(*) FILTER (kind = 'boolean' AND text = 'true') AS n_true, count(*) FILTER (kind = 'boolean') AS n_flag, any_value(l.records) - count(DISTINCT record_no) AS missing, count(*) FILTER (kind = 'null') AS nulls, count(DISTINCT kind) FILTER (kind <> 'null') AS mixed_types
+FROM nodes n JOIN loads l USING (source, load_no) GROUP BY ALL"""
     return {
+        "p5_found": p5,
+        "p5_profile": profile_sql,
         "p1_found": p1,
         "p1_undocumented": undocumented,
         "p3_order_items": """SELECT ordinal AS order_no, 0 AS record_no, '$.items[' || (i - 1) || ']' AS node_path, '$' AS parent_path, (i - 1)::INTEGER AS ordinal, x->>'$.sku' AS sku, try_cast(x->>'$.qty' AS BIGINT) AS qty

@@ -303,3 +303,44 @@ def test_profile_has_patterns_and_ranges_of_text(spark, tmp_path):
     got = {r["path"]: r for r in problems.p5_profile(spark, str(tmp_path)).withColumns({c: F.col(c).cast("string") for c in ("min_time", "max_time")}).collect()}
     assert (got["email"]["bad_values"], got["email"]["min_length"], got["email"]["max_length"], got["email"]["min_time"]) == (1, 1, 11, None)
     assert (got["updated_at"]["bad_values"], got["updated_at"]["min_time"], got["updated_at"]["max_time"]) == (1, "2025-12-01 00:00:00", "2026-01-31 08:00:00")
+
+
+def test_quantiles_of_crowded_values(spark):
+    rng = np.random.default_rng(5)
+    groups = {"crowd": [float(x) for x in rng.integers(0, 1000, 5000)] + [1e15], "hot": [7.0] * 900 + [1.0] * 100, "one": [-0.5], "wide": [float(x) for x in rng.normal(0, 1e6, 501)], "close": [1.0 + i * 2.0**-52 for i in range(64)]}
+    rows_ = [(g, "p", "number", v, 1) for g, vs in groups.items() for v in vs]
+    freq = spark.createDataFrame(rows_, "source string, path string, kind string, number double, n long").groupBy("source", "path", "kind", "number").agg(F.sum("n").alias("n"))
+    assert {r["source"]: r["median"] for r in profile.exact_medians(freq, ["source"], "p").collect()} == {g: float(np.median(v)) for g, v in groups.items()}
+    ranks = [F.lit(0), F.col("total") - 1, F.floor(F.col("total") / 4)]
+    for size_checked in (profile.size_checked, lambda *a: (False, 0)):
+        profile_size, profile.size_checked = profile.size_checked, size_checked
+        try:
+            placed = freq.withColumn("place", profile._places(F.col("number")))
+            got = {(r["source"], r["rank"]): r["number"] for r in profile.exact_quantiles(placed, ["source"], ranks).collect()}
+        finally:
+            profile.size_checked = profile_size
+        for g, v in groups.items():
+            v = sorted(v)
+            assert all(got[g, k] == v[k] for k in (0, len(v) - 1, len(v) // 4))
+
+
+def test_places_order_like_numbers():
+    numbers = sorted([0.0, 1.0, -1.0, 1e300, -1e300, 5e-324, -5e-324, float("inf"), float("-inf"), 3.14, -2.5])
+    assert [profile.place_of(x) for x in numbers] == sorted(profile.place_of(x) for x in numbers) and profile.place_of(-0.0) == profile.place_of(0.0)
+
+
+def test_numbers_beyond_doubles_and_deep_records(spark):
+    data = ['{"a": 1}', '{"a": 1%s}' % ("0" * 309), '{"a": 1e400}', '{"a": -1%s}' % ("0" * 309), '{"b":' * 600 + "1" + "}" * 600, "[" * 100_000]
+    df = spark.createDataFrame([("s", x) for x in data], "source string, raw string")
+    got = {r["path"]: r for r in profile.field_report(profile.path_value_counts(df, ["source"], "raw"), ["source"]).collect()}
+    assert set(got) == {"a"} and (got["a"]["records"], got["a"]["missing"], got["a"]["distinct_values"]) == (6, 2, 4)
+    assert (got["a"]["min_number"], got["a"]["max_number"]) == (float("-inf"), float("inf"))
+
+
+def test_shifted_numbers_stand_out(spark):
+    rng = random.Random(8)
+    data = [("s", load, json.dumps({"x": rng.gauss(100, 20) * (2 if load == 3 else 1), "day": f"2026-0{load}-{rng.randint(10, 28)}", "c": rng.choice("abc")})) for load in (1, 2, 3) for _ in range(400)]
+    freq = profile.path_value_counts(spark.createDataFrame(data, "source string, load_no int, raw string"), ["source", "load_no"], "raw").cache()
+    got = {(r["load_no"], r["path"]): r for r in profile.load_drift(freq).collect()}
+    assert got[2, "x"]["psi"] < 0.25 < 2 < got[3, "x"]["psi"] and got[3, "x"]["chi_square"] > 5 * got[2, "x"]["chi_square"]
+    assert got[2, "c"]["psi"] < 0.1 and got[3, "c"]["psi"] < 0.1 and got[2, "day"]["psi"] > 2
