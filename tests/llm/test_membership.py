@@ -52,9 +52,6 @@ def test_errors_are_measured(spark):
     assert none["keys"] == 0 and none["incoming_rate"] is None
 
 
-PAGES = "page_id long, source string, raw string, node_path string"
-
-
 def test_store_takes_batches_and_grows(spark):
     fps = lambda ids: spark.createDataFrame([(bytearray(fingerprint("s", str(i))), i) for i in ids], "fp binary, arrival long").repartition(3)
     store = membership.SeenStore(spark, 4000, 0.001)
