@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.functions.paths import parse_path, read_path
 from sedimenta.functions.values import column_name, json_type, loads_strict
-from sedimenta.session import free_name, spread
+from sedimenta.session import free_name, size_checked, spread, staged
 
 _PLAIN = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
 
@@ -21,6 +21,12 @@ def _step(key: str) -> str:
     return "." + key if _PLAIN.fullmatch(key) else f'["{key}"]'
 
 
+def _label(above: str, key: str) -> str:
+    """The label of a key below ``above``: plain keys joined by dots, others quoted, so that no two
+    paths share a label."""
+    return (above + _step(key)).removeprefix(".")
+
+
 def records_of(body: object, path: str | None) -> list | None:
     """The record list of a page body; None if there is none. A null path takes a list body as the
     list and an object body as the only record."""
@@ -45,8 +51,8 @@ def adjacency(record: object, scalars: bool | frozenset[str]) -> Iterator[tuple]
     Listed nodes (the record, and each object that is an array element at any depth) have kind
     ``object`` or, for a record of another type, its JSON type; ``entity`` is the node path with
     ``[]`` for each position. With ``scalars`` each scalar below a listed node follows, with that
-    node as parent and the keys between as label; elements that are no objects have the label
-    ``key[]``. A set of labels as ``scalars`` gives only those."""
+    node as parent and the keys between as label (``a.b``, and ``a["b.c"]`` where a key is not plain);
+    elements that are no objects have the label ``key[]``. A set of labels as ``scalars`` gives only those."""
     every = scalars is True
     some = scalars or frozenset()
     yield "$", "", "$", None, None, json_type(record), _scalar_text(record), ""
@@ -58,7 +64,7 @@ def adjacency(record: object, scalars: bool | frozenset[str]) -> Iterator[tuple]
             for key, child in reversed(value.items()):
                 kind = type(child)
                 step = _step(key)
-                name = f"{label}.{key}" if label else key
+                name = _label(label, key)
                 if kind is dict or kind is list:
                     stack.append((child, path + step, entity + step, owner, name, above))
                 elif every or (some and name in some):
@@ -131,9 +137,11 @@ def latest_paths(probes: DataFrame, source: str = "source", at: str = "probed_at
 
 def page_nodes(pages: DataFrame, probes: DataFrame, scalars: bool | frozenset[str] = True) -> DataFrame:
     """``shred`` of each page at its source's latest good records path; pages of a source without a
-    good probe, or with a null source, give no rows."""
-    paths = latest_paths(probes).withColumnRenamed("records_path", "__path")
-    joined = spread(pages.select("page_id", "source", "raw")).join(paths, "source")
+    good probe, or with a null source, give no rows. The paths, one row a source, are broadcast while
+    they measure little enough; beyond that pages shuffle by source, large sources split by AQE."""
+    paths = staged(latest_paths(probes).withColumnRenamed("records_path", "__path"), "records-paths")
+    small, _ = size_checked(paths, F.length("source") + F.coalesce(F.length("__path"), F.lit(0)) + 40)
+    joined = spread(pages.select("page_id", "source", "raw")).join(F.broadcast(paths) if small else paths, "source")
     return shred(joined, "page_id", "raw", "__path", scalars)
 
 
@@ -146,7 +154,7 @@ def entity_table(nodes: DataFrame, key: str, entity: str, fields: dict[str, str]
     """The relational table of one entity (such as ``$.items[]``): a row for each listed node with
     its keys (page, record_no, node_path, parent_path, ordinal) and ``fields`` (label -> type) pivoted
     from its scalar children by one join of nodes with scalars; what does not cast is null, as is a
-    missing label. Child and parent tables join on (page, record_no, parent_path = node_path)."""
+    missing label. Labels are those of ``adjacency``. Child and parent tables join on (page, record_no, parent_path = node_path)."""
     objects = listed(nodes).filter(F.col("entity") == entity).select(key, "record_no", "node_path", "parent_path", "ordinal")
     if not fields:
         return objects
@@ -179,7 +187,7 @@ def whole_entity(nodes: DataFrame, key: str, entities: list[str], fields: dict[s
         F.min("label").alias("label"), kinds.alias("kinds"), F.bool_and(exact).alias("fits"),
         F.bool_and(F.when(F.col("kind") == "integer", F.coalesce(F.abs(whole) <= 2**53, F.lit(False)))).alias("exact"),
     ).collect()
-    typed: dict[str, tuple[str, str]] = {"".join(_step(k) for k in n.split(".")): (n, t) for n, t in (fields or {}).items()}
+    typed: dict[str, tuple[str, str]] = {(n if n.startswith("[") else "." + n): (n, t) for n, t in (fields or {}).items()}
     declared = list(typed)
     for r in found:
         held = set(r["kinds"])

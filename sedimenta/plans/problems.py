@@ -164,7 +164,15 @@ SELECT n.source, n.load_no, path, any_value(l.records) AS records, count(DISTINC
  min(length(text)) FILTER (kind = 'string')::INTEGER AS min_length, max(length(text)) FILTER (kind = 'string')::INTEGER AS max_length, min({moment}) AS min_time, max({moment}) AS max_time,
  count(*) FILTER (kind = 'boolean' AND text = 'true') AS n_true, count(*) FILTER (kind = 'boolean') AS n_flag, any_value(l.records) - count(DISTINCT record_no) AS missing, count(*) FILTER (kind = 'null') AS nulls, count(DISTINCT kind) FILTER (kind <> 'null') AS mixed_types
 FROM nodes n JOIN loads l USING (source, load_no) GROUP BY ALL"""
+    p3 = r"""WITH probe AS (SELECT source, records_path AS path FROM probe_results WHERE status_code = 200 QUALIFY row_number() OVER (PARTITION BY source ORDER BY probed_at DESC, records_path DESC NULLS LAST) = 1),
+bodies AS (SELECT g.page_id, p.path, CASE WHEN json_valid(g.raw) THEN g.raw::JSON END AS body FROM parsed_pages g JOIN probe p ON p.source = g.source),
+found AS (SELECT page_id, CASE WHEN path IS NULL THEN CASE json_type(body) WHEN 'ARRAY' THEN body WHEN 'OBJECT' THEN json_array(body) END ELSE json_extract(body, '$.' || regexp_replace(path, '\["([^"]*)"\]', '."\1"', 'g')) END AS list FROM bodies),
+records AS (SELECT page_id, unnest(list::JSON[]) AS rec, generate_subscripts(list::JSON[], 1) - 1 AS record_no FROM found WHERE json_type(list) = 'ARRAY'),
+nodes AS (SELECT page_id, record_no, '$' AS node FROM records UNION ALL SELECT r.page_id, r.record_no, t.fullkey FROM records r, json_tree(r.rec) t WHERE t.type = 'OBJECT' AND t.fullkey LIKE '%]'),
+up AS (SELECT a.page_id, a.record_no, a.node, coalesce(arg_max(b.node, length(b.node)), '') AS above FROM nodes a LEFT JOIN nodes b ON b.page_id = a.page_id AND b.record_no = a.record_no AND length(b.node) < length(a.node) AND (starts_with(a.node, b.node || '.') OR starts_with(a.node, b.node || '[')) GROUP BY ALL)
+SELECT page_id, record_no::INTEGER AS record_no, regexp_replace(regexp_replace(node, '\."([^"]*)"', '["\1"]', 'g'), '\["([A-Za-z_][A-Za-z0-9_]*)"\]', '.\1', 'g') AS node_path, regexp_replace(regexp_replace(above, '\."([^"]*)"', '["\1"]', 'g'), '\["([A-Za-z_][A-Za-z0-9_]*)"\]', '.\1', 'g') AS parent_path FROM up"""
     return {
+        "p3_found": p3,
         "p5_found": p5,
         "p5_profile": profile_sql,
         "p1_found": p1,

@@ -105,6 +105,9 @@ def test_collapse_sorted_runs(spark):
     assert sorted((r["n"], r["again"]) for r in collapse_sorted_runs(df, "k", "n", "again").collect()) == [(1, False), (2, False), (3, True), (4, False), (5, True)]
 
 
+PAGES = "page_id long, source string, raw string, node_path string"
+
+
 def test_shredding(spark):
     body = {"d": {"list": [{"a": [{"b": 1}, 5, {"c d": [[{"z": None}], {}]}], "o": {"in": [{"k": "v"}]}}, 7, [{"q": 1}]]}}
     pages = spark.createDataFrame([(1, "p", json.dumps(body), ""), (2, "p", json.dumps({"d": {}}), ""), (3, "p", None, ""), (4, "p", "  ", ""), (5, "p", '{"d": [1', ""), (6, "n", '[{"x": 1}]', ""), (7, "n", '{"x": 1}', ""), (8, "n", "3", ""), (9, "q", "[]", ""), (10, None, "[]", ""), (11, "n", "[NaN]", "")], PAGES)
@@ -130,6 +133,15 @@ def test_entities(spark, records):
     assert shape == {"$": 2, "$.lines[]": 2}
 
 
+def test_labels_tell_keys_with_dots_apart(spark, records):
+    nodes = shred.shred(records([{"a": {"b": 1}, "a.b": 2, "9": 3, "x": [{"p": {"q": "in"}, "p.q": "out"}]}]), "ordinal", "raw").cache()  # the key clashes: _ordinal
+    r = shred.entity_table(nodes, "_ordinal", "$", {"a.b": "int"}).first()
+    assert r["a_b"] == 1
+    whole = shred.whole_entity(nodes, "_ordinal", ["$"], {"a.b": "int"}).first().asDict()
+    assert whole["a_b"] == 1 and 2 in whole.values() and 3 in whole.values()  # columns by path
+    assert set(r["label"] for r in nodes.filter("label is not null").collect()) >= {"a.b", '["a.b"]', '["9"]', "p.q", '["p.q"]'}
+
+
 def test_redelivered(spark):
     df = deliveries(spark, [
         ("a", "1", {"id": "x"}), ("a", "1", {"id": "x"}), ("b", "1", {"id": "x"}), ("a", "2", {"id": 5}), ("a", "2", {"id": "5"}), ("a", "2", {"id": None}), ("a", "2", {}), ("a", "2", {"id": " \xa0"}), ("a", "2", {"id": " \xa0"}),
