@@ -68,12 +68,14 @@ def clean_source(column: str):
     return F.lower(F.trim(F.col(column)))
 
 
-def plan_mixes(sized: DataFrame, targets: DataFrame) -> list[Part]:
+def plan_mixes(sized: DataFrame, targets: DataFrame, evenness: float | None = None) -> list[Part]:
     """The fitted parts of all mixes. ``sized`` has source and tokens of each document; the driver
     gets one row a named source, never more rows than ``targets`` has.
 
     Targets of one source in a mix add up, the smallest limit holds; a null share or limit: no
-    share is wanted, and no document is used twice. A null size factor counts as 1."""
+    share is wanted, and no document is used twice. A null size factor counts as 1. With ``evenness``
+    the shares of each mix are tempered until their entropy is that part of the entropy of equal
+    shares, where an exponent gives it."""
     wanted = (
         targets.withColumn("source", clean_source("source")).filter("mix is not null and source is not null")
         .groupBy("mix", "source")
@@ -87,7 +89,8 @@ def plan_mixes(sized: DataFrame, targets: DataFrame) -> list[Part]:
     for mix in sorted({r["mix"] for r in rows}):
         own = [r for r in rows if r["mix"] == mix]
         mine = [Part(mix, r["source"], max(r["target"], 0.0), r["limit"], held.get(r["source"], 0)) for r in sorted(own, key=lambda r: r["source"])]
-        fit_mix(mine, max(r["factor"] for r in own) * total)
+        live = sum(p.target > 0 and p.tokens > 0 and p.limit > 0 for p in mine)
+        fit_mix(mine, max(r["factor"] for r in own) * total, evenness * math.log(live) if evenness is not None and live else None)
         parts += mine
     return parts
 
@@ -125,11 +128,9 @@ def _cuts(docs: DataFrame) -> DataFrame:
     return low.join(inner, keys, "left").select(*keys, F.coalesce("cut", "low").alias("cut"), F.when(F.col("cut").isNull(), F.col("low_doc") - 1).otherwise(F.col("cut_doc")).alias("cut_doc"))
 
 
-def mix_documents(sized: DataFrame, parts: list[Part], seed: int = SEED) -> DataFrame:
-    """(mix, source, doc_id, tokens, copies) of each used document: all documents of a source as
-    often as its budget holds them whole, and one copy more along a seeded permutation until the
-    budget is spent (to within half a document). ``sized``: doc_id, source, tokens; documents of
-    null source or without tokens are never used."""
+def _used(sized: DataFrame, parts: list[Part], seed: int) -> DataFrame:
+    """The documents each mix uses with their copies, their place ``h`` in the permutation of the
+    last, partial pass, and the ``whole`` passes and ``cut`` of their source."""
     spark = sized.sparkSession
     plan = [(p.mix, p.source, *_passes(p)) for p in parts if p.budget > 0]
     table = spark.createDataFrame(plan, _PLAN)
@@ -138,8 +139,29 @@ def mix_documents(sized: DataFrame, parts: list[Part], seed: int = SEED) -> Data
     cut = _cuts(docs.select("mix", "source", "rest", "doc_id", "tokens", "h"))
     docs = docs.join(F.broadcast(cut), ["mix", "source"], "left")  # as many rows as the plan
     more = F.coalesce((F.col("h") < F.col("cut")) | ((F.col("h") == F.col("cut")) & (F.col("doc_id") <= F.col("cut_doc"))), F.lit(False))
-    copies = (F.col("whole") + more.cast("int")).alias("copies")
-    return docs.select("mix", "source", "doc_id", "tokens", copies).filter("copies > 0")
+    return docs.withColumn("copies", F.col("whole") + more.cast("int")).filter("copies > 0")
+
+
+def mix_documents(sized: DataFrame, parts: list[Part], seed: int = SEED) -> DataFrame:
+    """(mix, source, doc_id, tokens, copies) of each used document: all documents of a source as
+    often as its budget holds them whole, and one copy more along a seeded permutation until the
+    budget is spent (to within half a document). ``sized``: doc_id, source, tokens; documents of
+    null source or without tokens are never used."""
+    return _used(sized, parts, seed).select("mix", "source", "doc_id", "tokens", "copies")
+
+
+def mix_schedule(sized: DataFrame, parts: list[Part], seed: int = SEED) -> DataFrame:
+    """(mix, source, doc_id, tokens, pass_no, position) of each use of a document, of which
+    ``mix_documents`` has the number. Passes of a source are counted from 0; each has a seeded
+    permutation of its own, the last one that of the budget. ``position``, in [0, 1], spreads the
+    passes of every source evenly over the mix: read in its order (documents of equal position by
+    source and id), each stretch of the mix has the shares of the whole, whatever length. Nothing is
+    sorted or shuffled for it."""
+    span = float(1 << 62)
+    used = _used(sized, parts, seed).withColumn("pass_no", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    place = F.when(F.col("pass_no") == F.col("whole"), F.col("h")).otherwise(F.shiftrightunsigned(F.xxhash64("mix", "doc_id", F.lit(seed), "pass_no"), 2)) / F.lit(span)
+    passes = F.col("whole") + F.coalesce(F.col("cut") / F.lit(span), F.lit(0.0))
+    return used.select("mix", "source", "doc_id", "tokens", "pass_no", F.least((F.col("pass_no") + place) / F.greatest(passes, F.lit(1e-18)), F.lit(1.0)).alias("position"))
 
 
 def _passes(p: Part) -> tuple[int, float]:

@@ -49,8 +49,20 @@ def _sized(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Each use of a document with its pass and its position in the mix."""
     sized = _sized(spark, d)
-    return mixing.mix_documents(sized, mixing.plan_mixes(sized, table(spark, d, "mix_targets")))
+    return mixing.mix_schedule(sized, mixing.plan_mixes(sized, table(spark, d, "mix_targets")))
+
+
+#: Part of the entropy of equal shares that p7_even tempers the mixes to.
+EVENNESS = 0.9
+
+
+def p7_even(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached where every mix is tempered to a target entropy."""
+    sized = _sized(spark, d)
+    parts = mixing.plan_mixes(sized, table(spark, d, "mix_targets"), evenness=EVENNESS)
+    return mixing.mix_report(mixing.mix_documents(sized, parts), parts)
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
@@ -72,7 +84,7 @@ def p8_clean(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_errors, p6_ids, p7_mix, p7_shares, p8_found, p8_kinds, p8_clean)}
+    return {f.__name__: f for f in (p2_found, p2_errors, p6_ids, p7_mix, p7_shares, p7_even, p8_found, p8_kinds, p8_clean)}
 
 
 _BLANK = r"regexp_full_match(id, '[\s\x{1c}-\x{1f}\x{85}\p{Z}\v]*')"

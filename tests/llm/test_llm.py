@@ -105,6 +105,34 @@ def test_mix(spark):
     assert sorted(used.items()) == sorted(((r["mix"], r["source"], r["doc_id"]), r["copies"]) for r in mixing.mix_documents(sized.repartition(7), parts).collect())
 
 
+def test_schedule(spark):
+    rng = random.Random(6)
+    docs = [(i, "big" if i % 3 else "small", rng.randint(1, 9)) for i in range(6000)]
+    sized = spark.createDataFrame(docs, "doc_id long, source string, tokens long")
+    parts = [Part("m", "big", 0.5, 1, sum(t for _, s, t in docs if s == "big")), Part("m", "small", 0.5, 3, sum(t for _, s, t in docs if s == "small"))]
+    fit_mix(parts, 25_000)
+    uses = mixing.mix_schedule(sized, parts).collect()
+    copies = {(r["source"], r["doc_id"]): r["copies"] for r in mixing.mix_documents(sized, parts).collect()}
+    passes = {}
+    for r in uses:
+        passes.setdefault((r["source"], r["doc_id"]), []).append(r["pass_no"])
+        assert 0 <= r["position"] <= 1
+    assert {k: len(v) for k, v in passes.items()} == copies and all(sorted(v) == list(range(len(v))) for v in passes.values())
+    uses.sort(key=lambda r: (r["position"], r["source"], r["doc_id"]))
+    for i in range(0, len(uses) - 1000, 1000):  # each stretch has the shares of the whole
+        piece = uses[i : i + 1000]
+        assert abs(sum(r["tokens"] for r in piece if r["source"] == "small") / sum(r["tokens"] for r in piece) - 0.5) < 0.06
+    first, second = ({r["doc_id"]: r["position"] for r in uses if r["source"] == "small" and r["pass_no"] == n} for n in (0, 1))
+    assert sorted(first, key=first.get)[:20] != sorted(second, key=second.get)[:20]
+
+
+def test_evenness(spark):
+    sized = spark.createDataFrame([(i, s, 10) for i, s in enumerate("a" * 100 + "b" * 100)], "doc_id long, source string, tokens long")
+    targets = spark.createDataFrame([("m", "a", 0.99, 9, 0.5), ("m", "b", 0.01, 9, 0.5)], "mix string, source string, target_share double, max_repeats int, size_factor double")
+    shares = [p.share for p in mixing.plan_mixes(sized, targets, evenness=0.9)]
+    assert -sum(s * __import__("math").log(s) for s in shares) == pytest.approx(0.9 * __import__("math").log(2), abs=1e-6)
+
+
 def test_mix_of_nothing(spark):
     sized = spark.createDataFrame([], "doc_id long, source string, tokens long")
     targets = spark.createDataFrame([("m", "a", 1.0, 1, 1.0)], "mix string, source string, target_share double, max_repeats int, size_factor double")
