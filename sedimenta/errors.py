@@ -25,6 +25,10 @@ class MissingDateFieldError(ValueError):
     """A dated window without a date field, or a record without a valid date."""
 
 
+class MissingStateStoreError(ValueError):
+    """An increment that nobody keeps the checkpoint of."""
+
+
 class PaginationLimitError(RuntimeError):
     """More pages than allowed."""
 

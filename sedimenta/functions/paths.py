@@ -132,8 +132,16 @@ def compile_path(root: Column, dtype: T.DataType, steps: tuple[Step, ...]) -> Co
 def json_path(col: Column, steps: tuple[Step, ...]) -> Column:
     """Text at ``steps`` of a JSON text column: scalars as text, containers as JSON, missing and
     JSON null as null."""
-    text = "$" + "".join(f"[{s}]" if isinstance(s, int) else f"['{s}']" for s in steps)
-    return F.get_json_object(col, text)
+    text = "$"
+    for step in steps:
+        if isinstance(step, int):
+            text += f"[{step}]"
+        elif "'" in step:  # which Spark's JSON paths cannot hold
+            held = col if text == "$" else F.get_json_object(col, text)
+            col, text = F.try_element_at(F.from_json(held, "map<string,string>"), F.lit(step)), "$"
+        else:
+            text += f"['{step}']"
+    return col if text == "$" and steps else F.get_json_object(col, text)
 
 
 def project(df, fields: list[tuple[tuple[Step, ...], str]]):

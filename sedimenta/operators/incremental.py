@@ -8,7 +8,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedimenta.errors import MissingDateFieldError
+from sedimenta.errors import MissingDateFieldError, MissingStateStoreError
 from sedimenta.functions.paths import json_path
 from sedimenta.functions.values import parse_date
 
@@ -52,6 +52,8 @@ class IncrementalStrategy:
 
     def resolve_window(self, end: date | str = "today") -> IncrementalWindow:
         last = date.today() if end == "today" else as_date(end)
+        if self.store is None:
+            raise MissingStateStoreError(f"the increment of {self.key!r} has no state store: give one, or a destination")
         seen = self.store.get(self.key)
         if seen is None:
             start = self.initial_start
@@ -100,3 +102,30 @@ def filter_window(df: DataFrame, day: Column, window: IncrementalWindow, strict:
 def date_progress(df: DataFrame, day: Column) -> DataFrame:
     """One row: the largest date and the records without a valid one."""
     return df.agg(F.max(day).alias("max_data_date"), F.count_if(day.isNull()).alias("invalid_dates"))
+
+
+#: Words that switch increments off.
+NO_INCREMENT = ("none", "off", "false", "no", "")
+_INTENT = {"field", "date_field", "mode", "start", "initial_start", "key", "state"}
+
+
+def incremental_intent(wanted, name: str, date_field=None, state=None) -> tuple[IncrementalStrategy | None, object]:
+    """(strategy or None, date field) of the short forms of an incremental wish.
+
+    None, False and words such as "off": none. True: by data date (``date_field`` is needed). A mode
+    name: that mode; any other text is the date field of a data_date increment. A mapping takes
+    field, mode, start, key and state. A strategy is taken as it is. Without a state store the
+    strategy waits for one (``store`` None): the destination the flow ends in gives it."""
+    if wanted is None or wanted is False or (isinstance(wanted, str) and wanted.strip().lower() in NO_INCREMENT):
+        return None, date_field
+    if isinstance(wanted, IncrementalStrategy):
+        return wanted, date_field
+    if wanted is True:
+        wanted = {"mode": "data_date"}
+    elif isinstance(wanted, str):
+        wanted = {"mode": wanted} if wanted in ("data_date", "ingestion_date") else {"field": wanted}
+    if not isinstance(wanted, dict) or set(wanted) - _INTENT:
+        raise TypeError(f"incremental takes a strategy, a text, a bool or a mapping of {', '.join(sorted(_INTENT))}")
+    field = wanted.get("field") or wanted.get("date_field") or date_field
+    strategy = IncrementalStrategy(wanted.get("state") or state, wanted.get("key") or name, wanted.get("mode") or "data_date", wanted.get("start") or wanted.get("initial_start"))
+    return strategy, field

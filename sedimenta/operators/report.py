@@ -42,8 +42,9 @@ def resolve_metrics(metrics: tuple[str, ...] | list[str]) -> tuple[str, ...]:
     return tuple(sorted(wanted or METRICS))
 
 
-def sample_prefix(df: DataFrame, order: str, scope: str = "full", limit: int | None = None) -> DataFrame:
-    """All records, or for ``sample`` the first ``limit`` by ``order``."""
+def sample_prefix(df: DataFrame, order: str | None, scope: str = "full", limit: int | None = None) -> DataFrame:
+    """All records, or for ``sample`` the first ``limit`` by ``order``, without one in the order of the
+    input."""
     if scope not in ("full", "sample"):
         raise ValueError("scope is full or sample")
     if scope == "full":
@@ -53,7 +54,7 @@ def sample_prefix(df: DataFrame, order: str, scope: str = "full", limit: int | N
     n = DEFAULT_SAMPLE if limit is None else limit
     if isinstance(n, bool) or not isinstance(n, int) or n < 1:
         raise ValueError("limit is a positive integer")
-    return df.orderBy(order).limit(n)
+    return df.orderBy(order).limit(n) if order else df.limit(n)
 
 
 def adaptive_cardinality(df: DataFrame, columns: list[str], limit: int = EXACT_LIMIT) -> DataFrame:
@@ -76,6 +77,16 @@ def adaptive_cardinality(df: DataFrame, columns: list[str], limit: int = EXACT_L
     return df.sparkSession.createDataFrame(out, "column_name string, distinct_values long, precision string")
 
 
+def adaptive_distinct(freq: DataFrame, keys: list[str], limit: int = EXACT_LIMIT) -> DataFrame:
+    """(keys..., path, distinct_values, precision) of JSON values in a frequency table: the count where
+    it is at most ``limit``, else the estimate of a HyperLogLog sketch (of 4096 registers, as wide an
+    error as ``SKETCH_ERROR``), which reports of several tables can be merged by."""
+    per = freq.filter(F.col("path").isNotNull() & F.col("value").isNotNull()).groupBy(*keys, "path")
+    per = per.agg(F.count("*").alias("held"), F.hll_sketch_estimate(F.hll_sketch_agg("value", 12)).alias("estimate"))
+    exact = F.col("held") <= limit
+    return per.select(*keys, "path", F.when(exact, F.col("held")).otherwise(F.col("estimate")).alias("distinct_values"), F.when(exact, F.lit("exact")).otherwise(F.lit("approximate")).alias("precision"))
+
+
 def typed_profile(df: DataFrame) -> DataFrame:
     """One row a top-level column: path, records_present, occurrences, missing, nulls, empty_strings,
     blank_strings, empty_arrays, empty_objects, json_type. One aggregate over one scan; nothing is
@@ -163,13 +174,17 @@ def profile_records(df: DataFrame, *metrics: str, source: str = "records", raw:
     only what they need is computed. ``fields`` keeps exact paths, unseen ones reported as missing
     everywhere. Nulls, repeated rows and empty tables are counted as such; broken JSON counts as a record without fields."""
     wanted = resolve_metrics(metrics)
-    rows = sample_prefix(df, order or raw, scope, limit)
+    rows = sample_prefix(df, order, scope, limit)
     report = ProfileReport(source, wanted)
     counting = "cardinality" in wanted
+    if scope == "sample":  # one choice of rows for every pass
+        rows = staged(rows, "sample")
     # one constant key stands for the whole table
     freq = staged(path_value_counts(rows.select(F.lit("all").alias("scope"), F.col(f"`{raw}`")), ["scope"], raw, values=None if counting else lambda p: False), "profile")
     report.records = freq.filter("path is null").agg(F.coalesce(F.sum("present"), F.lit(0))).first()[0]
     per_path = field_report(freq, ["scope"]) if report.records else None
+    if per_path is not None and counting:
+        per_path = per_path.drop("distinct_values").join(adaptive_distinct(freq, ["scope"]).drop("scope"), "path", "left")
     found = {r["path"]: r.asDict() for r in (per_path.filter(F.col("path").isin(fields)) if fields else per_path).orderBy("path").collect()} if per_path is not None else {}
     for path in sorted(set(fields or ()) | set(found)):
         r = found.get(path)
@@ -184,7 +199,7 @@ def profile_records(df: DataFrame, *metrics: str, source: str = "records", raw:
             "empty": sum(blank.values()) if "empty" in wanted else None,
             "types": types if {"types", "schema"} & set(wanted) else None,
             "cardinality": at("distinct_values") if counting else None,
-            "precision": "exact" if counting else None,
+            "precision": (r["precision"] if r else "exact") if counting else None,
         })
         if "types" in wanted and len(set(types) - {"null"}) > 1:
             report.warnings.append(f"{path} holds mixed types: {', '.join(t for t in types if t != 'null')}")

@@ -1,4 +1,4 @@
-"""Command line: run FILE, profile FILE [METRIC...], capabilities."""
+"""Command line: run FILE, profile FILE [METRIC...], list FOLDER, schedule FILE (--cron LINE | --every SECONDS), adapters, capabilities."""
 
 from __future__ import annotations
 
@@ -7,8 +7,9 @@ import json
 import sys
 
 from sedimenta.errors import PipelineConfigError
-from sedimenta.plans.config import EnvSecrets, build_connector, build_pipeline, load_config
-from sedimenta.plans.pipeline import capabilities
+from sedimenta.plans.config import EnvSecrets, build_connector, build_pipeline, list_configs, load_config, run_config
+from sedimenta.plans.pipeline import capabilities, run_scheduled
+from sedimenta.plans.schedule import CronTrigger, IntervalTrigger, Scheduler
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -23,17 +24,38 @@ def main(argv: list[str] | None = None) -> int:
     profile.add_argument("--limit", type=int)
     profile.add_argument("--html", action="store_true")
     commands.add_parser("capabilities", help="what this engine offers")
+    commands.add_parser("adapters", help="destinations, state stores and run logs by name")
+    listing = commands.add_parser("list", help="the pipeline files of a folder")
+    listing.add_argument("folder")
+    plan = commands.add_parser("schedule", help="run a pipeline file again and again")
+    plan.add_argument("file")
+    plan.add_argument("--cron", help="minute hour day month weekday")
+    plan.add_argument("--every", type=float, help="seconds")
+    plan.add_argument("--times", type=int)
     args = parser.parse_args(argv)
     if args.command == "capabilities":
         print(json.dumps(capabilities(), indent=2))
         return 0
+    if args.command == "adapters":
+        known = capabilities()
+        print(json.dumps({k: known[k] for k in ("destinations", "state_stores", "run_logs")}, indent=2))
+        return 0
+    if args.command == "list":
+        print(json.dumps(list_configs(args.folder), indent=2))
+        return 0
     try:
         config = load_config(args.file)
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName("sedimenta").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+        if args.command == "schedule":
+            if bool(args.cron) == bool(args.every):
+                raise PipelineConfigError("a schedule has either --cron or --every")
+            trigger = CronTrigger(args.cron) if args.cron else IntervalTrigger(args.every)
+            Scheduler(lambda: run_scheduled(build_pipeline(config), spark), trigger).run(args.times)
+            return 0
         if args.command == "run":
-            result = build_pipeline(config).run(spark, args.end)
+            result, _ = run_config(config, spark, args.end)
             for s in result.steps:
                 print(f"{s.name}: {s.status}, {s.rows_loaded} rows" + (f", {s.error}" if s.error else ""))
             return 0 if result.success else 1

@@ -17,9 +17,10 @@ from sedimenta.functions.types import EndpointSchema, validate_identifier
 from sedimenta.operators import bronze
 from sedimenta.operators.bronze import LoadContext
 from sedimenta.sinks.delta import DeltaDestination
+from sedimenta.sinks.base import Destination, RunLog
 from sedimenta.sinks.parquet import LoadResult, ParquetDestination
-from sedimenta.sinks.state import JsonlRunLog, RunLogEntry
-from sedimenta.sources.rest import RestConnector
+from sedimenta.sinks.state import RUN_LOGS, STATE_STORES, RunLogEntry, state_store
+from sedimenta.sources.base import Source
 
 DESTINATIONS = {"parquet": ParquetDestination, "delta": DeltaDestination}
 
@@ -59,7 +60,7 @@ class PipelineResult:
         return all(s.status == "success" for s in self.steps)
 
 
-def checkpoint_identity(connector: RestConnector, window) -> str:
+def checkpoint_identity(connector: Source, window) -> str:
     """The retry identity: source configuration (secret names only) and the checkpoint before."""
     config = hashlib.sha256(json.dumps(connector.explain(), sort_keys=True, default=str).encode()).hexdigest()
     before = asdict(window.watermark_before) if window.watermark_before else None
@@ -73,7 +74,7 @@ class Pipeline:
     moves, so a crash between both repeats the window under the same ingestion key, which replaces
     its own rows. A failing audit does not fail the run."""
 
-    def __init__(self, steps: list[tuple[RestConnector, EndpointSchema | None, str]], sink, run_log: JsonlRunLog | None = None, sample: int = 100):
+    def __init__(self, steps: list[tuple[Source, EndpointSchema | None, str]], sink: Destination, run_log: RunLog | None = None, sample: int = 100):
         if not steps:
             raise ValueError("a pipeline needs a step")
         self.steps, self.sink, self.run_log, self.sample = steps, sink, run_log, sample
@@ -81,11 +82,13 @@ class Pipeline:
     def run(self, spark: SparkSession, end: date | str = "today") -> PipelineResult:
         return PipelineResult([self._step(spark, *s, end) for s in self.steps])
 
-    def _step(self, spark, connector: RestConnector, schema: EndpointSchema | None, target: str, end) -> StepResult:
+    def _step(self, spark, connector: Source, schema: EndpointSchema | None, target: str, end) -> StepResult:
         began = datetime.now(timezone.utc)
         out = StepResult(connector.name, "error", run_id=uuid.uuid4().hex)
         window = after = None
         try:
+            if connector.incremental.store is None and connector.incremental.key != "none":
+                connector.incremental.store = state_store("auto", spark, self.sink)  # the checkpoint lies beside the data
             session = connector.session(spark, end)
             window = session.window
             context = LoadContext.for_window(connector.name, window.start, window.end, checkpoint_identity(connector, window), out.run_id)
@@ -121,7 +124,7 @@ class Pipeline:
 class Flow:
     """``connector.to(sink, "schema.table").models({...}).run(spark)``."""
 
-    def __init__(self, connector: RestConnector, sink, target: str, schema: EndpointSchema | None = None, run_log: JsonlRunLog | None = None, sample: int = 100):
+    def __init__(self, connector: Source, sink, target: str, schema: EndpointSchema | None = None, run_log: RunLog | None = None, sample: int = 100):
         for part in target.split("."):
             validate_identifier(part, "target")
         self.target, self._models = target, {}
@@ -169,4 +172,4 @@ def capabilities() -> dict:
     from sedimenta.sinks.parquet import DEFAULT_BATCH, MAX_BATCH, MIN_BATCH
     from sedimenta.sources.pagination import KINDS
 
-    return {"pagination": sorted(KINDS), "metrics": sorted(METRICS), "presets": sorted(PRESETS), "destinations": sorted(DESTINATIONS), "auth": ["api_key", "bearer", "none"], "batch": {"least": MIN_BATCH, "default": DEFAULT_BATCH, "most": MAX_BATCH}}
+    return {"pagination": sorted(KINDS), "metrics": sorted(METRICS), "presets": sorted(PRESETS), "destinations": sorted(DESTINATIONS), "state_stores": ["auto", *sorted(STATE_STORES)], "run_logs": ["auto", *sorted(RUN_LOGS)], "auth": ["api_key", "bearer", "none"], "batch": {"least": MIN_BATCH, "default": DEFAULT_BATCH, "most": MAX_BATCH}}

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from dataclasses import dataclass, field
-from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sedimenta.sinks.base import Destination
 
 #: Bounds and default of rows a file.
 MIN_BATCH, DEFAULT_BATCH, MAX_BATCH = 100, 5_000, 100_000
@@ -50,18 +53,45 @@ class Folder:
     def delete(self) -> None:
         self.fs.delete(self.path, True)
 
+    def make(self) -> None:
+        self.fs.mkdirs(self.path)
+
+    def write(self, text: str) -> None:
+        out = self.fs.create(self.path, True)
+        try:
+            out.write(bytearray(text.encode("utf-8")))
+        finally:
+            out.close()
+
+    def read(self) -> str:
+        source = self.fs.open(self.path)
+        try:
+            return bytes(self.jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode("utf-8")
+        finally:
+            source.close()
+
     def rename(self, to: Folder) -> None:
         if not self.fs.rename(self.path, to.path):
             raise OSError(f"cannot move {self.path} to {to.path}")
 
 
-class ParquetDestination:
+def extra_names(rows: DataFrame) -> list[str]:
+    """The sorted field names in ``_extra`` of landed rows; distinct names are all that shuffles."""
+    if "_extra" not in rows.columns:
+        return []
+    names = rows.filter("_extra is not null").select(F.explode(F.json_object_keys("_extra")).alias("n")).distinct()
+    return sorted(r["n"] for r in names.collect())
+
+
+class ParquetDestination(Destination):
     """Tables below ``root``, one folder each, partitioned by ``part`` = a token of the ingestion key.
 
     ``append`` replaces the partition of the load's own key and no other, so a retried window never
     doubles; a retry without rows removes the partition. ``overwrite`` writes beside the table and
-    swaps, so a failed write leaves the old table. A load is one job over the rows; its counts come
-    from an Observation of that job, not from another pass."""
+    swaps. Either moves what it replaces aside first and brings it back if the new rows cannot take
+    their place. The table's columns are kept in a file of their own, so a table without rows reads
+    as an empty one. Rows are counted by an Observation of the write; the names of extra fields are
+    read from what was written."""
 
     def __init__(self, root: str, mode: str = "append", max_records_per_file: int = 0):
         self.root, self.mode, self.per_file = root.rstrip("/"), write_mode(mode), max_records_per_file
@@ -69,18 +99,24 @@ class ParquetDestination:
     def path(self, table: str) -> str:
         return f"{self.root}/{table.replace('.', '/')}"
 
+    def _schema_file(self, table: str) -> str:
+        return f"{self.path(table)}/_landed_schema.json"
+
+    def schema(self, spark: SparkSession, table: str) -> T.StructType | None:
+        file = Folder(spark, self._schema_file(table))
+        return T.StructType.fromJson(json.loads(file.read())) if file.exists() else None
+
     def read(self, spark: SparkSession, table: str) -> DataFrame:
-        return spark.read.parquet(self.path(table)).drop("part")
+        schema = self.schema(spark, table)
+        reader = spark.read.schema(schema) if schema is not None else spark.read
+        return reader.parquet(self.path(table)).drop("part")
 
     def load(self, rows: DataFrame, table: str, ingestion_key: str) -> LoadResult:
         """``rows`` are landed rows of one ingestion key."""
-        from pyspark.sql import Observation
-
         spark = rows.sparkSession
         target = Folder(spark, self.path(table))
         seen = Observation(f"load-{uuid.uuid4().hex}")
-        names = F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.json_object_keys("_extra"))))) if "_extra" in rows.columns else F.array().cast("array<string>")
-        watched = rows.observe(seen, F.count(F.lit(1)).alias("rows"), names.alias("extra"))
+        watched = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
         part = hashlib.sha256(ingestion_key.encode()).hexdigest()[:24]
         staging = Folder(spark, f"{self.path(table)}__staging_{uuid.uuid4().hex}")
         writer = watched.withColumn("part", F.lit(part)).write.partitionBy("part").mode("overwrite")
@@ -88,36 +124,37 @@ class ParquetDestination:
             writer = writer.option("maxRecordsPerFile", self.per_file)
         try:
             writer.parquet(str(staging.path))
-            got: dict[str, Any] = seen.get
+            count: int = seen.get["rows"]
+            names = extra_names(spark.read.schema(rows.schema).parquet(str(staging.path))) if count else []
+            held = self.schema(spark, table) if self.mode == "append" else None
+            known = {f.name for f in held.fields} if held else set()
+            schema = T.StructType([*(held.fields if held else []), *(f for f in rows.schema.fields if f.name not in known)]).json()
             if self.mode == "overwrite":
+                Folder(spark, f"{staging.path}/_landed_schema.json").write(schema)
                 self._swap(spark, staging, target)
             else:
-                self._replace(spark, staging, target, part, got["rows"])
+                target.make()
+                Folder(spark, self._schema_file(table)).write(schema)
+                self._swap(spark, Folder(spark, f"{staging.path}/part={part}") if count else None, Folder(spark, f"{target.path}/part={part}"), f"{target.path}__backup_{uuid.uuid4().hex}")
         finally:
             staging.delete()
-        return LoadResult(table, got["rows"], list(got["extra"] or []))
-
-    def _replace(self, spark, staging: Folder, target: Folder, part: str, rows: int) -> None:
-        own = Folder(spark, f"{target.path}/part={part}")
-        if not target.exists():
-            staging.rename(target)
-            return
-        own.delete()
-        if rows:
-            Folder(spark, f"{staging.path}/part={part}").rename(own)
-
-    def _swap(self, spark, staging: Folder, target: Folder) -> None:
-        backup = Folder(spark, f"{target.path}__backup_{uuid.uuid4().hex}")
+        return LoadResult(table, count, names)
+
+    def _swap(self, spark: SparkSession, new: Folder | None, target: Folder, aside: str | None = None) -> None:
+        """``new`` (None: nothing) takes the place of ``target``, which comes back if that fails."""
+        backup = Folder(spark, aside or f"{target.path}__backup_{uuid.uuid4().hex}")
         had = target.exists()
         if had:
             target.rename(backup)
         try:
-            staging.rename(target)
+            if new is not None:
+                new.rename(target)
         except Exception:
             if had:
                 backup.rename(target)
             raise
-        backup.delete() if had else None
+        if had:
+            backup.delete()
 
 
-__all__ = ["DEFAULT_BATCH", "Folder", "LoadResult", "ParquetDestination", "batch_size", "write_mode"]
+__all__ = ["DEFAULT_BATCH", "Folder", "LoadResult", "ParquetDestination", "batch_size", "extra_names", "write_mode"]

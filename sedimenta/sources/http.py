@@ -177,6 +177,10 @@ class HttpClient:
             if url_origin(following) != url_origin(target):
                 raise UnsafeRedirectError(f"{safe_target(target)} redirects to another origin")
             target = following
+            if response.status == 303 or (method == "POST" and response.status in (301, 302)):
+                # the answer lies elsewhere: ask for it, without the body
+                method, body = "GET", None
+                sent.pop("Content-Type", None)
         else:
             raise UnsafeRedirectError(f"{safe_target(url)} redirects more than {MAX_REDIRECTS} times")
         if response.status >= 400:

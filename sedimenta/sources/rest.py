@@ -10,16 +10,19 @@ from typing import Any
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from sedimenta.errors import CrossOriginPaginationError, InvalidExtractionBatchSizeError, InvalidHttpMethodError, MissingDateFieldError, PaginationLimitError, PaginationLoopError
+from sedimenta.errors import CrossOriginPaginationError, DeduplicationError, InvalidExtractionBatchSizeError, InvalidHttpMethodError, MissingDateFieldError, PaginationLimitError, PaginationLoopError
 from sedimenta.functions.paths import json_path, parse_path, read_path, resolve_select
 from sedimenta.functions.values import parse_date
 from sedimenta.operators import dedup, incremental, report
-from sedimenta.operators.incremental import IncrementalStrategy, IncrementalWindow, NoIncrementalStrategy
+from sedimenta.operators.incremental import IncrementalStrategy, IncrementalWindow, NoIncrementalStrategy, incremental_intent
 from sedimenta.session import staged
+from sedimenta.sinks.state import StateStore
+from sedimenta.sources.base import Source
 from sedimenta.sources.http import HttpClient, resolve_auth, url_origin
 from sedimenta.sources.pagination import Page, Pagination, Request, resolve_pagination
 
@@ -29,6 +32,7 @@ OTHER_NAME = 10
 MAX_DEPTH = 4
 MAX_PAGES = 10_000
 BATCH = 25_000
+MAX_UNIQUE_KEYS = dedup.MAX_UNIQUE_KEYS
 
 
 def find_records_path(body: dict) -> str | None:
@@ -252,20 +256,34 @@ class ExtractionSession:
             self.state = "aborted"
 
 
-class RestConnector:
+@dataclass(frozen=True)
+class DateParams:
+    """The request parameters that carry the window to the source."""
+
+    start: str
+    end: str | None = None
+    format: str = "%Y-%m-%d"
+
+
+class RestConnector(Source):
     """A paged JSON endpoint as a source of records.
 
     ``select`` projects after filtering; ``primary_key`` with ``dedup=True`` keeps the first record of
     each key after the projection; ``date_field`` drives the client-side window (unless
     ``start_param`` sends it to the source) and the checkpoint."""
 
-    def __init__(self, url: str, name: str | None = None, *, method: str = "GET", params: dict | None = None, records=None, select=None, pagination=None, auth=None, secrets=None, client: HttpClient | None = None, incremental: IncrementalStrategy | None = None, date_field: str | Callable[[dict], Any] | None = None, start_param: str | None = None, end_param: str | None = None, date_format: str = "%Y-%m-%d", primary_key=None, dedup: bool = False, record_transform: Callable[[dict], dict] | None = None, max_pages: int = MAX_PAGES, allow_cross_origin: bool = False):
+    def __init__(self, url: str, name: str | None = None, *, method: str = "GET", params: dict | None = None, records=None, select=None, pagination=None, auth=None, secrets=None, client: HttpClient | None = None, incremental: IncrementalStrategy | str | bool | dict | None = None, date_field: str | Callable[[dict], Any] | None = None, start_param: str | None = None, end_param: str | None = None, date_format: str = "%Y-%m-%d", primary_key=None, dedup: bool = False, record_transform: Callable[[dict], dict] | None = None, max_pages: int = MAX_PAGES, allow_cross_origin: bool = False, date_params: DateParams | dict | str | None = None, state: StateStore | None = None, max_unique_keys: int = MAX_UNIQUE_KEYS):
+        if date_params is not None:
+            given = DateParams(date_params) if isinstance(date_params, str) else DateParams(**date_params) if isinstance(date_params, dict) else date_params
+            start_param, end_param, date_format = given.start, given.end, given.format
         client = client or HttpClient(resolve_auth(auth), secrets)
         self.endpoint = Endpoint(url, method, dict(params or {}), records, pagination, client, start_param, end_param, date_format, max_pages, allow_cross_origin)
         self.name = name or _default_name(url)
         self.select = resolve_select(select) if select else None
-        self.incremental = incremental or NoIncrementalStrategy()
-        self.date_field = date_field
+        strategy, self.date_field = incremental_intent(incremental, self.name, date_field, state)
+        self.incremental = strategy or NoIncrementalStrategy()
+        date_field = self.date_field
+        self.max_unique_keys = max_unique_keys
         if self.incremental.mode == "data_date" and not isinstance(self.incremental, NoIncrementalStrategy) and not date_field:
             raise MissingDateFieldError("a data_date checkpoint needs date_field")
         self.primary_key = _keys(primary_key)
@@ -298,7 +316,10 @@ class RestConnector:
                 rows = incremental.filter_window(rows, day, session.window)
             seen = incremental.date_progress(rows, day).first()
             session.max_data_date, session.invalid_dates = seen["max_data_date"], seen["invalid_dates"]
-        return staged(self.shape(rows), "records")
+        records = staged(self.shape(rows), "records")
+        if self.dedup_enabled and (kept := records.count()) > self.max_unique_keys:
+            raise DeduplicationError(f"{kept} distinct keys exceed the limit of {self.max_unique_keys}")
+        return records
 
     def _date_text(self):
         """Text at the dotted date field, or what a callable makes of each record."""
@@ -319,8 +340,6 @@ class RestConnector:
         if fields or transform:
 
             def change(batches):
-                import pyarrow as pa
-
                 for batch in batches:
                     out = []
                     for text in batch.column(1).to_pylist():
@@ -332,13 +351,35 @@ class RestConnector:
             rows = rows.mapInArrow(change, "ordinal long, raw string")
         if not self.dedup_enabled:
             return rows
-        keyed = rows.withColumns({f"k{i}": json_path(F.col("raw"), parse_path(k)) for i, k in enumerate(self.primary_key)})
-        # a container is no key: its text must not pass for one
-        for i, _ in enumerate(self.primary_key):
-            keyed = keyed.withColumn(f"k{i}", F.when(~F.coalesce(F.col(f"k{i}").rlike(r"^\s*[\[{]"), F.lit(False)), F.col(f"k{i}")))
+        paths = [parse_path(k) for k in self.primary_key]
+
+        @F.arrow_udf("boolean")
+        def container(raw: pa.Array) -> pa.Array:
+            found = (None if r is None else any(type(read_path(json.loads(r), p)) in (dict, list) for p in paths) for r in raw.to_pylist())
+            return pa.array(list(found), pa.bool_())
+
+        keyed = rows.withColumns({f"k{i}": json_path(F.col("raw"), p) for i, p in enumerate(paths)})
+        # a container is no key; a text may look like one, so such records are looked at
+        like = F.coalesce(F.greatest(*[F.col(f"k{i}").rlike(r"^\s*[\[{]") for i in range(len(paths))], F.lit(False)), F.lit(False))
+        bad = F.coalesce(container(F.when(like, F.col("raw"))), F.lit(False))
+        keyed = keyed.withColumn("bad", bad).withColumns({f"k{i}": F.when(~F.col("bad"), F.col(f"k{i}")) for i in range(len(paths))}).drop("bad")
         names = [f"k{i}" for i in range(len(self.primary_key))]
         return dedup.first_wins(keyed, names, ["ordinal"], strict=True, salts=8).drop(*names)
 
+    def extract(self, spark: SparkSession, end: date | str = "today") -> Iterator[dict]:
+        """The older two-step form: the records one by one; ``commit_watermark`` moves the checkpoint
+        after they were all read and stored."""
+        self._pending = self.session(spark, end)
+        for batch in self._pending.batches():
+            yield from batch
+
+    def commit_watermark(self) -> None:
+        """Commits the last ``extract``."""
+        if getattr(self, "_pending", None) is None:
+            raise RuntimeError("nothing was extracted")
+        self._pending.commit()
+        self._pending = None
+
     def collect(self, spark: SparkSession, end: date | str = "today") -> list[dict]:
         with self.session(spark, end) as s:
             out = [r for batch in s.batches() for r in batch]

@@ -588,6 +588,155 @@ def test_query_equals_sql(spark, name):
     assert sorted(found) == names and sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == expected
 
 
+def test_empty_loads_leave_readable_tables(spark, tmp_path):
+    rows_of = lambda n: spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit("a").alias("_ingestion_key"), F.lit(None).cast("string").alias("_extra"))
+    sink, over = ParquetDestination(str(tmp_path / "lake")), ParquetDestination(str(tmp_path / "lake"), "overwrite")
+    sink.load(rows_of(3), "s.t", "a")
+    assert sink.load(rows_of(0), "s.t", "a").rows_loaded == 0 and sink.read(spark, "s.t").count() == 0
+    assert sink.read(spark, "s.t").columns == ["id", "_ingestion_key", "_extra"]
+    sink.load(rows_of(0), "s.u", "a")
+    assert sink.read(spark, "s.u").count() == 0
+    over.load(rows_of(2), "s.t", "a")
+    over.load(rows_of(0), "s.t", "b")
+    assert over.read(spark, "s.t").count() == 0
+    sink.load(rows_of(1).withColumn("more", F.lit(1)), "s.t", "c")
+    assert sink.read(spark, "s.t").columns == ["id", "_ingestion_key", "_extra", "more"]
+
+
+def test_a_failed_swap_brings_the_old_rows_back(spark, tmp_path, monkeypatch):
+    from sedimenta.sinks import parquet
+
+    rows_of = lambda n: spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit("a").alias("_ingestion_key"))
+    sink = ParquetDestination(str(tmp_path / "lake"))
+    sink.load(rows_of(3), "s.t", "a")
+    move = parquet.Folder.rename
+
+    def stuck(self, to):
+        if "__staging_" in str(self.path):
+            raise OSError("disk full")
+        move(self, to)
+
+    monkeypatch.setattr(parquet.Folder, "rename", stuck)
+    with pytest.raises(OSError):
+        sink.load(rows_of(9), "s.t", "a")
+    assert sink.read(spark, "s.t").count() == 3
+
+
+def test_state_and_log_registries(spark, tmp_path):
+    from sedimenta.sinks import state
+
+    new, later = Watermark(datetime(2026, 1, 1, tzinfo=timezone.utc), date(2026, 1, 1), "c"), Watermark(datetime(2026, 1, 2, tzinfo=timezone.utc))
+    for store in (state.state_store("sqlite", path=str(tmp_path / "s.db")), state.state_store("auto", spark, ParquetDestination(str(tmp_path / "lake"))), state.state_store("memory")):
+        assert store.get("k") is None
+        store.compare_and_set("k", None, new)
+        for expected in (None, later):
+            with pytest.raises(errors.StateConflictError):
+                store.compare_and_set("k", expected, later)
+        store.compare_and_set("k", new, later)
+        assert store.get("k") == later
+    entry = state.RunLogEntry("c", "2026-01-01T00:00:00+00:00", "2026-01-01T00:01:00+00:00", "success", 3, ["x"], None, "r", "k", "d", "2026-01-01")
+    for log in (state.run_log("auto", spark, ParquetDestination(str(tmp_path / "lake"))), state.run_log("parquet", spark, None, path=str(tmp_path / "runs"))):
+        log.record(entry), log.record(entry)
+        assert rows(log.read(spark).select("connector_name", "rows_loaded", F.col("window_start").cast("string"), "extra_fields_seen")) == [("c", 3, "2026-01-01", ["x"])] * 2
+    for make, name in ((state.state_store, "oracle"), (state.run_log, "x")):
+        with pytest.raises(errors.AdapterNotFoundError):
+            make(name)
+    with pytest.raises(errors.AdapterNotFoundError):
+        state.state_store("auto", spark, ParquetDestination("s3://bucket/lake"))
+
+
+def test_incremental_intents(spark, tmp_path):
+    intent = incremental.incremental_intent
+    for off in (None, False, "off", " None ", ""):
+        assert intent(off, "n", "d") == (None, "d")
+    for wanted, mode, field in ((True, "data_date", "d"), ("ingestion_date", "ingestion_date", "d"), ("updated_at", "data_date", "updated_at"), ({"field": "u", "start": "2026-01-01", "key": "k"}, "data_date", "u")):
+        strategy, got = intent(wanted, "n", "d")
+        assert (strategy.mode, got, strategy.store) == (mode, field, None)
+    for bad in (5, {"when": 1}):
+        with pytest.raises(TypeError):
+            intent(bad, "n")
+    c = connector(ORDERS, name="orders", pagination=False, incremental="d")
+    with pytest.raises(errors.MissingStateStoreError):
+        c.session(spark)
+    result, _ = c.to(ParquetDestination(str(tmp_path / "lake")), "bronze.orders").run(spark, date(2026, 1, 31))
+    assert result.success and json.loads((tmp_path / "lake/_state.json").read_text())["orders"]["last_data_date"] == "2026-01-09"
+    with pytest.raises(errors.MissingDateFieldError):
+        connector(ORDERS, incremental=True)
+    sent = connector([("from=2026-01-05", {"data": [{"id": 1, "d": "2026-01-06"}]})], pagination=False, date_field="d", date_params={"start": "from", "end": "to"}, incremental=IncrementalStrategy(MemoryStateStore(), "o", initial_start="2026-01-05"))
+    assert sent.collect(spark, date(2026, 1, 31)) == [{"id": 1, "d": "2026-01-06"}]
+
+
+def test_older_extraction_and_key_rules(spark):
+    store = MemoryStateStore()
+    c = connector(ORDERS, pagination=False, date_field="d", incremental=IncrementalStrategy(store, "o"))
+    with pytest.raises(RuntimeError):
+        c.commit_watermark()
+    assert len(list(c.extract(spark, date(2026, 1, 31)))) == 3 and store.get("o") is None
+    c.commit_watermark()
+    assert store.get("o").last_data_date == date(2026, 1, 9)
+    keyed = lambda ids, **kw: connector([("orders", {"data": [{"id": i} for i in ids]})], pagination=False, primary_key="id", dedup=True, **kw)
+    assert keyed(["[abc", "{x}", "[abc", "a'b"]).collect(spark) == [{"id": "[abc"}, {"id": "{x}"}, {"id": "a'b"}]
+    for bad in ([1], {"x": 1}, None, "  "):
+        with pytest.raises(PySparkException):
+            keyed(["ok", bad]).collect(spark)
+    with pytest.raises(errors.DeduplicationError):
+        keyed([1, 2, 3], max_unique_keys=2).collect(spark)
+
+
+def test_redirects_that_change_the_method():
+    calls = []
+
+    def site(status):
+        def transport(method, url, headers, body, timeout):
+            calls.append((method, body, "Content-Type" in headers))
+            return Response(200, {}, b"{}") if url.endswith("/b") else Response(status, {"Location": "/b"}, b"")
+
+        return HttpClient(transport=transport, backoff=0)
+
+    for status, method, kept in ((303, "POST", False), (301, "POST", False), (302, "POST", False), (307, "POST", True), (308, "POST", True), (302, "GET", False)):
+        calls.clear()
+        site(status).request(method, "https://api.example/a", json_body={"q": 1} if method == "POST" else None)
+        assert calls[1] == ((method, calls[0][1], True) if kept else ("GET", None, False))
+
+
+def test_samples_keep_the_order_of_the_input(spark):
+    df = spark.createDataFrame([(json.dumps({"z": 9}),), (json.dumps({"a": 1}),)], "raw string").coalesce(1)
+    assert [f["path"] for f in report.profile_records(df, "types", scope="sample", limit=1).fields] == ["z"]
+    many = spark.range(12_000).select(F.concat(F.lit('{"n":'), F.col("id").cast("string"), F.lit(',"k":1}')).alias("raw"))
+    got = {f["path"]: (f["cardinality"], f["precision"]) for f in report.profile_records(many, "cardinality").fields}
+    assert got["k"] == (1, "exact") and got["n"][1] == "approximate" and abs(got["n"][0] - 12_000) < 12_000 * 4 * report.SKETCH_ERROR
+
+
+def test_config_blocks_and_commands(spark, tmp_path, capsys):
+    from sedimenta.plans import cli
+
+    made = {"name": "p", "destination": {"root": str(tmp_path / "lake")}, "state": "memory", "run_log": {"type": "parquet", "path": str(tmp_path / "runs")}, "transform": {"models": {"n": "select count(*) as n from orders"}},
+            "connector": {"name": "orders", "base_url": "https://api.example/v1/orders", "pagination": "none", "incremental": {"field": "d", "start": "2026-01-06"}, "date_params": {"start": "from"}}}
+    config.save_config(made, str(tmp_path / "p.json"))
+    (tmp_path / "q.json").write_text('{"nonsense": 1}')
+    result, models = config.run_config(config.load_config(str(tmp_path / "p.json")), spark, date(2026, 1, 31), transport=Site(ORDERS))
+    assert result.success and models["n"].first()["n"] == 4 and spark.read.parquet(str(tmp_path / "runs")).count() == 1
+    listed = config.list_configs(str(tmp_path))
+    assert [(x["file"], x["name"], x["error"] is None) for x in listed] == [("p.json", "p", True), ("q.json", "q", False)]
+    assert config.models_of({"transform": [{"name": "a", "sql": "select 1"}]}) == {"a": "select 1"}
+    for bad in ({"transform": {"a": 1}}, {"transform": [{"id": 1}]}):
+        with pytest.raises(errors.PipelineConfigError):
+            config.models_of(bad)
+    for bad in ({"state": "oracle"}, {"run_log": {"type": "x"}}, {"state": {"type": "json", "password": "x"}}):
+        with pytest.raises(errors.PipelineConfigError):
+            config.build_pipeline({**made, **bad})
+    assert cli.main(["adapters"]) == 0 and "sqlite" in capsys.readouterr().out
+    assert cli.main(["list", str(tmp_path)]) == 0 and "q.json" in capsys.readouterr().out
+
+
+def test_public_names():
+    import sedimenta
+
+    assert all(getattr(sedimenta, name) is not None for name in sedimenta.__all__) and "RestConnector" in dir(sedimenta)
+    with pytest.raises(AttributeError):
+        sedimenta.nothing  # noqa: B018
+
+
 def test_windows_are_inclusive():
     assert IncrementalWindow(date(2026, 1, 1), date(2026, 1, 1)).watermark_before is None
 
@@ -614,11 +763,11 @@ def test_all_landed_rows_and_fingerprints(spark, tmp_path):
     spark.createDataFrame([(i, t) for i, t in enumerate(data)], "record_no long, raw string").write.parquet(str(tmp_path / "profile_records.parquet"))
     ids = ["plain", "ctl\x01\x1f", "new\nline", 'quo"te', None]
     spark.createDataFrame([(i, "s", k) for i, k in enumerate(ids)], "arrival_no long, source string, id string").write.parquet(str(tmp_path / "incoming_orders.parquet"))
-    landed = reference.QUERIES["bronze_landed"](spark, str(tmp_path))
+    landed = reference.QUERIES["bronze_rows"](spark, str(tmp_path))
     got = {r["id"]: r for r in landed.collect()}
     assert {"id", "email", "name", "active", "_source", "_endpoint", "_ingested_at", "_run_id", "_ingestion_key", "_window_start", "_window_end", "_raw", "_extra"} == set(landed.columns)
     expected = ["a@b", '["x", 1.0, null, true]', None, "True", "False", "[odd", "True", None, "1e+16", "0.1"]
     assert [got[str(i)]["email"] for i in range(10)] == expected
     assert json.loads(got["2"]["_extra"]) == {"email_k": "é", "meta_n": 2} and json.loads(got["0"]["_extra"]) == {"meta_n": 0}
-    prints = {r["arrival_no"]: r["fingerprint"] for r in reference.QUERIES["key_fingerprints"](spark, str(tmp_path)).collect()}
+    prints = {r["arrival_no"]: r["fingerprint"] for r in reference.QUERIES["key_fingerprint"](spark, str(tmp_path)).collect()}
     assert [prints[i] for i in range(5)] == [None if k is None else hashlib.sha256(json.dumps(["s", k], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest() for k in ids]
