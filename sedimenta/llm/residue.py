@@ -341,7 +341,7 @@ def _filler_line(raw: str) -> bool:
         return False
     low, words = FILLER_SPELLER.mend(text, _WORDS.findall(text))
     different = set(words)
-    if _is_dummy(words):
+    if (not different.isdisjoint(_LATIN_SURE) or any(map(_drummed, different))) and _is_dummy(words):
         return True
     filling = not different.isdisjoint(_FILL_SET)
     if len(words) >= 3 and (len(different) * 2 <= len(words) or (filling and len(different) + 2 <= len(words))):
@@ -367,7 +367,7 @@ def has_filler(lines: list[tuple[str, bool]], tokens: list[list[str]] | None = N
             if not own:
                 continue
             there = set(own)
-            if there.isdisjoint(_FILLER_LOOKS) and len(there) * 3 > len(own) * 2 and not any(map(_drummed, there)):
+            if there.isdisjoint(_FILLER_LOOKS) and len(there) * 3 > len(own) * 2 and not (any(map(_drummed, there)) and sum(map(_drummed, own)) * 5 >= len(own) * 3):
                 continue
         if _filler_line(line):
             return True
@@ -456,7 +456,7 @@ _ENDS_ERROR = re.compile(r"error\b|Error\b|ERROR\b|xception\b|XCEPTION\b")
 
 def _says_notice(low: str, words: list[str]) -> bool:
     groups = {g for w in words for g in _GROUP_OF.get(w, ())}
-    if any(_ERROR_NAME.match(w) for w in words):
+    if ("error" in low or "exception" in low) and any(_ERROR_NAME.match(w) for w in words):
         groups.add(1)
     return any(_NOTICE_GROUPS[g].search(low) for g in groups)
 
@@ -531,8 +531,8 @@ def is_error_page(text: str, lines: list[tuple[str, bool]] | None = None, tokens
         tokens = None
     if tokens is None:
         tokens = [_WORDS.findall(line.lower()) for line, _ in lines]
-    # no text has more sentences than this: the walk ends where the rest cannot tip the balance
-    most = len(lines) + sum(map(text.count, _ENDS))
+    # no text has more sentences with words than this: the walk ends where the rest cannot tip the balance
+    most = sum(map(bool, tokens)) + sum(map(text.count, _ENDS))
     hits = near = content = 0
     data: list[str] | None = None
     source_line = False
@@ -569,8 +569,10 @@ def is_error_page(text: str, lines: list[tuple[str, bool]] | None = None, tokens
                 words = _WORDS.findall(low)
                 found = _says_notice(low, words)
                 if not found:
-                    low, words = NOTICE_SPELLER.mend(low, words)
-                    found = _says_notice(low, words)
+                    mended, words = NOTICE_SPELLER.mend(low, words)
+                    if mended is not low:
+                        low = mended
+                        found = _says_notice(low, words)
                 if (found or content) and _REPORTS.search(low) and not _NOT_REPORTS.search(low):
                     return False
                 if found:
