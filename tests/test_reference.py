@@ -19,6 +19,7 @@ from sedimenta.functions import paths, text, types, values
 from sedimenta.operators import bronze, dedup, incremental, profile, report
 from sedimenta.operators.incremental import IncrementalStrategy, IncrementalWindow, Watermark
 from sedimenta.plans import config, pipeline, reference, schedule
+from sedimenta.plans import landing as sites
 from sedimenta.plans.pipeline import Pipeline
 from sedimenta.sinks.parquet import ParquetDestination, batch_size, write_mode
 from sedimenta.sinks.state import InspectionStateStore, JsonlRunLog, JsonStateStore, MemoryStateStore
@@ -570,7 +571,7 @@ def test_streamed_windows(spark, tmp_path):
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", sorted(reference.SQL))
+@pytest.mark.parametrize("name", sorted(reference.SQL | sites.SQL))
 def test_query_equals_sql(spark, name):
     import os
 
@@ -580,9 +581,9 @@ def test_query_equals_sql(spark, name):
     con.execute("set timezone='UTC'")
     for f in os.listdir(DATA):
         con.execute(f"create view {f.split('.')[0]} as select * from read_parquet('{DATA}/{f}')")
-    df = reference.QUERIES[name](spark, DATA)
+    df = (reference.QUERIES | sites.QUERIES)[name](spark, DATA)
     names = sorted(df.columns)
-    cursor = con.execute(reference.SQL[name])
+    cursor = con.execute((reference.SQL | sites.SQL)[name])
     found = [c[0] for c in cursor.description]
     expected = sorted((tuple(r[found.index(c)] for c in names) for r in cursor.fetchall()), key=repr)
     assert sorted(found) == names and sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == expected
