@@ -531,8 +531,13 @@ def is_error_page(text: str, lines: list[tuple[str, bool]] | None = None, tokens
         tokens = None
     if tokens is None:
         tokens = [_WORDS.findall(line.lower()) for line, _ in lines]
-    # no text has more sentences with words than this: the walk ends where the rest cannot tip the balance
-    most = sum(map(bool, tokens)) + sum(map(text.count, _ENDS))
+    # no text has more notices than sentences in lines with a word of notices: the walk ends where these cannot tip the balance
+    most = 0
+    for (line, _), own in zip(lines, tokens):
+        if own and (not _NOTICE_LOOKS.isdisjoint(own) or _ENDS_ERROR.search(line)) and not _STAMPED.match(line):
+            most += 1 + sum(map(line.count, _ENDS))
+    if not most:
+        return False
     hits = near = content = 0
     data: list[str] | None = None
     source_line = False
@@ -584,7 +589,7 @@ def is_error_page(text: str, lines: list[tuple[str, bool]] | None = None, tokens
                         near += 1
                     else:
                         content += 1
-        if content * 4 > most:
+        if content * 3 > max(most, hits):
             return False
     if data is not None:
         return _is_error_object(" ".join(data))
