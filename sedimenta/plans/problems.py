@@ -171,7 +171,23 @@ records AS (SELECT page_id, unnest(list::JSON[]) AS rec, generate_subscripts(lis
 nodes AS (SELECT page_id, record_no, '$' AS node FROM records UNION ALL SELECT r.page_id, r.record_no, t.fullkey FROM records r, json_tree(r.rec) t WHERE t.type = 'OBJECT' AND t.fullkey LIKE '%]'),
 up AS (SELECT a.page_id, a.record_no, a.node, coalesce(arg_max(b.node, length(b.node)), '') AS above FROM nodes a LEFT JOIN nodes b ON b.page_id = a.page_id AND b.record_no = a.record_no AND length(b.node) < length(a.node) AND (starts_with(a.node, b.node || '.') OR starts_with(a.node, b.node || '[')) GROUP BY ALL)
 SELECT page_id, record_no::INTEGER AS record_no, regexp_replace(regexp_replace(node, '\."([^"]*)"', '["\1"]', 'g'), '\["([A-Za-z_][A-Za-z0-9_]*)"\]', '.\1', 'g') AS node_path, regexp_replace(regexp_replace(above, '\."([^"]*)"', '["\1"]', 'g'), '\["([A-Za-z_][A-Za-z0-9_]*)"\]', '.\1', 'g') AS parent_path FROM up"""
+    lifted = [*APPROVED, "freight_cost"]
+    texts = ", ".join(f"json_type(x, '$.{n}') AS {n}_type, CASE json_type(x, '$.{n}') WHEN 'VARCHAR' THEN x->>'$.{n}' WHEN 'NULL' THEN NULL ELSE json_extract(x, '$.{n}')::VARCHAR END AS {n}_text" for n in lifted)
+    number = r"regexp_full_match(%s, '\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*')"
+    left = lambda n: f"CASE WHEN {n} IS NULL AND {n}_text IS NOT NULL THEN '\"{n}\":' || CASE WHEN {n}_type = 'VARCHAR' THEN to_json({n}_text)::VARCHAR ELSE {n}_text END END"
+    failed = lambda n: f"CASE WHEN {n} IS NULL AND {n}_raw IS NOT NULL THEN '\"{n}\":' || to_json({n}_raw)::VARCHAR END"
+    p1_table = f"""WITH bags AS (SELECT *, CASE WHEN json_valid(_extra) AND json_type(_extra::JSON) = 'OBJECT' THEN _extra::JSON END AS x FROM bronze_orders),
+lifted AS (SELECT ordinal, _source, _run_id, id, customer_id AS customer_id_raw, updated_at AS updated_at_raw, amount AS amount_raw, items, {texts}, CASE WHEN x IS NULL AND trim(coalesce(_extra, '')) <> '' THEN '"_broken":' || to_json(_extra)::VARCHAR END AS broken,
+  (SELECT string_agg('"' || e.key || '":' || e.value::VARCHAR, ',' ORDER BY e.id) FROM json_each(x) e WHERE e.key NOT IN ({", ".join(f"'{n}'" for n in lifted)})) AS rest FROM bags),
+typed AS (SELECT *, CASE WHEN regexp_full_match(customer_id_raw, '\\s*[+-]?[0-9]+\\s*') THEN try_cast(customer_id_raw AS BIGINT) END AS customer_id,
+  CASE WHEN updated_at_raw LIKE '____-%' THEN try_cast(updated_at_raw AS TIMESTAMPTZ) AT TIME ZONE 'UTC' END AS updated_at,
+  CASE WHEN {number % "amount_raw"} AND try_cast(amount_raw AS DECIMAL(38,18)) = try_cast(amount_raw AS DECIMAL(18,2)) THEN try_cast(amount_raw AS DECIMAL(18,2)) END AS amount,
+  status_text AS status, locale_text AS locale, CASE WHEN regexp_full_match(loyalty_points_text, '\\s*[+-]?[0-9]+\\s*') THEN try_cast(loyalty_points_text AS BIGINT) END AS loyalty_points,
+  CASE WHEN is_gift_type = 'BOOLEAN' THEN is_gift_text = 'true' END AS is_gift, CASE WHEN {number % "freight_cost_text"} THEN try_cast(freight_cost_text AS DOUBLE) END AS freight_cost FROM lifted)
+SELECT ordinal, _source, _run_id, id, customer_id, updated_at, amount, items, status, locale, loyalty_points, is_gift, freight_cost,
+  '{{' || nullif(concat_ws(',', broken, rest, {left("freight_cost")}, {", ".join(map(failed, ("customer_id", "updated_at", "amount")))}, {", ".join(map(left, ("loyalty_points", "is_gift")))}), '') || '}}' AS _rescued FROM typed"""
     return {
+        "p1_table": p1_table,
         "p3_found": p3,
         "p5_found": p5,
         "p5_profile": profile_sql,
