@@ -464,7 +464,7 @@ def _says_notice(low: str, words: list[str]) -> bool:
 #: Neutral remainders of such pages: references, thanks, server names, what follows from the notice.
 _NEUTRAL = re.compile(
     r"^(?:(?:reference|request id|incident|event id|ray|ray id|trace id|trace|id|code|código)\b\W*[\w-]*|[0-9a-f-]{6,}|[\w.-]+/\d[\w.]*|[a-z]+(?:-[a-z]+)+|thank you\b.*|thanks\b.*|obrigad[oa]\b.*|gracias\b.*|merci\b.*|(?:we(?:'|’)?re )?sorry\b.*|"
-    r"this may take\b.*|isso pode\b.*|esto puede\b.*|.*\bwill not work\b.*|(?:this|the) (?:site|page|app\w*) needs (?:it|them)\b.*|\d+|[\W_]+)$"
+    r"this may take\b.*|isso pode\b.*|esto puede\b.*|.*\bwill not work\b.*|[\W_]*(?:(?:html|head|body|title|center|hr|div|span|br|p|h[1-6])[\W_]*)+|(?:this|the) (?:site|page|app\w*) needs (?:it|them)\b.*|\d+|[\W_]+)$"
 )
 #: Telling about errors: speech, habits and reactions of clients. Such a sentence makes the text a report.
 _REPORTS = re.compile(
