@@ -35,7 +35,7 @@ _LINES = ("$.lineItems[]", '$["line-items"][]', "$.items[]")
 #: The entities of the pages: table -> entities (one thing under several spellings is one table) and the fields it always has.
 PAGE_ENTITIES: dict[str, tuple[list[str], dict[str, str]]] = {
     "p3_records": (["$"], {"id": "bigint", "customer.id": "bigint", "note": "string"}),
-    "p3_line_items": ([*_LINES], {"sku": "string", "qty": "string"}),
+    "p3_line_items": ([*_LINES], {"sku": "string", "qty": "string", "product.name": "string"}),
     "p3_discounts": ([f"{e}.discounts[]" for e in _LINES], {"code": "string", "amount": "double"}),
     "p3_rules": ([f"{e}.discounts[].rules[]" for e in _LINES], {"kind": "string", "value": "bigint"}),
     "p3_attrs": ([f"{e}.product.attrs[]" for e in _LINES], {"k": "string", "v": "bigint"}),
@@ -164,13 +164,26 @@ SELECT n.source, n.load_no, path, any_value(l.records) AS records, count(DISTINC
  min(length(text)) FILTER (kind = 'string')::INTEGER AS min_length, max(length(text)) FILTER (kind = 'string')::INTEGER AS max_length, min({moment}) AS min_time, max({moment}) AS max_time,
  count(*) FILTER (kind = 'boolean' AND text = 'true') AS n_true, count(*) FILTER (kind = 'boolean') AS n_flag, any_value(l.records) - count(DISTINCT record_no) AS missing, count(*) FILTER (kind = 'null') AS nulls, count(DISTINCT kind) FILTER (kind <> 'null') AS mixed_types
 FROM nodes n JOIN loads l USING (source, load_no) GROUP BY ALL"""
-    p3 = r"""WITH probe AS (SELECT source, records_path AS path FROM probe_results WHERE status_code = 200 QUALIFY row_number() OVER (PARTITION BY source ORDER BY probed_at DESC, records_path DESC NULLS LAST) = 1),
+    # every node of every record with its nearest listed object; paths as the task spells them
+    spelt = r"""regexp_replace(regexp_replace(%s, '\."([^"]*)"', '["\1"]', 'g'), '\["([A-Za-z_][A-Za-z0-9_]*)"\]', '.\1', 'g')"""
+    pages = r"""WITH probe AS (SELECT source, records_path AS path FROM probe_results WHERE status_code = 200 QUALIFY row_number() OVER (PARTITION BY source ORDER BY probed_at DESC, records_path DESC NULLS LAST) = 1),
 bodies AS (SELECT g.page_id, p.path, CASE WHEN json_valid(g.raw) THEN g.raw::JSON END AS body FROM parsed_pages g JOIN probe p ON p.source = g.source),
 found AS (SELECT page_id, CASE WHEN path IS NULL THEN CASE json_type(body) WHEN 'ARRAY' THEN body WHEN 'OBJECT' THEN json_array(body) END ELSE json_extract(body, '$.' || regexp_replace(path, '\["([^"]*)"\]', '."\1"', 'g')) END AS list FROM bodies),
-records AS (SELECT page_id, unnest(list::JSON[]) AS rec, generate_subscripts(list::JSON[], 1) - 1 AS record_no FROM found WHERE json_type(list) = 'ARRAY'),
-nodes AS (SELECT page_id, record_no, '$' AS node FROM records UNION ALL SELECT r.page_id, r.record_no, t.fullkey FROM records r, json_tree(r.rec) t WHERE t.type = 'OBJECT' AND t.fullkey LIKE '%]'),
-up AS (SELECT a.page_id, a.record_no, a.node, coalesce(arg_max(b.node, length(b.node)), '') AS above FROM nodes a LEFT JOIN nodes b ON b.page_id = a.page_id AND b.record_no = a.record_no AND length(b.node) < length(a.node) AND (starts_with(a.node, b.node || '.') OR starts_with(a.node, b.node || '[')) GROUP BY ALL)
-SELECT page_id, record_no::INTEGER AS record_no, regexp_replace(regexp_replace(node, '\."([^"]*)"', '["\1"]', 'g'), '\["([A-Za-z_][A-Za-z0-9_]*)"\]', '.\1', 'g') AS node_path, regexp_replace(regexp_replace(above, '\."([^"]*)"', '["\1"]', 'g'), '\["([A-Za-z_][A-Za-z0-9_]*)"\]', '.\1', 'g') AS parent_path FROM up"""
+records AS (SELECT page_id, unnest(list::JSON[]) AS rec, (generate_subscripts(list::JSON[], 1) - 1)::INTEGER AS record_no FROM found WHERE json_type(list) = 'ARRAY'),
+nodes AS (SELECT page_id, record_no, '$' AS node, coalesce(json_type(rec), 'NULL') AS type, rec AS value FROM records UNION ALL SELECT r.page_id, r.record_no, t.fullkey, t.type, t.value FROM records r, json_tree(r.rec) t WHERE t.type <> 'ARRAY' AND t.fullkey LIKE '%]'),
+up AS (SELECT a.page_id, a.record_no, a.node, a.type, any_value(a.value) AS value, coalesce(arg_max(b.node, length(b.node)), '') AS above FROM nodes a LEFT JOIN (SELECT * FROM nodes WHERE node = '$' OR type = 'OBJECT') b
+  ON b.page_id = a.page_id AND b.record_no = a.record_no AND length(b.node) < length(a.node) AND (starts_with(a.node, b.node || '.') OR starts_with(a.node, b.node || '[')) GROUP BY ALL),
+""" + f"""named AS (SELECT page_id, record_no, type, value, {spelt % "node"} AS node_path, {spelt % "above"} AS parent_path, try_cast(nullif(regexp_extract(node, '\\[([0-9]+)\\]$', 1), '') AS INTEGER) AS ordinal FROM up),
+placed AS (SELECT *, regexp_replace(node_path, '\\[[0-9]+\\]', '[]', 'g') AS entity FROM named)"""
+    p3 = f"{pages} SELECT page_id, record_no, node_path, parent_path FROM placed WHERE node_path = '$' OR type = 'OBJECT'"
+    scalar = "CASE json_type(%s) WHEN 'VARCHAR' THEN %s->>'$' WHEN 'NULL' THEN NULL WHEN 'ARRAY' THEN NULL WHEN 'OBJECT' THEN NULL ELSE %s::VARCHAR END"
+    entity_sql = {}
+    for name, (entities, fields) in PAGE_ENTITIES.items():
+        columns = [f"try_cast({scalar.replace('%s', f'json_extract(value, {chr(39)}$.{f}{chr(39)})')} AS {t.upper().replace('STRING', 'VARCHAR')}) AS {f.replace('.', '_')}" for f, t in fields.items()]
+        listed = ", ".join("'" + e.replace("'", "''") + "'" for e in entities)
+        entity_sql[name] = f"{pages} SELECT entity, page_id, record_no, node_path, parent_path, ordinal, {', '.join(columns)} FROM placed WHERE (node_path = '$' OR type = 'OBJECT') AND entity IN ({listed})"
+    entity_sql["p3_values"] = f"""{pages} SELECT page_id, record_no, node_path, parent_path, entity, CASE WHEN node_path <> '$' THEN ltrim(regexp_replace(substr(node_path, length(parent_path) + 1), '\\[[0-9]+\\]', '[]', 'g'), '.') END AS label, ordinal,
+ CASE type WHEN 'NULL' THEN 'null' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'DOUBLE' THEN 'number' WHEN 'VARCHAR' THEN 'string' WHEN 'ARRAY' THEN 'array' ELSE 'integer' END AS kind, {scalar.replace("%s", "value")} AS value FROM placed WHERE type <> 'OBJECT'"""
     lifted = [*APPROVED, "freight_cost"]
     texts = ", ".join(f"json_type(x, '$.{n}') AS {n}_type, CASE json_type(x, '$.{n}') WHEN 'VARCHAR' THEN x->>'$.{n}' WHEN 'NULL' THEN NULL ELSE json_extract(x, '$.{n}')::VARCHAR END AS {n}_text" for n in lifted)
     number = r"regexp_full_match(%s, '\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*')"
@@ -189,6 +202,7 @@ SELECT ordinal, _source, _run_id, id, customer_id, updated_at, amount, items, st
     return {
         "p1_table": p1_table,
         "p3_found": p3,
+        **entity_sql,
         "p5_found": p5,
         "p5_profile": profile_sql,
         "p1_found": p1,

@@ -3,6 +3,7 @@
 import json
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from conftest import rows
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from sedimenta.operators import drift, profile, shred, upsert
 from sedimenta.operators.firstkeep import collapse_sorted_runs
+from sedimenta.plans import problems
 
 ORDERS = "ordinal long, _source string, _run_id string, id string, _raw string, field string"
 
@@ -356,3 +358,26 @@ def test_shifted_numbers_stand_out(spark):
     got = {(r["load_no"], r["path"]): r for r in profile.load_drift(freq).collect()}
     assert got[2, "x"]["psi"] < 0.25 < 2 < got[3, "x"]["psi"] and got[3, "x"]["chi_square"] > 5 * got[2, "x"]["chi_square"]
     assert got[2, "c"]["psi"] < 0.1 and got[3, "c"]["psi"] < 0.1 and got[2, "day"]["psi"] > 2
+
+
+# ---- every query against its SQL -----------------------------------------------------------------
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", sorted(problems.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    import os
+
+    if not os.path.isdir(DATA):
+        pytest.skip("no test data")
+    con = duckdb.connect()
+    con.execute("set timezone='UTC'")
+    for f in os.listdir(DATA):
+        con.execute(f"create view {f.split('.')[0]} as select * from read_parquet('{DATA}/{f}')")
+    df = problems.queries()[name](spark, DATA)
+    names = sorted(df.columns)
+    cursor = con.execute(problems.oracle_sql()[name])
+    found = [c[0] for c in cursor.description]
+    expected = sorted((tuple(r[found.index(c)] for c in names) for r in cursor.fetchall()), key=repr)
+    assert sorted(found) == names and sorted((tuple(r[c] for c in names) for r in df.collect()), key=repr) == expected
