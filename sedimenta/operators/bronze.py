@@ -8,11 +8,13 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from datetime import date, datetime, timezone
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sedimenta.errors import FlattenCollisionError
 from sedimenta.functions.types import EndpointSchema, spark_type, validate_identifier
@@ -139,6 +141,19 @@ def metadata(name: str, endpoint: str, context: LoadContext, ingested_at: dateti
     ]
 
 
+def landed_schema(schema: EndpointSchema) -> T.StructType:
+    """The columns of landed rows: the declared ones as text, the metadata, the record and its rest."""
+    text = lambda n: T.StructField(n, T.StringType())
+    kinds = {"_ingested_at": T.TimestampType(), "_window_start": T.DateType(), "_window_end": T.DateType()}
+    meta = [T.StructField(n, kinds.get(n, T.StringType())) for n in ("_source", "_endpoint", "_ingested_at", "_run_id", "_ingestion_key", "_window_start", "_window_end")]
+    return T.StructType([*map(text, schema.column_names()), *meta, text("_raw"), text("_extra")])
+
+
+def landed_arrow_schema(schema: EndpointSchema) -> pa.Schema:
+    """The same for Arrow readers and writers."""
+    return to_arrow_schema(landed_schema(schema))
+
+
 def extra_fields_seen(bronze: DataFrame) -> DataFrame:
     """(field_name, records) of the undeclared fields of landed rows."""
     keys = F.explode(F.json_object_keys("_extra"))
@@ -173,3 +188,19 @@ def staging_sql(table: str, schema: EndpointSchema) -> str:
 def sources_yml(database: str, tables: list[str]) -> str:
     lines = ["version: 2", "sources:", f"  - name: {validate_identifier(database)}", "    tables:"]
     return "\n".join([*lines, *[f"      - name: {validate_identifier(t)}" for t in tables]]) + "\n"
+
+
+def write_scaffold(folder: str, database: str, tables: dict[str, EndpointSchema]) -> list[str]:
+    """Files of a staging project: ``sources.yml`` and one ``stg_<table>.sql`` a landed table. Files that
+    are there already are left alone; the names of those written are returned."""
+    root, out = Path(folder), []
+    texts = {"sources.yml": sources_yml(database, list(tables))} | {f"stg_{validate_identifier(t)}.sql": staging_sql(f"{database}.{t}", s) + "\n" for t, s in tables.items()}
+    root.mkdir(parents=True, exist_ok=True)
+    for name, text in texts.items():
+        try:
+            with open(root / name, "x", encoding="utf-8") as f:
+                f.write(text)
+        except FileExistsError:
+            continue
+        out.append(name)
+    return out

@@ -364,6 +364,17 @@ def last_window_empty(spark, d):
     return out.agg(F.count("*").alias("n"), F.coalesce(F.sum("event_id"), F.lit(0)).alias("total"))
 
 
+@query("SELECT * FROM (SELECT 0 AS position, 'bronze.clicks' AS table_name, count(*) AS n, least(count(*), 200) AS shown FROM events WHERE event_type = 'click' UNION ALL SELECT 1, 'bronze.empty', 0, 0 UNION ALL SELECT 2, 'silver.views', count(*), least(count(*), 200) FROM events WHERE event_type = 'view')")
+def landed_catalogue(spark, d):
+    """The tables of a destination in order, their rows, and what a preview shows."""
+    sink = ParquetDestination(scratch_path(spark, "catalogue"))
+    rows = table(spark, d, "events").select("event_id", "event_type")
+    for name, condition in (("silver.views", "event_type = 'view'"), ("bronze.clicks", "event_type = 'click'"), ("bronze.empty", "false")):
+        sink.load(rows.filter(condition), name, name)
+    out = [(i, t, sink.read(spark, t).count(), sink.preview(spark, t).count()) for i, t in enumerate(sink.tables(spark))]
+    return spark.createDataFrame(out, "position int, table_name string, n long, shown long")
+
+
 # ---- run log, catalogue, models ------------------------------------------------------------------
 
 

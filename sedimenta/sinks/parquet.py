@@ -15,6 +15,8 @@ from sedimenta.sinks.base import Destination
 
 #: Bounds and default of rows a file.
 MIN_BATCH, DEFAULT_BATCH, MAX_BATCH = 100, 5_000, 100_000
+#: Fixed value: most rows of a preview.
+PREVIEW_ROWS = 200
 
 
 def batch_size(value: int = DEFAULT_BATCH) -> int:
@@ -111,6 +113,24 @@ class ParquetDestination(Destination):
         reader = spark.read.schema(schema) if schema is not None else spark.read
         return reader.parquet(self.path(table)).drop("part")
 
+    def tables(self, spark: SparkSession) -> list[str]:
+        """The names of the landed tables below ``root``, sorted."""
+        root = Folder(spark, self.root)
+        if not root.exists():
+            return []
+        files, found, base = root.fs.listFiles(root.path, True), [], root.fs.makeQualified(root.path).toUri().getPath()
+        while files.hasNext():
+            path = files.next().getPath()
+            if path.getName() == "_landed_schema.json" and "__staging_" not in str(path) and "__backup_" not in str(path):
+                found.append(path.getParent().toUri().getPath()[len(base) :].strip("/").replace("/", "."))
+        return sorted(found)
+
+    def preview(self, spark: SparkSession, table: str, limit: int = PREVIEW_ROWS) -> DataFrame:
+        """Some rows of a table, at most PREVIEW_ROWS."""
+        if isinstance(limit, bool) or not isinstance(limit, int) or not 1 <= limit <= PREVIEW_ROWS:
+            raise ValueError(f"a preview has 1 to {PREVIEW_ROWS} rows")
+        return self.read(spark, table).limit(limit)
+
     def load(self, rows: DataFrame, table: str, ingestion_key: str) -> LoadResult:
         """``rows`` are landed rows of one ingestion key."""
         spark = rows.sparkSession

