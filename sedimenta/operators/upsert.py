@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,10 @@ class BucketTable:
     def drop_parts(self, parts: list[str]) -> None:
         jvm = self.spark.sparkContext._jvm
         for part in parts:
+            try:  # catalogs that keep partitions must forget it, too
+                self.spark.sql(f"ALTER TABLE {self.name} DROP IF EXISTS PARTITION (part = '{part}')")
+            except AnalysisException:
+                pass
             target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/part={part}")
             target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
         self.spark.catalog.refreshTable(self.name)

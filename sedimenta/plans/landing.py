@@ -152,7 +152,7 @@ def source_date_params(spark, d):
     return _typed(rows)
 
 
-@query("SELECT event_id, upper(event_type) AS event_type, length(event_type) AS size FROM events")
+@query("SELECT event_id, upper(event_type) AS event_type, length(event_type)::INTEGER AS size FROM events")
 def source_transform(spark, d):
     """A function over each record, before the projection."""
     c = _connector(d, "cursor", record_transform=lambda r: r | {"event_type": r["event_type"].upper(), "size": len(r["event_type"])}, select="event_id, event_type, size")

@@ -162,7 +162,7 @@ SELECT n.source, n.load_no, path, any_value(l.records) AS records, count(DISTINC
  count(*) FILTER (kind = 'string' AND text = '') AS empty_strings, count(*) FILTER (kind = 'string' AND text <> '' AND {blank}) AS blank_strings, count(*) FILTER (kind = 'array' AND json_array_length(value) = 0) AS empty_arrays, count(*) FILTER (kind = 'object' AND value::VARCHAR = '{{}}') AS empty_objects,
  count(*) FILTER ({bad}) AS bad_values, count(DISTINCT kind || value::VARCHAR) AS distinct_values, min(try_cast(text AS DOUBLE)) FILTER (kind IN ('integer', 'number')) AS min_number, max(try_cast(text AS DOUBLE)) FILTER (kind IN ('integer', 'number')) AS max_number,
  min(length(text)) FILTER (kind = 'string')::INTEGER AS min_length, max(length(text)) FILTER (kind = 'string')::INTEGER AS max_length, min({moment}) AS min_time, max({moment}) AS max_time,
- count(*) FILTER (kind = 'boolean' AND text = 'true') AS n_true, count(*) FILTER (kind = 'boolean') AS n_flag, any_value(l.records) - count(DISTINCT record_no) AS missing, count(*) FILTER (kind = 'null') AS nulls, count(DISTINCT kind) FILTER (kind <> 'null') AS mixed_types
+ count(*) FILTER (kind = 'boolean' AND text = 'true') AS n_true, count(*) FILTER (kind = 'boolean') AS n_flag, any_value(l.records) - count(DISTINCT record_no) AS missing, count(*) FILTER (kind = 'null') AS nulls, (count(DISTINCT kind) FILTER (kind <> 'null'))::INTEGER AS mixed_types
 FROM nodes n JOIN loads l USING (source, load_no) GROUP BY ALL"""
     # every node of every record with its nearest listed object; paths as the task spells them
     spelt = r"""regexp_replace(regexp_replace(%s, '\."([^"]*)"', '["\1"]', 'g'), '\["([A-Za-z_][A-Za-z0-9_]*)"\]', '.\1', 'g')"""
