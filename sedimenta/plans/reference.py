@@ -388,11 +388,13 @@ def latest_run_per_key(spark, d):
     return tied.withColumn("r", F.row_number().over(by)).filter("r = 1").select("connector_name", "run_id", "rows_loaded")
 
 
-@query("SELECT run_id, status, rows_loaded FROM (SELECT DISTINCT run_id, status, rows_loaded, finished_at FROM run_log WHERE connector_name = 'orders_vudego') ORDER BY finished_at DESC NULLS LAST, run_id, status, rows_loaded LIMIT 20")
+@query("SELECT connector_name, run_id, status, rows_loaded FROM (SELECT DISTINCT connector_name, run_id, status, rows_loaded, finished_at FROM run_log) QUALIFY row_number() OVER (PARTITION BY connector_name ORDER BY finished_at DESC NULLS LAST, run_id, status, rows_loaded) <= 20")
 def run_history_top20(spark, d):
-    rows = table(spark, d, "run_log").filter("connector_name = 'orders_vudego'").select("run_id", "status", "rows_loaded", "finished_at").distinct()
+    """The 20 newest runs of each connector."""
+    rows = table(spark, d, "run_log").select("connector_name", "run_id", "status", "rows_loaded", "finished_at").distinct()
     order = [F.col("finished_at").desc_nulls_last(), F.col("run_id").asc_nulls_last(), F.col("status").asc_nulls_last(), F.col("rows_loaded").asc_nulls_last()]
-    return rows.orderBy(*order).limit(20).select("run_id", "status", "rows_loaded")
+    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("connector_name").orderBy(*order)))  # Spark keeps 20 a group before the shuffle
+    return ranked.filter("r <= 20").select("connector_name", "run_id", "status", "rows_loaded")
 
 
 _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "bronze_orders", "run_log")
@@ -430,16 +432,21 @@ def _urls(spark, d) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", url.alias("url"))
 
 
-_REDACT = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(%s, '(?i)(authorization\\s*[:=]\\s*bearer\\s+)[^\\s,;]+', '\\1<redacted>', 'g'), '(?i)(bearer\\s+)[A-Za-z0-9._~+/=-]{8,}', '\\1<redacted>', 'g'), '(?i)((?:api[_-]?key|access[_-]?token|refresh[_-]?token|client[_-]?secret|password|passwd|account[_-]?key|sas[_-]?token|connection[_-]?string)\\s*[:=]\\s*)[^\\s,;]+', '\\1<redacted>', 'g'), '(?i)(https?://[^\\s/?#]+/[^\\s?#]*\\?)[^\\s#]+', '\\1<redacted>', 'g')"
+def _redacted(column: str) -> str:
+    """SQL of ``text.redact``."""
+    for pattern in text.CREDENTIAL_PATTERNS:
+        column = f"regexp_replace({column}, '{pattern}', '\\1{text.REDACTED}', 'g')"
+    return column
 
 
-@query(f"SELECT doc_id, {_REDACT % 'text'} AS redacted FROM documents")
+
+@query(f"SELECT doc_id, {_redacted('text')} AS redacted FROM documents")
 def redact_documents(spark, d):
     """Every document, whole."""
     return table(spark, d, "documents").select("doc_id", text.redact(F.col("text"), limit=None).alias("redacted"))
 
 
-@query(f"SELECT c_custkey, {_REDACT % f'({_URL})'} AS redacted FROM customer")
+@query(f"SELECT c_custkey, {_redacted(f'({_URL})')} AS redacted FROM customer")
 def redact_urls(spark, d):
     return _urls(spark, d).select("c_custkey", text.redact(F.col("url")).alias("redacted"))
 
