@@ -61,7 +61,7 @@ def read_path(value: Any, steps: tuple[Step, ...]) -> Any:
     """The value at ``steps``; a wrong container, missing key or index out of range gives None."""
     for step in steps:
         if type(step) is int:
-            if type(value) is not list or step >= len(value):
+            if (type(value) is not list and not getattr(type(value), "long_list", False)) or step >= len(value):
                 return None
             value = value[step]
         elif type(value) is dict:

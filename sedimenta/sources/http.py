@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import ipaddress
+import itertools
 import json
 import time
 import urllib.error
 import urllib.request
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 from urllib.parse import urlencode, urljoin, urlsplit, urlunsplit
 
 from sedimenta.errors import HttpRequestError, InsecureTlsError, InsecureUrlError, InvalidAuthValueError, InvalidHttpMethodError, ResponseTooLargeError, UnsafeRedirectError, UnsafeUrlError
+from sedimenta.sources.body import IN_MEMORY, Spool
 from sedimenta.sources.secrets import SecretProvider
 
 #: Fixed values.
@@ -24,9 +26,11 @@ RETRIED = frozenset({429, 500, 502, 503, 504})
 
 @dataclass
 class Response:
+    """A transport may give the body in chunks; the client makes bytes of it, or a spool if it is long."""
+
     status: int
     headers: dict[str, str]
-    body: bytes
+    body: bytes | Spool | Iterator[bytes]
     url: str = ""
 
 
@@ -126,19 +130,26 @@ class _NoRedirect(urllib.request.HTTPRedirectHandler):
         return None
 
 
+def _chunks(r) -> Iterator[bytes]:
+    with r:
+        while chunk := r.read(1024 * 1024):
+            yield chunk
+
+
 def _urllib_transport(method: str, url: str, headers: dict, body: bytes | None, timeout: float) -> Response:
     opener = urllib.request.build_opener(_NoRedirect)
     request = urllib.request.Request(url, data=body, headers=headers, method=method)
     try:
-        with opener.open(request, timeout=timeout) as r:
-            return Response(r.status, dict(r.headers), r.read(MAX_BODY + 1), url)
+        r = opener.open(request, timeout=timeout)
+        return Response(r.status, dict(r.headers), _chunks(r), url)
     except urllib.error.HTTPError as e:
         return Response(e.code, dict(e.headers or {}), e.read(MAX_BODY + 1), url)
 
 
 @dataclass
 class HttpClient:
-    """GET and POST with ``transport`` (tests give their own). POST is retried only if told to."""
+    """GET and POST with ``transport`` (tests give their own). POST is retried only if told to.
+    ``max_body``: bytes a body may have, None for any size."""
 
     auth: Auth = field(default_factory=Auth)
     secrets: SecretProvider | None = None
@@ -149,8 +160,11 @@ class HttpClient:
     retry_post: bool = False
     allow_http: bool = False
     verify_tls: bool = True
+    max_body: int | None = MAX_BODY
 
     def __post_init__(self):
+        if self.max_body is not None and self.max_body <= 0:
+            raise ValueError("max_body is positive")
         if not self.verify_tls:
             raise InsecureTlsError("TLS verification cannot be switched off")
 
@@ -192,13 +206,31 @@ class HttpClient:
         for n in range(tries + 1):
             try:
                 response = self.transport(method, target, headers, body, self.timeout)
+                response.body = self._whole(response.body, target)
             except (OSError, TimeoutError) as e:
                 if n == tries:
                     raise HttpRequestError(f"{method} {safe_target(target)} failed: {type(e).__name__}") from None
             else:
-                if len(response.body) > MAX_BODY:
-                    raise ResponseTooLargeError(f"{safe_target(target)} answered more than {MAX_BODY} bytes")
                 if response.status not in RETRIED or n == tries:
                     return response
             time.sleep(self.backoff * 2**n)
         raise AssertionError("unreachable")
+
+    def _whole(self, body: bytes | Iterator[bytes], target: str) -> bytes | Spool:
+        """The body, all of it: in memory while it is short."""
+        chunks, size = iter([body] if isinstance(body, (bytes, bytearray)) else body), 0
+
+        def counted() -> Iterator[bytes]:
+            nonlocal size
+            for chunk in chunks:
+                size += len(chunk)
+                if self.max_body is not None and size > self.max_body:
+                    raise ResponseTooLargeError(f"{safe_target(target)} answered more than {self.max_body} bytes")
+                yield chunk
+
+        head, rest = [], counted()
+        for chunk in rest:
+            head.append(chunk)
+            if size > IN_MEMORY:
+                return Spool(itertools.chain(head, rest))
+        return b"".join(head)

@@ -23,6 +23,7 @@ from sedimenta.operators.incremental import IncrementalStrategy, IncrementalWind
 from sedimenta.session import staged
 from sedimenta.sinks.state import StateStore
 from sedimenta.sources.base import Source
+from sedimenta.sources.body import LongList, Spool, decode, is_list
 from sedimenta.sources.http import HttpClient, resolve_auth, url_origin
 from sedimenta.sources.pagination import Page, Pagination, Request, resolve_pagination
 
@@ -32,6 +33,7 @@ OTHER_NAME = 10
 MAX_DEPTH = 4
 MAX_PAGES = 10_000
 BATCH = 25_000
+READ_ROWS = 2_000
 MAX_UNIQUE_KEYS = dedup.MAX_UNIQUE_KEYS
 
 
@@ -45,7 +47,7 @@ def find_records_path(body: dict) -> str | None:
             for key, value in node.items():
                 if type(value) is dict:
                     below.append(((*path, str(key)), value))
-                elif type(value) is list and all(type(x) is dict for x in value):
+                elif value.objects if isinstance(value, LongList) else type(value) is list and all(type(x) is dict for x in value):
                     ranked.append((LIST_NAMES.get(str(key).lower(), OTHER_NAME), depth, ".".join((*path, str(key)))))
         level = below
     ranked.sort()
@@ -123,27 +125,33 @@ class Endpoint:
         return self.client.request("GET", url, params)
 
     def _page(self, response) -> Page:
-        if response.status in (204, 205) or not response.body.strip():
+        if response.status in (204, 205) or not (isinstance(response.body, Spool) or response.body.strip()):
             return Page(None, [], response.headers)
-        raw = json.loads(response.body)
+        raw = decode(response.body)
         return Page(raw, self.items(raw), response.headers)
 
-    def items(self, raw: Any) -> list:
+    def items(self, raw: Any) -> list | LongList:
         """Records of a body, each an object (others as ``{"value": ...}``)."""
         if callable(self.records):
             found = self.records(raw)
         elif self.records:
             found = read_path(raw, parse_path(self.records))
-        elif isinstance(raw, list):
+        elif is_list(raw):
             found = raw
         elif isinstance(raw, dict):
             self.list_path = self.list_path or find_records_path(raw)
             found = [raw] if self.list_path is None else read_path(raw, parse_path(self.list_path))
         else:
             found = None
-        if not isinstance(found, list):
+        if not is_list(found):
             raise TypeError("the page holds no record list")
-        return [x if isinstance(x, dict) else {"value": x} for x in found]
+        if isinstance(found, LongList):
+            return found.map(_record)
+        return [_record(x) for x in found]
+
+
+def _record(x: Any) -> dict:
+    return x if isinstance(x, dict) else {"value": x}
 
 
 def page_source(endpoint: Endpoint, window: IncrementalWindow | None, max_records: int | None, max_pages: int | None) -> type[DataSource]:
@@ -157,15 +165,21 @@ def page_source(endpoint: Endpoint, window: IncrementalWindow | None, max_record
             return [InputPartition(0)]
 
         def read(self, partition):
-            n = 0
+            n, texts, encode = 0, [], json.JSONEncoder(ensure_ascii=False).encode
             for page, _, _ in endpoint.pages(window, max_pages):
                 for record in page.records:
-                    if max_records is not None and n >= max_records:
-                        return
-                    yield n, json.dumps(record, ensure_ascii=False)
-                    n += 1
-                if max_records is not None and n >= max_records:
-                    return
+                    if max_records is not None and n + len(texts) >= max_records:
+                        break
+                    texts.append(encode(record))
+                    if len(texts) == READ_ROWS:
+                        yield batch(n, texts)
+                        n, texts = n + len(texts), []
+                if max_records is not None and n + len(texts) >= max_records:
+                    break
+            yield batch(n, texts)
+
+    def batch(first: int, texts: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(range(first, first + len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["ordinal", "raw"])
 
     class PagedSource(DataSource):
         @classmethod
@@ -398,7 +412,7 @@ class RestConnector(Source):
         page, status, seconds = next(self.endpoint.pages(max_pages=1))
         self.endpoint.pagination.after(page, self.endpoint.pagination.first())
         where = self.endpoint.records if isinstance(self.endpoint.records, str) else self.endpoint.list_path
-        size = len(json.dumps(page.raw, ensure_ascii=False).encode()) if page.raw is not None else 0
+        size = 0 if page.raw is None else _json_size(page.raw)
         return ProbeResult(page.records[:limit], page.raw, page.headers, where, self.endpoint.pagination.kind, status, seconds * 1000, size)
 
     preview = probe
@@ -426,6 +440,15 @@ class RestConnector(Source):
         return Flow(self, destination, target, **options)
 
 
+def _json_size(raw: Any) -> int:
+    """Bytes of ``json.dumps``, a long list an element at a time."""
+    if isinstance(raw, LongList):
+        return 2 + sum(_json_size(x) for x in raw) + 2 * max(0, len(raw) - 1)
+    if isinstance(raw, dict) and any(isinstance(v, (dict, LongList)) for v in raw.values()):
+        return 2 + sum(len(json.dumps(k, ensure_ascii=False).encode()) + 2 + _json_size(v) for k, v in raw.items()) + 2 * max(0, len(raw) - 1)
+    return len(json.dumps(raw, ensure_ascii=False).encode())
+
+
 def _keys(value) -> tuple[str, ...]:
     return dedup.resolve_primary_key(value)
 

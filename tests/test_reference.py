@@ -792,3 +792,44 @@ def test_all_landed_rows_and_fingerprints(spark, tmp_path):
     assert json.loads(got["2"]["_extra"]) == {"email_k": "é", "meta_n": 2} and json.loads(got["0"]["_extra"]) == {"meta_n": 0}
     prints = {r["arrival_no"]: r["fingerprint"] for r in reference.QUERIES["key_fingerprint"](spark, str(tmp_path)).collect()}
     assert [prints[i] for i in range(5)] == [None if k is None else hashlib.sha256(json.dumps(["s", k], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest() for k in ids]
+
+
+# ---- sources larger than a page, a body or the memory ---------------------------------------------
+
+
+def test_long_bodies_are_read_as_json_loads_reads_them(monkeypatch):
+    from sedimenta.sources import body as bodies
+
+    monkeypatch.setattr(bodies, "WINDOW", 64)
+    items = [{"i": i, "t": "é\"\\,]}" * (i % 9), "n": [1, {"a": None}], "x": -1.5e3} for i in range(60)]
+    read = lambda text, cut=7: bodies.decode(bodies.Spool(text[i : i + cut] for i in range(0, len(text), cut)))
+    plain = lambda v: [plain(x) for x in v] if isinstance(v, bodies.LongList) else {k: plain(x) for k, x in v.items()} if isinstance(v, dict) else v
+    for value in (items, {"meta": {"n": 1}, "payload": {"odd.key": items}, "next": "b"}, [items, [], 1], {"a": "y" * 500, "b": {}}, [], 12345):
+        for text in (json.dumps(value), json.dumps(value, ensure_ascii=False, indent=1), json.dumps(value, separators=(",", ":"))):
+            assert plain(read(text.encode())) == value
+    assert plain(read(json.dumps(items).encode("utf-16"))) == items
+    found = read(json.dumps({"data": items}).encode())["data"]
+    assert isinstance(found, bodies.LongList) and len(found) == 60 and found[:2] == items[:2] and found[-1] == items[-1] and list(found) == items
+    assert paths.read_path({"data": found}, ("data", 1, "i")) == 1 and find_records_path({"data": found}) == "data"
+    whole = json.dumps({"data": items}).encode()
+    for bad in (whole[:-1], whole[:-40], whole + b"x", whole.replace(b'"i": 5,', b'"i" 5,')):
+        with pytest.raises(ValueError):
+            read(bad)
+
+
+def test_a_body_beyond_64_mib():
+    text = "x" * 1000
+    body = lambda: (json.dumps([{"i": i, "t": text}]).encode()[bool(i) : -1] if not i else b", " + json.dumps({"i": i, "t": text}).encode() for i in range(70_000))
+
+    def site(*_):
+        def chunks():
+            yield from body()
+            yield b"]"
+
+        return Response(200, {}, chunks())
+
+    with pytest.raises(errors.ResponseTooLargeError):
+        next(RestConnector("https://api.example/v1/all", pagination=False, client=HttpClient(transport=site)).endpoint.pages())
+    for records in (None, lambda b: b):
+        page, _, _ = next(RestConnector("https://api.example/v1/all", pagination=False, records=records, client=HttpClient(transport=site, max_body=None)).endpoint.pages())
+        assert len(page.records) == 70_000 and sum(r["i"] for r in page.records) == 70_000 * 69_999 // 2
