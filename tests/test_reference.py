@@ -833,3 +833,26 @@ def test_a_body_beyond_64_mib():
     for records in (None, lambda b: b):
         page, _, _ = next(RestConnector("https://api.example/v1/all", pagination=False, records=records, client=HttpClient(transport=site, max_body=None)).endpoint.pages())
         assert len(page.records) == 70_000 and sum(r["i"] for r in page.records) == 70_000 * 69_999 // 2
+
+
+def test_a_site_of_more_pages_than_the_default_limit(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sites, "PAGE", 1)
+    n = 10_050
+    spark.range(n).selectExpr("id as event_id", "timestamp_ntz'2024-01-06 00:00:00' as ts", "id % 7 as user_id", "'view' as event_type").orderBy("ts", "user_id").write.parquet(str(tmp_path / "events.parquet"))
+    endpoint = sites._connector(spark, str(tmp_path), "cursor", pagination={"type": "cursor", "cursor_path": "meta.next_cursor"}).endpoint
+    got = [r["event_id"] for page, _, _ in endpoint.pages() for r in page.records]
+    assert got == list(range(n))
+
+
+def test_the_site_reads_one_row_group_at_a_time(spark, tmp_path):
+    spark.range(3000).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, int(id % 40)) as ts", "id as user_id", "'view' as event_type").repartition(7).write.parquet(str(tmp_path / "events.parquet"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        site = sites.TableSite(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(sites._groups(site.path)[1]) > 1
+    assert [r["event_id"] for r in sites._records(site.path, 700, 2100, None)] == list(range(700, 2100))
+    days = ("2024-01-05", "2024-01-06")
+    assert [r["event_id"] for r in sites._records(site.path, 3, 9999, days)] == [i for i in range(3000) if i % 40 in (4, 5)][3:]
+    assert sites._records(site.path, 3000, 3500, None) == []
