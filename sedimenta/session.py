@@ -56,11 +56,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it: the lineage is cut
-    and any executor can be lost without recomputing what came before."""
+    and any executor can be lost without recomputing what came before. ``row_group``: bytes of a row
+    group, which is the least that one task reads."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,6 +1,7 @@
 """Paged JSON sources as DataFrames: a serial Python data source whose pages are staged once."""
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -34,6 +35,10 @@ MAX_DEPTH = 4
 MAX_PAGES = 10_000
 BATCH = 25_000
 READ_ROWS = 2_000
+#: Bytes of a row group of staged pages: one task writes them, many read them. Characters of records
+#: that come to the driver as one row.
+PAGE_GROUP = 4 * 1024 * 1024
+PACK = 256 * 1024
 MAX_UNIQUE_KEYS = dedup.MAX_UNIQUE_KEYS
 
 
@@ -154,9 +159,30 @@ def _record(x: Any) -> dict:
     return x if isinstance(x, dict) else {"value": x}
 
 
-def page_source(endpoint: Endpoint, window: IncrementalWindow | None, max_records: int | None, max_pages: int | None) -> type[DataSource]:
-    """A one-partition data source of (ordinal, raw). Limits act in the reader, so no page beyond
-    them is asked for."""
+_DAY = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
+
+
+def _encoder() -> Callable[[Any], str]:
+    """``json.dumps(x, ensure_ascii=False)``, whose encoder is made once, not for each record."""
+    c = json.encoder
+    if c.c_make_encoder is None:
+        return json.JSONEncoder(ensure_ascii=False).encode
+    chunks = c.c_make_encoder({}, json.JSONEncoder().default, c.encode_basestring, None, ": ", ", ", False, False, True)
+    return lambda x: "".join(chunks(x, 0))
+
+
+def _day_text(record: dict, steps: tuple[str, ...]) -> str | None:
+    """What ``parse_date`` casts to a date, of the text at dotted keys."""
+    value = read_path(record, steps)
+    if type(value) is not str:
+        return None
+    found = _DAY.match(value) or _DAY.match(value.strip())
+    return found.group() if found else None
+
+
+def page_source(endpoint: Endpoint, window: IncrementalWindow | None, max_records: int | None, max_pages: int | None, day: tuple[str, ...] | None = None) -> type[DataSource]:
+    """A one-partition data source of (ordinal, raw), with ``day`` of (ordinal, raw, day): the text of
+    the date at these keys. Limits act in the reader, so no page beyond them is asked for."""
 
     label = "paged_" + uuid.uuid4().hex
 
@@ -165,21 +191,24 @@ def page_source(endpoint: Endpoint, window: IncrementalWindow | None, max_record
             return [InputPartition(0)]
 
         def read(self, partition):
-            n, texts, encode = 0, [], json.JSONEncoder(ensure_ascii=False).encode
+            n, texts, days, encode = 0, [], [], _encoder()
             for page, _, _ in endpoint.pages(window, max_pages):
                 for record in page.records:
                     if max_records is not None and n + len(texts) >= max_records:
                         break
                     texts.append(encode(record))
+                    if day:
+                        days.append(_day_text(record, day))
                     if len(texts) == READ_ROWS:
-                        yield batch(n, texts)
-                        n, texts = n + len(texts), []
+                        yield batch(n, texts, days)
+                        n, texts, days = n + len(texts), [], []
                 if max_records is not None and n + len(texts) >= max_records:
                     break
-            yield batch(n, texts)
+            yield batch(n, texts, days)
 
-    def batch(first: int, texts: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(range(first, first + len(texts)), pa.int64()), pa.array(texts, pa.string())], names=["ordinal", "raw"])
+    def batch(first: int, texts: list[str], days: list[str | None]) -> pa.RecordBatch:
+        columns = {"ordinal": pa.array(range(first, first + len(texts)), pa.int64()), "raw": pa.array(texts, pa.string())}
+        return pa.RecordBatch.from_pydict(columns | ({"day": pa.array(days, pa.string())} if day else {}))
 
     class PagedSource(DataSource):
         @classmethod
@@ -187,7 +216,7 @@ def page_source(endpoint: Endpoint, window: IncrementalWindow | None, max_record
             return label
 
         def schema(self):
-            return "ordinal long, raw string"
+            return "ordinal long, raw string" + ", day string" * bool(day)
 
         def reader(self, schema):
             return Reader()
@@ -311,11 +340,12 @@ class RestConnector(Source):
 
     # -- reading
 
-    def raw_records(self, spark: SparkSession, window: IncrementalWindow | None = None, max_records: int | None = None, max_pages: int | None = None) -> DataFrame:
-        """(ordinal, raw) of the source, staged: later actions and retried tasks never ask it again."""
-        source = page_source(self.endpoint, window, max_records, max_pages)
+    def raw_records(self, spark: SparkSession, window: IncrementalWindow | None = None, max_records: int | None = None, max_pages: int | None = None, day: tuple[str, ...] | None = None) -> DataFrame:
+        """(ordinal, raw) of the source, with ``day`` also the text of the date at these keys, staged:
+        later actions and retried tasks never ask it again."""
+        source = page_source(self.endpoint, window, max_records, max_pages, day)
         spark.dataSource.register(source)
-        return staged(spark.read.format(source.name()).load(), "pages")
+        return staged(spark.read.format(source.name()).load(), "pages", PAGE_GROUP)
 
     def session(self, spark: SparkSession, end: date | str = "today") -> ExtractionSession:
         self.current_window = self.incremental.resolve_window(end)

@@ -6,6 +6,8 @@ import sys
 from datetime import date, datetime, timezone
 
 import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows
 from hypothesis import given, settings
@@ -23,7 +25,7 @@ from sedimenta.plans import landing as sites
 from sedimenta.plans.pipeline import Pipeline
 from sedimenta.sinks.parquet import ParquetDestination, batch_size, write_mode
 from sedimenta.sinks.state import InspectionStateStore, JsonlRunLog, JsonStateStore, MemoryStateStore
-from sedimenta.sources import http, pagination
+from sedimenta.sources import http, pagination, rest
 from sedimenta.sources.http import HttpClient, Response
 from sedimenta.sources.rest import Endpoint, RestConnector, find_records_path
 from sedimenta.sources.secrets import FileSecrets, SecretError, StaticSecrets
@@ -856,3 +858,25 @@ def test_the_site_reads_one_row_group_at_a_time(spark, tmp_path):
     days = ("2024-01-05", "2024-01-06")
     assert [r["event_id"] for r in sites._records(site.path, 3, 9999, days)] == [i for i in range(3000) if i % 40 in (4, 5)][3:]
     assert sites._records(site.path, 3000, 3500, None) == []
+
+
+def test_a_record_is_written_as_json_dumps_writes_it():
+    encode = rest._encoder()
+    for x in ({}, {"a": None, "b": [True, 1.0, 1e300, float("nan"), -0.0, 10**30], "ü ": 'q"\\\n\x00\ud800'}, {"n": {"m": [{}, []]}, "1": "1"}):
+        assert encode(x) == json.dumps(x, ensure_ascii=False) == encode(x)
+    with pytest.raises(TypeError):
+        encode({"a": object()})
+
+
+def test_the_site_writes_values_as_json_dumps_does():
+    at = [datetime(2024, 1, 6), datetime(2024, 1, 6, 1, 2, 3, 40), datetime(1950, 12, 31, 23, 59, 59, 120000)]
+    for values_, kind in ((at, pa.timestamp("us")), ([1, -5, 2**60], pa.int64()), (['a"b\\', "ü ", "a\nb"], pa.string())):
+        assert sites._values(pa.chunked_array([values_[:2], [None, values_[2]]], kind)).to_pylist() == [json.dumps(v.isoformat() if kind == pa.timestamp("us") else v) for v in values_[:2]] + ["null"] + [json.dumps(values_[2].isoformat() if kind == pa.timestamp("us") else values_[2])]
+
+
+def test_staged_pages_can_be_read_by_several_tasks(spark, tmp_path):
+    spark.range(60_000).selectExpr("id as event_id", "timestamp_ntz'2024-01-06 00:00:00' as ts", "id as user_id", "repeat(sha2(cast(id as string), 256), 3) as event_type").write.parquet(str(tmp_path / "events.parquet"))
+    pages = sites._connector(spark, str(tmp_path), "whole", pagination=False).raw_records(spark)
+    files = [f.removeprefix("file:").replace("///", "/") for f in pages.inputFiles()]
+    assert sum(pq.ParquetFile(f).num_row_groups for f in files) > 1
+    assert pages.selectExpr("count(*)", "count(distinct ordinal)", "max(ordinal)").first() == (60_000, 60_000, 59_999)
