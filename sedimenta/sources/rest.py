@@ -384,12 +384,13 @@ class RestConnector(Source):
         if fields or transform:
 
             def change(batches):
+                encode = _encoder()
                 for batch in batches:
                     out = []
                     for text in batch.column(1).to_pylist():
                         record = json.loads(text)
                         record = transform(record) if transform else record
-                        out.append(json.dumps({alias: read_path(record, steps) for steps, alias in fields} if fields else record, ensure_ascii=False))
+                        out.append(encode({alias: read_path(record, steps) for steps, alias in fields} if fields else record))
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["ordinal", "raw"])
 
             rows = rows.mapInArrow(change, "ordinal long, raw string")
