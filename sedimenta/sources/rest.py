@@ -352,23 +352,22 @@ class RestConnector(Source):
         return ExtractionSession(self, spark, self.current_window)
 
     def _extract(self, session: ExtractionSession) -> DataFrame:
-        rows = self.raw_records(session.spark, session.window)
+        keys = tuple(self.date_field.split(".")) if isinstance(self.date_field, str) and self.date_field else None
+        rows = self.raw_records(session.spark, session.window, day=keys)
         if self.date_field:
-            day = parse_date(self._date_text())
+            day = F.col("day").try_cast("date") if keys else parse_date(self._date_text())
             dated = not isinstance(self.incremental, NoIncrementalStrategy)
             if dated and not self.endpoint.start_param:
                 rows = incremental.filter_window(rows, day, session.window)
             seen = incremental.date_progress(rows, day).first()
             session.max_data_date, session.invalid_dates = seen["max_data_date"], seen["invalid_dates"]
-        records = staged(self.shape(rows), "records")
+        records = staged(self.shape(rows.select("ordinal", "raw")), "records")
         if self.dedup_enabled and (kept := records.count()) > self.max_unique_keys:
             raise DeduplicationError(f"{kept} distinct keys exceed the limit of {self.max_unique_keys}")
         return records
 
     def _date_text(self):
-        """Text at the dotted date field, or what a callable makes of each record."""
-        if not callable(self.date_field):
-            return json_path(F.col("raw"), tuple(self.date_field.split(".")))
+        """What a callable date field makes of each record."""
         pick = self.date_field
 
         @F.pandas_udf("string")

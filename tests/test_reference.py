@@ -880,3 +880,14 @@ def test_staged_pages_can_be_read_by_several_tasks(spark, tmp_path):
     files = [f.removeprefix("file:").replace("///", "/") for f in pages.inputFiles()]
     assert sum(pq.ParquetFile(f).num_row_groups for f in files) > 1
     assert pages.selectExpr("count(*)", "count(distinct ordinal)", "max(ordinal)").first() == (60_000, 60_000, 59_999)
+
+
+def test_the_reader_finds_the_day_as_parse_date_does(spark):
+    texts = ["2024-01-06", " \x1c2024-01-06T10:00:00Z", "2024-13-45", "20240115", "x2024-01-06", "", "2024-02-30", "　2024-01-06", "٠2024-01-06", None, 5, True, 2024.5, ["2024-01-06"], {"e": "2024-01-06"}]
+    records = [{"d": {"at": t}} for t in texts] + [{"d": "2024-01-06"}, {"d": [{"at": "2024-01-06"}]}, {}]
+    c = connector([("", {"data": records})], pagination=False)
+    got = c.raw_records(spark, day=("d", "at"))
+    plain = values.parse_date(paths.json_path(F.col("raw"), ("d", "at")))
+    found = got.select(F.col("day").try_cast("date").alias("a"), plain.alias("b")).collect()
+    assert [r["a"] for r in found] == [r["b"] for r in found] and sum(r["a"] is not None for r in found) == 3
+    assert connector([("", {"data": records})], pagination=False).raw_records(spark).columns == ["ordinal", "raw"]
