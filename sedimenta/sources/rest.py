@@ -273,12 +273,27 @@ class ExtractionSession:
         """The records as Python objects, ``size`` at a time."""
         if isinstance(size, bool) or not isinstance(size, int) or size < 1:
             raise InvalidExtractionBatchSizeError("a batch size is a positive integer")
+
+        def pack(batches):
+            for found in batches:
+                held, length = [], 0
+                for text in found.column(0).to_pylist():
+                    held.append(text)
+                    length += len(text)
+                    if length >= PACK:
+                        yield pa.RecordBatch.from_pydict({"packed": ["[" + ",".join(held) + "]"]})
+                        held, length = [], 0
+                if held:
+                    yield pa.RecordBatch.from_pydict({"packed": ["[" + ",".join(held) + "]"]})
+
         batch: list[dict] = []
-        for row in self.records.orderBy("ordinal").toLocalIterator():
-            batch.append(json.loads(row["raw"]))
-            if len(batch) == size:
-                yield batch
-                batch = []
+        # a row a record would cost the driver more than its JSON
+        for row in self.records.orderBy("ordinal").select("raw").mapInArrow(pack, "packed string").toLocalIterator():
+            for record in json.loads(row["packed"]):
+                batch.append(record)
+                if len(batch) == size:
+                    yield batch
+                    batch = []
         if batch:
             yield batch
 

@@ -891,3 +891,14 @@ def test_the_reader_finds_the_day_as_parse_date_does(spark):
     found = got.select(F.col("day").try_cast("date").alias("a"), plain.alias("b")).collect()
     assert [r["a"] for r in found] == [r["b"] for r in found] and sum(r["a"] is not None for r in found) == 3
     assert connector([("", {"data": records})], pagination=False).raw_records(spark).columns == ["ordinal", "raw"]
+
+
+def test_batches_come_to_the_driver_packed(spark, monkeypatch):
+    monkeypatch.setattr(rest, "PACK", 40)
+    records = [{"i": i, "t": "ü,]" * (i % 5)} for i in range(230)]
+    taken, kind = [], type(spark.range(1))
+    whole = kind.toLocalIterator
+    monkeypatch.setattr(kind, "toLocalIterator", lambda df, *a, **k: (taken.append(r) or r for r in whole(df, *a, **k)))
+    got = list(connector([("", {"data": records})], pagination=False).stream(spark, batch_size=50))
+    assert [len(b) for b in got] == [50, 50, 50, 50, 30] and [r for b in got for r in b] == records
+    assert len(taken) < len(records)
