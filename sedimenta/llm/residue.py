@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -46,6 +47,16 @@ _LOOSE = re.compile(r"\s+([.,;:!?…])")
 _BEFORE_POINT = re.compile(" [.,;:!?…]")
 
 
+def _even(line: str) -> str:
+    """``_SPACES.sub(" ", line)``."""
+    if "\n" in line:
+        return _SPACES.sub(" ", line)
+    out = " ".join(line.split())
+    if len(out) == len(line):
+        return out
+    return " " * line[:1].isspace() + out + " " * (bool(out) and line[-1:].isspace())
+
+
 def _visible(text: str) -> str:
     return text.translate(_INVISIBLE) if _UNSEEN.search(text) else text
 
@@ -72,7 +83,7 @@ def text_lines(text: str) -> list[tuple[str, bool]]:
 def running(line: str) -> str:
     """A line without inline code and quoted passages, blanks evened out; '' for log,
     configuration, code and quoted (``>``) lines."""
-    line = _SPACES.sub(" ", _visible(line))
+    line = _even(_visible(line))
     if line.lstrip().startswith(">") or _LOG_LINE.match(line) or _CONFIG_LINE.match(line) or _CODE_LINE.match(line):
         return ""
     if "`" in line:
@@ -86,13 +97,19 @@ def plain(line: str) -> str:
         line = html.unescape(line)
     if "<" in line:
         line = _TAG.sub(" ", line)
-    line = _SPACES.sub(" ", line[_MARKS.match(line).end() :].rstrip(_BLANKS + "*"))
+    line = _even(line[_MARKS.match(line).end() :].rstrip(_BLANKS + "*"))
     return _LOOSE.sub(r"\1", line) if _BEFORE_POINT.search(line) else line
 
 
 # ---- slips of the pen ----------------------------------------------------------------------------
 
 _WORDS = re.compile(r"[^\W\d_]+")
+_LETTERS = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
+
+
+def _words(text: str) -> list[str]:
+    """``_WORDS.findall(text)``."""
+    return text.encode().translate(_LETTERS).decode().split() if text.isascii() else _WORDS.findall(text)
 
 
 class Speller:
@@ -109,7 +126,7 @@ class Speller:
     def mend(self, low: str, words: list[str]) -> tuple[str, list[str]]:
         """A text in lower case and its words with the slips undone."""
         long = [w for w in words if len(w) > 2]
-        unknown = sum(w not in self.right for w in long)
+        unknown = len([w for w in long if w not in self.right])
         if not unknown or unknown * 2 > len(long) + 2:  # right, or of other matters
             return low, words
         tokens = list(_WORDS.finditer(low))
@@ -164,6 +181,15 @@ _SLOT = re.compile(
 )
 #: Every alternative of ``_SLOT`` starts with one of these; ``&`` may be an escaped one.
 _OPENS = re.compile(r"\{|%[%(\w]|‹|&[#a-z]|<[%<\s\w]|\*\||@@|##|\$\w|__|~\w|\[[\[\s\w]|\(\(|:[A-Za-z]")
+#: The places at which one of them can start.
+_STARTS = re.compile(rf"(?={_OPENS.pattern}|[$#]\{{|:\w)")
+
+
+def _slot(text: str) -> re.Match | None:
+    """``_SLOT.search(text)``."""
+    return next((found for at in _STARTS.finditer(text) if (found := _SLOT.match(text, at.start()))), None)
+
+
 #: Signs that stand for no value. The weak ones are words that technical text uses as well.
 _STRONG = r"_{3,}|x{4,}|tbd|tba|tbc|nan|\(null\)|\[object object\]|#n/a|\?{3,}|<null>|<none>"
 _WEAK = r"none|null|nil|undefined|n/a"
@@ -202,7 +228,7 @@ def _explained(sentence: str, before: str, after: str) -> bool:
     around = bool(_SPEAKS.search(before) or _SPEAKS.search(after))
     if not around:
         return False
-    slot = _SLOT.search(sentence)
+    slot = _slot(sentence)
     if slot and _SHOWS.search(sentence[: slot.start()]):
         return True
     bare = _SLOT.sub(" ", sentence)
@@ -225,14 +251,14 @@ def has_slot(lines: list[tuple[str, bool]], tokens: list[list[str]] | None = Non
             continue
         if "&" in line:
             line = html.unescape(line)
-        if not _SLOT.search(line) and not (signs and _ANY_SIGN.search(line)):
+        if not _slot(line) and not (signs and _ANY_SIGN.search(line)):
             continue
         sentences = _SENTENCE.split(line)
         # the sentences beside a line are in the lines beside it
         before = next((x for x, f in reversed(lines[max(0, n - 2) : n]) if x.strip()), "")
         behind = next((x for x, f in lines[n + 1 : n + 3] if x.strip()), "")
         for i, sentence in enumerate(sentences):
-            slot = _SLOT.search(sentence)
+            slot = _slot(sentence)
             if not slot and not _ANY_SIGN.search(sentence):
                 continue
             left = sentences[i - 1] if i else before
@@ -335,17 +361,32 @@ def _is_dummy(words: list[str]) -> bool:
     return False
 
 
+def _thrice(words: list[str]) -> bool:
+    """A word of three letters comes three times at one distance, as it does where ``_REPEAT`` finds
+    letters repeated: a repetition has at most 62 characters, so 31 words."""
+    places = defaultdict(list)
+    for i, w in enumerate(words):
+        if len(w) >= 3:
+            places[w].append(i)
+    for at in places.values():
+        if len(at) >= 3:
+            there = set(at)
+            if any(2 * j - i in there for n, i in enumerate(at) for j in at[n + 1 : n + 32] if j - i <= 31):
+                return True
+    return False
+
+
 def _filler_line(raw: str) -> bool:
     text = plain(running(raw)).lower()
     if not text:
         return False
-    low, words = FILLER_SPELLER.mend(text, _WORDS.findall(text))
+    low, words = FILLER_SPELLER.mend(text, _words(text))
     different = set(words)
     if (not different.isdisjoint(_LATIN_SURE) or any(map(_drummed, different))) and _is_dummy(words):
         return True
     filling = not different.isdisjoint(_FILL_SET)
     if len(words) >= 3 and (len(different) * 2 <= len(words) or (filling and len(different) + 2 <= len(words))):
-        hit = _REPEAT.search(low)
+        hit = _thrice(words) and _REPEAT.search(low)
         if hit and hit.end() - hit.start() >= 9 and re.search(r"[^\W\d_]{3}", hit.group(1)):
             return True
     if different.isdisjoint(FILLER_SPELLER.words):
@@ -360,6 +401,7 @@ def has_filler(lines: list[tuple[str, bool]], tokens: list[list[str]] | None = N
     """A line or sentence that is nothing but filler. ``tokens``, the words of each line in lower
     case, only spare lines that cannot be: every filler has an anchor word or a slip of one, a sure
     word of dummy Latin, drumming, or few different words."""
+    drums = tokens is not None and any(map(_drummed, set().union(*tokens)))
     for (line, fenced), own in zip(lines, tokens if tokens is not None else [None] * len(lines)):
         if fenced:
             continue
@@ -367,7 +409,7 @@ def has_filler(lines: list[tuple[str, bool]], tokens: list[list[str]] | None = N
             if not own:
                 continue
             there = set(own)
-            if there.isdisjoint(_FILLER_LOOKS) and len(there) * 3 > len(own) * 2 and not (any(map(_drummed, there)) and sum(map(_drummed, own)) * 5 >= len(own) * 3):
+            if there.isdisjoint(_FILLER_LOOKS) and len(there) * 3 > len(own) * 2 and not (drums and any(map(_drummed, there)) and sum(map(_drummed, own)) * 5 >= len(own) * 3):
                 continue
         if _filler_line(line):
             return True
@@ -530,7 +572,7 @@ def is_error_page(text: str, lines: list[tuple[str, bool]] | None = None, tokens
         lines = text_lines(_BREAK.sub("\n", text))
         tokens = None
     if tokens is None:
-        tokens = [_WORDS.findall(line.lower()) for line, _ in lines]
+        tokens = [_words(line.lower()) for line, _ in lines]
     # no text has more notices than sentences in lines with a word of notices: the walk ends where these cannot tip the balance
     most = 0
     for (line, _), own in zip(lines, tokens):
@@ -571,7 +613,7 @@ def is_error_page(text: str, lines: list[tuple[str, bool]] | None = None, tokens
                 if not sentence:
                     continue
                 low = sentence.lower()
-                words = _WORDS.findall(low)
+                words = _words(low)
                 found = _says_notice(low, words)
                 if not found:
                     mended, words = NOTICE_SPELLER.mend(low, words)
@@ -584,7 +626,7 @@ def is_error_page(text: str, lines: list[tuple[str, bool]] | None = None, tokens
                     hits += 1
                     source_line = bool(_TRACE.match(low))
                 elif not _NEUTRAL.match(low.strip(" .!")):
-                    known = sum(w in NOTICE_SPELLER.words for w in words)
+                    known = len([w for w in words if w in NOTICE_SPELLER.words])
                     if known * 5 >= len(words) * 3 and words:
                         near += 1
                     else:
@@ -601,7 +643,7 @@ def residue_kinds(text: str | None) -> list[str]:
     if text is None or not text.strip():
         return []
     lines = text_lines(text)
-    tokens = [_WORDS.findall(line.lower()) for line, _ in lines]
+    tokens = [_words(line.lower()) for line, _ in lines]
     kinds = []
     if has_slot(lines, tokens):
         kinds.append("slot")

@@ -2,6 +2,7 @@
 
 import json
 import random
+import re
 from pathlib import Path
 
 import pytest
@@ -210,3 +211,19 @@ def test_long_texts_take_linear_time():
     for text in ["word " * 100_000, "{{ " * 30_000, "[ insert " * 10_000, "<a " * 30_000, "\n" * 100_000, "lorem " * 30_000, "__a" * 30_000, "javascript " * 10_000, "page " * 20_000, '"a ' * 30_000]:
         residue.residue_kinds(text)
     assert time.time() - start < 30
+
+
+_SIGNS = st.text(alphabet=st.sampled_from(list("aA bñ_19 \t\xa0 \x1c{}[]<>()%$#@|*~:&.,'‹›/-ſ\n")), max_size=60)
+
+
+@settings(max_examples=600, deadline=None)
+@given(_SIGNS, st.lists(st.sampled_from(["the text", "ab cd", "x1 foo", "foo", "añb", ". ", "… ", " ", "7", "' "]), max_size=14))
+def test_quick_ways_of_residue_change_nothing(text, parts):
+    spot = lambda m: m and m.span()
+    assert residue._even(text) == residue._SPACES.sub(" ", text)
+    assert residue._words(text) == residue._WORDS.findall(text)
+    assert spot(residue._slot(text)) == spot(residue._SLOT.search(text))
+    low = "".join(parts)
+    hit = residue._REPEAT.search(low)
+    if hit and re.search(r"[^\W\d_]{3}", hit.group(1)):
+        assert residue._thrice(residue._words(low))
