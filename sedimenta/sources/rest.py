@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from datetime import date
+from itertools import islice
 from typing import Any
 from urllib.parse import urljoin
 
@@ -152,7 +153,7 @@ class Endpoint:
             raise TypeError("the page holds no record list")
         if isinstance(found, LongList):
             return found.map(_record)
-        return [_record(x) for x in found]
+        return [x if isinstance(x, dict) else _record(x) for x in found]
 
 
 def _record(x: Any) -> dict:
@@ -171,6 +172,15 @@ def _encoder() -> Callable[[Any], str]:
     return lambda x: "".join(chunks(x, 0))
 
 
+def _texts(records: list[dict], encode: Callable[[Any], str]) -> list[str]:
+    """The text of each record. They are encoded at once and parted where one ends and the next begins;
+    if other places look like that, one by one."""
+    whole = encode(records)[1:-1]
+    if whole.count("}, {") == len(records) - 1:
+        return whole.replace("}, {", "}\n{").split("\n")  # line ends within texts are escaped
+    return [encode(x) for x in records]
+
+
 def _day_text(record: dict, steps: tuple[str, ...]) -> str | None:
     """What ``parse_date`` casts to a date, of the text at dotted keys."""
     value = read_path(record, steps)
@@ -191,23 +201,24 @@ def page_source(endpoint: Endpoint, window: IncrementalWindow | None, max_record
             return [InputPartition(0)]
 
         def read(self, partition):
-            n, texts, days, encode = 0, [], [], _encoder()
+            n, ordinals, texts, days, encode = 0, [], [], [], _encoder()
             for page, _, _ in endpoint.pages(window, max_pages):
-                for record in page.records:
-                    if max_records is not None and n + len(texts) >= max_records:
-                        break
-                    texts.append(encode(record))
+                records = iter(page.records if max_records is None else islice(page.records, max_records - n))
+                while part := list(islice(records, READ_ROWS)):
+                    ordinals += range(n, n + len(part))
+                    n += len(part)
+                    texts += _texts(part, encode)
                     if day:
-                        days.append(_day_text(record, day))
-                    if len(texts) == READ_ROWS:
-                        yield batch(n, texts, days)
-                        n, texts, days = n + len(texts), [], []
-                if max_records is not None and n + len(texts) >= max_records:
+                        days += [_day_text(record, day) for record in part]
+                    if len(texts) >= READ_ROWS:
+                        yield batch(ordinals, texts, days)
+                        ordinals, texts, days = [], [], []
+                if n == max_records:
                     break
-            yield batch(n, texts, days)
+            yield batch(ordinals, texts, days)
 
-    def batch(first: int, texts: list[str], days: list[str | None]) -> pa.RecordBatch:
-        columns = {"ordinal": pa.array(range(first, first + len(texts)), pa.int64()), "raw": pa.array(texts, pa.string())}
+    def batch(ordinals: list[int], texts: list[str], days: list[str | None]) -> pa.RecordBatch:
+        columns = {"ordinal": pa.array(ordinals, pa.int64()), "raw": pa.array(texts, pa.string())}
         return pa.RecordBatch.from_pydict(columns | ({"day": pa.array(days, pa.string())} if day else {}))
 
     class PagedSource(DataSource):

@@ -902,3 +902,24 @@ def test_batches_come_to_the_driver_packed(spark, monkeypatch):
     got = list(connector([("", {"data": records})], pagination=False).stream(spark, batch_size=50))
     assert [len(b) for b in got] == [50, 50, 50, 50, 30] and [r for b in got for r in b] == records
     assert len(taken) < len(records)
+
+
+def test_records_written_at_once_are_those_written_one_by_one():
+    odd = [{}, {"a": "}, {"}, {"a": [{}, {"b": 1}, {}]}, {"a": "x\ny\u2028\r"}, {"}, {": None}, {"a": {"b": {}}}]
+    for records in (odd, odd[:1] * 3, [odd[3], odd[5], odd[0]], [odd[1]], odd[2:3], []):
+        assert rest._texts(records, rest._encoder()) == [json.dumps(x, ensure_ascii=False) for x in records]
+    written = []
+    assert rest._texts([{"a": i} for i in range(50)], lambda x: written.append(x) or json.dumps(x, ensure_ascii=False))[49] == '{"a": 49}'
+    assert len(written) == 1
+
+
+def test_pages_beside_each_other_share_what_the_site_wrote(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sites, "PIECE", 70)
+    spark.range(1000).selectExpr("id as event_id", "timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, int(id % 40)) as ts", "id as user_id", "'view' as event_type").write.parquet(str(tmp_path / "events.parquet"))
+    site, whole = sites.TableSite(spark, str(tmp_path)), sites._values
+    written = []
+    monkeypatch.setattr(sites, "_values", lambda column: written.append(len(column)) or whole(column))
+    assert [r["event_id"] for at in range(0, 1000, 30) for r in sites._records(site.path, at, at + 30, None)] == list(range(1000))
+    assert sum(written) == 4 * 1000
+    days = ("2024-01-05", "2024-01-06")
+    assert [r["event_id"] for at in range(0, 50, 9) for r in sites._records(site.path, at, at + 9, days)] == [i for i in range(1000) if i % 40 in (4, 5)]
