@@ -56,15 +56,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def staged(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+def staged(df: DataFrame, name: str, row_group: int | None = None, paths: list[str] | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it: the lineage is cut
     and any executor can be lost without recomputing what came before. ``row_group``: bytes of a row
-    group, which is the least that one task reads."""
+    group, which is the least that one task reads. ``paths`` gets the path, for ``drop``."""
     path = scratch_path(df.sparkSession, name)
+    if paths is not None:
+        paths.append(path)
     (df.write.option("parquet.block.size", row_group) if row_group else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Removes staged tables that nothing reads any more, and no others (threads may stage theirs)."""
+    gone = set(paths)
+    paths.clear()
+    for path in gone:
+        _forget(spark, path)
+    _STAGED[:] = [x for x in _STAGED if x[1] not in gone]
+
+
 @contextmanager
 def passing(spark: SparkSession) -> Iterator[None]:
     """What is staged inside is removed at the end: for steps whose result is staged after them

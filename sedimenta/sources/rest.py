@@ -22,7 +22,7 @@ from sedimenta.functions.paths import json_path, parse_path, read_path, resolve_
 from sedimenta.functions.values import parse_date
 from sedimenta.operators import dedup, incremental, report
 from sedimenta.operators.incremental import IncrementalStrategy, IncrementalWindow, NoIncrementalStrategy, incremental_intent
-from sedimenta.session import staged
+from sedimenta.session import drop, staged
 from sedimenta.sinks.state import StateStore
 from sedimenta.sources.base import Source
 from sedimenta.sources.body import LongList, Spool, decode, is_list
@@ -40,6 +40,8 @@ READ_ROWS = 2_000
 #: that come to the driver as one row.
 PAGE_GROUP = 4 * 1024 * 1024
 PACK = 256 * 1024
+#: Day texts a reader remembers.
+MOST_DAYS = 100_000
 MAX_UNIQUE_KEYS = dedup.MAX_UNIQUE_KEYS
 
 
@@ -190,9 +192,44 @@ def _day_text(record: dict, steps: tuple[str, ...]) -> str | None:
     return found.group() if found else None
 
 
-def page_source(endpoint: Endpoint, window: IncrementalWindow | None, max_records: int | None, max_pages: int | None, day: tuple[str, ...] | None = None) -> type[DataSource]:
+def _dated(steps: tuple[str, ...], within: IncrementalWindow | None) -> Callable[[list[dict], int], tuple[list[dict], list[int], list[str | None]]]:
+    """What picks, of records and the ordinal of the first: the records, their ordinals and their day
+    texts, but for records whose valid date lies outside the window."""
+    one = steps[0] if len(steps) == 1 else None
+    known: dict[str, bool] = {}  # day texts seen so far: are they wanted
+
+    def wanted(text: str | None) -> bool:
+        try:
+            day = date.fromisoformat(text) if within and text else None
+        except ValueError:  # the window takes or refuses it
+            return True
+        return day is None or ((within.start is None or day >= within.start) and day <= within.end)
+
+    def pick(records: list[dict], first: int):
+        out, ordinals, days = [], [], []
+        for n, record in enumerate(records, first):
+            value = (record.get(one) if type(record) is dict else None) if one else read_path(record, steps)
+            text = value[:10] if type(value) is str else None
+            keep = known.get(text)
+            if keep is None:
+                found = _day_text(record, steps)
+                keep = wanted(found)
+                if found is not None and found == text and len(known) < MOST_DAYS:
+                    known[found] = keep
+                text = found
+            if keep:
+                out.append(record)
+                ordinals.append(n)
+                days.append(text)
+        return out, ordinals, days
+
+    return pick
+
+
+def page_source(endpoint: Endpoint, window: IncrementalWindow | None, max_records: int | None, max_pages: int | None, day: tuple[str, ...] | None = None, within: IncrementalWindow | None = None) -> type[DataSource]:
     """A one-partition data source of (ordinal, raw), with ``day`` of (ordinal, raw, day): the text of
-    the date at these keys. Limits act in the reader, so no page beyond them is asked for."""
+    the date at these keys; ``within``: without the records whose valid date lies outside this window.
+    Limits act in the reader, so no page beyond them is asked for."""
 
     label = "paged_" + uuid.uuid4().hex
 
@@ -202,14 +239,16 @@ def page_source(endpoint: Endpoint, window: IncrementalWindow | None, max_record
 
         def read(self, partition):
             n, ordinals, texts, days, encode = 0, [], [], [], _encoder()
+            pick = _dated(day, within) if day else None
             for page, _, _ in endpoint.pages(window, max_pages):
                 records = iter(page.records if max_records is None else islice(page.records, max_records - n))
                 while part := list(islice(records, READ_ROWS)):
-                    ordinals += range(n, n + len(part))
-                    n += len(part)
+                    first, n, at = n, n + len(part), range(n, n + len(part))
+                    if pick:
+                        part, at, found = pick(part, first)
+                        days += found
+                    ordinals += at
                     texts += _texts(part, encode)
-                    if day:
-                        days += [_day_text(record, day) for record in part]
                     if len(texts) >= READ_ROWS:
                         yield batch(ordinals, texts, days)
                         ordinals, texts, days = [], [], []
@@ -259,6 +298,7 @@ class ExtractionSession:
         self.max_data_date: date | None = None
         self.invalid_dates = 0
         self._records: DataFrame | None = None
+        self.staged: list[str] = []
 
     def __enter__(self):
         return self
@@ -320,6 +360,10 @@ class ExtractionSession:
         self.connector.incremental.commit(self.window, self.max_data_date)
         self.state = "committed"
 
+    def release(self) -> None:
+        """Removes what was staged for the records, once they lie elsewhere: they cannot be read again."""
+        drop(self.spark, self.staged)
+
     def abort(self) -> None:
         if self.state != "committed":
             self.state = "aborted"
@@ -366,12 +410,12 @@ class RestConnector(Source):
 
     # -- reading
 
-    def raw_records(self, spark: SparkSession, window: IncrementalWindow | None = None, max_records: int | None = None, max_pages: int | None = None, day: tuple[str, ...] | None = None) -> DataFrame:
-        """(ordinal, raw) of the source, with ``day`` also the text of the date at these keys, staged:
-        later actions and retried tasks never ask it again."""
-        source = page_source(self.endpoint, window, max_records, max_pages, day)
+    def raw_records(self, spark: SparkSession, window: IncrementalWindow | None = None, max_records: int | None = None, max_pages: int | None = None, day: tuple[str, ...] | None = None, within: IncrementalWindow | None = None, paths: list[str] | None = None) -> DataFrame:
+        """(ordinal, raw) of the source, with ``day`` also the text of the date at these keys (``within`` as
+        in ``page_source``), staged: later actions and retried tasks never ask it again."""
+        source = page_source(self.endpoint, window, max_records, max_pages, day, within)
         spark.dataSource.register(source)
-        return staged(spark.read.format(source.name()).load(), "pages", PAGE_GROUP)
+        return staged(spark.read.format(source.name()).load(), "pages", PAGE_GROUP, paths)
 
     def session(self, spark: SparkSession, end: date | str = "today") -> ExtractionSession:
         self.current_window = self.incremental.resolve_window(end)
@@ -379,15 +423,20 @@ class RestConnector(Source):
 
     def _extract(self, session: ExtractionSession) -> DataFrame:
         keys = tuple(self.date_field.split(".")) if isinstance(self.date_field, str) and self.date_field else None
-        rows = self.raw_records(session.spark, session.window, day=keys)
+        cut = bool(self.date_field) and not isinstance(self.incremental, NoIncrementalStrategy) and not self.endpoint.start_param
+        pages: list[str] = []
+        rows = self.raw_records(session.spark, session.window, day=keys, within=session.window if cut else None, paths=pages)
         if self.date_field:
             day = F.col("day").try_cast("date") if keys else parse_date(self._date_text())
-            dated = not isinstance(self.incremental, NoIncrementalStrategy)
-            if dated and not self.endpoint.start_param:
+            if cut:
                 rows = incremental.filter_window(rows, day, session.window)
             seen = incremental.date_progress(rows, day).first()
             session.max_data_date, session.invalid_dates = seen["max_data_date"], seen["invalid_dates"]
-        records = staged(self.shape(rows.select("ordinal", "raw")), "records")
+        if not (self.select or self.record_transform or self.dedup_enabled) and (keys or not self.date_field):
+            session.staged += pages  # the pages hold the records as they are
+            return rows.select("ordinal", "raw")
+        records = staged(self.shape(rows.select("ordinal", "raw")), "records", paths=session.staged)
+        drop(session.spark, pages)
         if self.dedup_enabled and (kept := records.count()) > self.max_unique_keys:
             raise DeduplicationError(f"{kept} distinct keys exceed the limit of {self.max_unique_keys}")
         return records

@@ -17,6 +17,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from sedimenta import errors
+from sedimenta import session as session_module
 from sedimenta.functions import paths, text, types, values
 from sedimenta.operators import bronze, dedup, incremental, profile, report
 from sedimenta.operators.incremental import IncrementalStrategy, IncrementalWindow, Watermark
@@ -923,3 +924,29 @@ def test_pages_beside_each_other_share_what_the_site_wrote(spark, tmp_path, monk
     assert sum(written) == 4 * 1000
     days = ("2024-01-05", "2024-01-06")
     assert [r["event_id"] for at in range(0, 50, 9) for r in sites._records(site.path, at, at + 9, days)] == [i for i in range(1000) if i % 40 in (4, 5)]
+
+
+def test_the_reader_leaves_out_valid_dates_beyond_the_window(spark):
+    texts = ["2024-01-04", "2024-01-05", "2024-01-06T23:00:00", " 2024-01-07", "2024-01-08", "2024-02-30", None, "0000-01-01"]
+    c = connector([("", {"data": [{"at": t, "i": i} for i, t in enumerate(texts)]})], pagination=False)
+    got = lambda **k: [(r["ordinal"], r["day"]) for r in c.raw_records(spark, day=("at",), **k).orderBy("ordinal").collect()]
+    assert got(within=IncrementalWindow(date(2024, 1, 5), date(2024, 1, 7), None)) == [(1, "2024-01-05"), (2, "2024-01-06"), (3, "2024-01-07"), (5, "2024-02-30"), (6, None), (7, "0000-01-01")]
+    assert [n for n, _ in got(within=IncrementalWindow(None, date(2024, 1, 6), None))] == [0, 1, 2, 5, 6, 7]
+    assert [n for n, _ in got()] == list(range(8))
+
+
+def test_pages_are_staged_once_and_go(spark):
+    def left():
+        return [p.rpartition("/")[2].partition("-")[0] for own, p in session_module._STAGED if own is spark and p not in before]
+
+    def dated(**options):
+        return connector([("", {"data": [{"at": "2024-01-06", "i": i % 3} for i in range(9)]})], pagination=False, date_field="at", incremental=IncrementalStrategy(MemoryStateStore(), "k", initial_start="2024-01-05"), **options)
+
+    before = {p for _, p in session_module._STAGED}
+    with dated().session(spark, "2024-01-20") as s:
+        assert s.records.count() == 9 and s.records.columns == ["ordinal", "raw"] and left() == ["pages"]
+    s.release()
+    assert left() == []
+    with dated(select="i", primary_key="i", dedup=True).session(spark, "2024-01-20") as s:
+        assert s.records.count() == 3 and left() == ["records"]
+    s.release()
