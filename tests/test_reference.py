@@ -950,3 +950,11 @@ def test_pages_are_staged_once_and_go(spark):
     with dated(select="i", primary_key="i", dedup=True).session(spark, "2024-01-20") as s:
         assert s.records.count() == 3 and left() == ["records"]
     s.release()
+
+
+@pytest.mark.parametrize("name", ["incremental_windows"])
+def test_two_extractions_share_one_site(spark, name, monkeypatch):
+    built, site = [], sites.TableSite
+    monkeypatch.setattr(sites, "TableSite", lambda *a: built.append(a) or site(*a))
+    sites.QUERIES[name](spark, "/root/testdata/sf0.001").count()
+    assert len(built) == 1
