@@ -85,7 +85,7 @@ class Pipeline:
     def _step(self, spark, connector: Source, schema: EndpointSchema | None, target: str, end) -> StepResult:
         began = datetime.now(timezone.utc)
         out = StepResult(connector.name, "error", run_id=uuid.uuid4().hex)
-        window = after = None
+        window = after = session = None
         try:
             if connector.incremental.store is None and connector.incremental.key != "none":
                 connector.incremental.store = state_store("auto", spark, self.sink)  # the checkpoint lies beside the data
@@ -106,6 +106,9 @@ class Pipeline:
                     out.status, out.error = "checkpoint_error", redact_text(e)
         except Exception as e:
             out.error = redact_text(e)
+        finally:
+            if hasattr(session, "release"):  # the rows are in the sink, or the step failed
+                session.release()
         self._audit(out, began, window, after)
         return out
 

@@ -952,6 +952,15 @@ def test_pages_are_staged_once_and_go(spark):
     s.release()
 
 
+def test_a_landed_step_leaves_nothing_staged(spark, tmp_path):
+    c = connector([("", {"data": [{"at": "2024-01-06", "i": i} for i in range(9)]})], pagination=False, date_field="at", incremental=IncrementalStrategy(MemoryStateStore(), "k", initial_start="2024-01-05"))
+    before = {p for _, p in session_module._STAGED}
+    sink = ParquetDestination(str(tmp_path / "lake"))
+    assert Pipeline([(c, None, "bronze.t")], sink).run(spark, "2024-01-20").rows_loaded == 9
+    assert sink.read(spark, "bronze.t").count() == 9
+    assert not [p for _, p in session_module._STAGED if p not in before]
+
+
 @pytest.mark.parametrize("name", ["incremental_windows"])
 def test_two_extractions_share_one_site(spark, name, monkeypatch):
     built, site = [], sites.TableSite
