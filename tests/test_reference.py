@@ -961,7 +961,7 @@ def test_a_landed_step_leaves_nothing_staged(spark, tmp_path):
     assert not [p for _, p in session_module._STAGED if p not in before]
 
 
-@pytest.mark.parametrize("name", ["incremental_windows"])
+@pytest.mark.parametrize("name", ["incremental_windows", "pipeline_landed", "pipeline_log"])
 def test_two_extractions_share_one_site(spark, name, monkeypatch):
     built, site = [], sites.TableSite
     monkeypatch.setattr(sites, "TableSite", lambda *a: built.append(a) or site(*a))
