@@ -527,8 +527,12 @@ class RestConnector(Source):
         report.resolve_metrics(metrics)
         window = self.incremental.resolve_window(end)
         most = (report.DEFAULT_SAMPLE if limit is None else limit) if scope == "sample" else None
-        rows = self.raw_records(spark, window, max_records=most)
-        return report.profile_records(rows, *metrics, source=self.name, raw="raw", order="ordinal", key=key or list(self.primary_key) or None, fields=fields, scope=scope, limit=limit)
+        pages: list[str] = []
+        try:
+            rows = self.raw_records(spark, window, max_records=most, paths=pages)
+            return report.profile_records(rows, *metrics, source=self.name, raw="raw", order="ordinal", key=key or list(self.primary_key) or None, fields=fields, scope=scope, limit=limit)
+        finally:
+            drop(spark, pages)
 
     def explain(self) -> dict[str, Any]:
         """What would be read, without reading and without secrets."""

@@ -952,6 +952,13 @@ def test_pages_are_staged_once_and_go(spark):
     s.release()
 
 
+def test_a_profile_leaves_no_pages(spark):
+    before = {p for _, p in session_module._STAGED}
+    c = connector([("", {"data": [{"i": i} for i in range(9)]})], pagination=False)
+    assert c.profile(spark, "count").records == 9
+    assert not [p for _, p in session_module._STAGED if p not in before and "/pages-" in p]
+
+
 def test_a_landed_step_leaves_nothing_staged(spark, tmp_path):
     c = connector([("", {"data": [{"at": "2024-01-06", "i": i} for i in range(9)]})], pagination=False, date_field="at", incremental=IncrementalStrategy(MemoryStateStore(), "k", initial_start="2024-01-05"))
     before = {p for _, p in session_module._STAGED}
